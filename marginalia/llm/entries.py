@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_cascade
+from . import bpe_matrix, license_index, quality_cascade, secret_grammar
 from .common import read
 
 
+def op5_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.scan_licenses(read(spark, sf_dir, "documents")).drop("matches")
+
+
+def op6_bpe_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_matrix.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digest=True)
+
+
+def op7_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_grammar.scan_secrets(read(spark, sf_dir, "documents")).drop("found")
+
+
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_cascade.apply_cascade(docs).select(
@@ -44,7 +59,12 @@ FROM b
 
 
 def queries() -> dict:
-    return {"op8_quality_cascade": op8_quality_cascade}
+    return {
+        "op5_license_index": op5_license_index,
+        "op6_bpe_matrix": op6_bpe_matrix,
+        "op7_secret_grammar": op7_secret_grammar,
+        "op8_quality_cascade": op8_quality_cascade,
+    }
 
 
 def oracle_sql() -> dict:
