@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_matrix, license_index, quality_cascade, secret_grammar
+from . import bpe_matrix, license_index, quality_cascade, secret_grammar, simhash_ring
 from .common import read
 
 
+def op4_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_ring.near_duplicates(read(spark, sf_dir, "documents"), width=3, budget=2)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_fps")
+
+
 def op5_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_index.scan_licenses(read(spark, sf_dir, "documents")).drop("matches")
 
@@ -60,6 +66,7 @@ FROM b
 
 def queries() -> dict:
     return {
+        "op4_simhash_ring": op4_simhash_ring,
         "op5_license_index": op5_license_index,
         "op6_bpe_matrix": op6_bpe_matrix,
         "op7_secret_grammar": op7_secret_grammar,
