@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_matrix, license_index, quality_cascade, secret_grammar, simhash_ring
-from .common import read
+from . import bpe_matrix, license_index, quality_cascade, secret_grammar, simhash_ring, toxicity_fst
+from .common import held_out, read
+
+
+def op2_toxicity_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity_fst.train(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity_fst.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +73,7 @@ FROM b
 
 def queries() -> dict:
     return {
+        "op2_toxicity_fst": op2_toxicity_fst,
         "op4_simhash_ring": op4_simhash_ring,
         "op5_license_index": op5_license_index,
         "op6_bpe_matrix": op6_bpe_matrix,
