@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_matrix, license_index, quality_cascade, secret_grammar, simhash_ring, toxicity_fst
+from . import bpe_matrix, langid_crf, license_index, quality_cascade, secret_grammar, simhash_ring, toxicity_fst
 from .common import held_out, read
 
 
+def op1_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = langid_crf.identify(docs, langid_crf.train(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
 def op2_toxicity_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity_fst.train(docs, read(spark, sf_dir, "labels"))
@@ -73,6 +79,7 @@ FROM b
 
 def queries() -> dict:
     return {
+        "op1_langid_crf": op1_langid_crf,
         "op2_toxicity_fst": op2_toxicity_fst,
         "op4_simhash_ring": op4_simhash_ring,
         "op5_license_index": op5_license_index,
