@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_matrix, langid_crf, license_index, quality_cascade, secret_grammar, simhash_ring, toxicity_fst
+from . import bpe_matrix, langid_crf, license_index, mtree_topk, quality_cascade, secret_grammar, simhash_ring, toxicity_fst
 from .common import held_out, read
 
 
@@ -49,6 +49,11 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mtree_topk.quantized(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return mtree_topk.top_k(rows.filter("vec_id % 20 = 0"), rows, k=20)
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -77,6 +82,22 @@ FROM b
 """
 
 
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def queries() -> dict:
     return {
         "op1_langid_crf": op1_langid_crf,
@@ -86,8 +107,9 @@ def queries() -> dict:
         "op6_bpe_matrix": op6_bpe_matrix,
         "op7_secret_grammar": op7_secret_grammar,
         "op8_quality_cascade": op8_quality_cascade,
+        "op9_mtree_topk": op9_mtree_topk,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op8_quality_cascade": OP8_SQL}
+    return {"op8_quality_cascade": OP8_SQL, "op9_mtree_topk": OP9_SQL}
