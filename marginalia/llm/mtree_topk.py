@@ -122,7 +122,7 @@ class MTree:
                 continue
             near = np.abs(to_route - self.parent_distance[i]) <= far
             rows, ids = self.rows[self.leaves[i]], self.ids[self.leaves[i]]
-            if not near.all():
+            if 4 * np.count_nonzero(near) < len(near):  # else one product over the whole page costs less than the copy
                 rows, ids = rows[near], ids[near]
             scores = rows @ q[:-1]
             least_score = best[0][0] if len(best) == k else -np.inf
