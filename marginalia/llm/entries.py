@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_matrix, langid_crf, license_index, mtree_topk, quality_cascade, secret_grammar, simhash_ring, toxicity_fst
+from . import bin_packing, bpe_matrix, langid_crf, license_index, mtree_topk, quality_cascade, secret_grammar, simhash_ring, toxicity_fst
 from .common import held_out, read
 
 
@@ -54,6 +54,10 @@ def op9_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree_topk.top_k(rows.filter("vec_id % 20 = 0"), rows, k=20)
 
 
+def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -108,6 +112,7 @@ def queries() -> dict:
         "op7_secret_grammar": op7_secret_grammar,
         "op8_quality_cascade": op8_quality_cascade,
         "op9_mtree_topk": op9_mtree_topk,
+        "op10_bin_packing": op10_bin_packing,
     }
 
 
