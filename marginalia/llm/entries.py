@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, bpe_matrix, langid_crf, license_index, mtree_topk, quality_cascade, secret_grammar, simhash_ring, toxicity_fst
+from . import bin_packing, bpe_matrix, langid_crf, license_index, mtree_topk, quality_cascade, secret_grammar, simhash_ring, suffix_dedup, toxicity_fst
 from .common import held_out, read
 
 
@@ -22,6 +22,10 @@ def op2_toxicity_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_ring.near_duplicates(read(spark, sf_dir, "documents"), width=3, budget=2)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_fps")
@@ -106,6 +110,7 @@ def queries() -> dict:
     return {
         "op1_langid_crf": op1_langid_crf,
         "op2_toxicity_fst": op2_toxicity_fst,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_simhash_ring": op4_simhash_ring,
         "op5_license_index": op5_license_index,
         "op6_bpe_matrix": op6_bpe_matrix,
