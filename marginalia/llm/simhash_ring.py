@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, record_batch
+from .common import clean_name, map_batches, materialize, record_batch
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -164,10 +164,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id, n_fps): component_id is the least id that links reach, n_fps the number of different
-    fingerprints of the group."""
-    marked = materialize(fingerprints(docs, width, doc_id, text), "fingerprints")
+def groups(marked: DataFrame, budget: int = 2) -> DataFrame:
+    """(fp, component_id, n_fps) of every different fingerprint of marked (doc_id, fp): the least id that links reach, and
+    the number of different fingerprints of the group."""
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(ring_links(classes.select("fp"), budget))
     known = materialize(
@@ -177,5 +176,34 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, doc_id: st
         "roots",
     )
     ids = materialize(known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_fps")), "ids")
-    by_fp = materialize(known.join(ids, "root").select("fp", "component_id", "n_fps"), "by-fp")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id", "n_fps")
+    return materialize(known.join(ids, "root").select("fp", "component_id", "n_fps"), "by-fp")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id, n_fps), one row for each row of docs."""
+    marked = materialize(fingerprints(docs, width, doc_id, text), "fingerprints")
+    return marked.join(groups(marked, budget), "fp").select("doc_id", "fp", "component_id", "n_fps")
+
+
+def keep_one(docs: DataFrame, width: int = 5, budget: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs with the least id of their group, one of them if several have that id. A group whose ids are all
+    null keeps one row."""
+    row, fp = clean_name(docs, "_row"), clean_name(docs, "_kept")
+    numbered = docs.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text)))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([fingerprint(shingle_hashes(t, width)) for t in batch.column(2).to_pylist()], np.uint64)
+        return record_batch({"doc_id": (batch.column(0).cast(pa.int64()), pa.int64()), "row": (batch.column(1), pa.int64()), "fp": (fps.view(np.int64), pa.int64())})
+
+    marked = materialize(map_batches(numbered.select(doc_id, row, text), run, "doc_id long, row long, fp long"), "fingerprints")
+    found = groups(marked.select("doc_id", "fp"), budget)
+    # of each group the row with the least id, then the least hash of id and text: counts of one group are summed up in the tasks
+    first = (
+        marked.join(found, "fp")
+        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own"))
+        .agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))).alias(fp))
+        .select(fp)
+    )
+    kept = numbered.join(materialize(first, "kept"), F.col(row) == F.col(fp), "left_semi")
+    # rows that are equal in id and text have one hash; the first of each stays
+    return kept.dropDuplicates([row]).select(*docs.columns)
