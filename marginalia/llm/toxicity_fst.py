@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, map_batches, materialize, record_batch
@@ -42,6 +44,7 @@ SEED_WORDS = {
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
+BROADCAST_ROWS = 2_000_000
 
 
 @dataclass
@@ -173,42 +176,44 @@ def learn_lexicon(
     """Fixed words and learnt insults.
 
     labelled: (text, toxic). Counts the documents of each class that hold each word and each word beginning, over all
-    rows. Learnt are those in at_least toxic documents, and a share of ``support`` of them, whose rate is ``ratio`` times that among the others and of whose
-    documents the ``share`` is toxic. A word within a learnt beginning isn't listed again. most bounds the model that is sent
-    to the driver; the strongest entries stay."""
+    rows. Learnt are those in at_least toxic documents, and a share of ``support`` of them, whose rate is ``ratio`` times
+    that among the others and of whose documents the ``share`` is toxic. A word within a learnt beginning isn't listed again. most bounds the model; the
+    strongest entries stay."""
     lexicon = Lexicon.fixed()
-
-    def parts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list[int]] = {}
-        sizes = [0, 0]
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sizes[toxic] += 1
-            words = set(WORD.findall((text or "").lower()))
-            for key in words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n}:
-                out.setdefault(key, [0, 0])[toxic] += 1
-        out[""] = sizes
-        return record_batch(
-            {"key": (list(out), pa.string()), "n0": ([c[0] for c in out.values()], pa.int64()), "n1": ([c[1] for c in out.values()], pa.int64())}
-        )
-
-    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
-    counts = materialize(
-        map_batches(rows, parts, "key string, n0 long, n1 long", rows=100_000).groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")),
-        "toxic-counts",
-    )
-    size = counts.filter("key = ''").first()
-    if size is None or not size["n1"]:
+    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
+    size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    clean, toxic = size.get(0, 0), size.get(1, 0)
+    if not toxic:
         return lexicon
-    clean, toxic = size["n0"], size["n1"]
-    rate1, rate0 = F.col("n1") / F.lit(float(toxic)), (F.col("n0") + 0.5) / F.lit(float(clean + 1))
-    learnt = (
-        counts.filter((F.col("key") != "") & (F.col("n1") >= max(at_least, support * toxic)) & (rate1 >= ratio * rate0))
-        .filter(F.col("n1") >= share * (F.col("n0") + F.col("n1")))
-        .withColumn("weight", F.log(rate1 / rate0))
-        .orderBy(F.desc(F.col("weight") * F.log1p("n1")), "key")
-        .limit(most)
-        .collect()
-    )
+
+    def keys(text: str | None) -> set[str]:
+        words = set(WORD.findall((text or "").lower()))
+        return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n}
+
+    def counter(among: frozenset[str] | None):
+        def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                own = keys(text)
+                out.update(own if among is None else own & among)
+            return record_batch({"key": (list(out), pa.string()), "n": (list(out.values()), pa.int64())})
+
+        return count
+
+    # First the toxic documents, a small part; the keys that many of them hold are then counted among the others. There are
+    # at most 1 / support times as many such keys as one document has on average.
+    of_toxic = map_batches(rows.filter("toxic = 1"), counter(None), "key string, n long", rows=100_000).groupBy("key").agg(F.sum("n").alias("n1"))
+    found = {r["key"]: r["n1"] for r in of_toxic.filter(F.col("n1") >= max(at_least, support * toxic)).collect()}
+    of_clean = map_batches(rows.filter("toxic = 0"), counter(frozenset(found)), "key string, n long", rows=100_000)
+    others = {r["key"]: r["n0"] for r in of_clean.groupBy("key").agg(F.sum("n").alias("n0")).collect()}
+    learnt = []
+    for key, n1 in found.items():
+        n0 = others.get(key, 0)
+        rate1, rate0 = n1 / toxic, (n0 + 0.5) / (clean + 1)
+        if rate1 >= ratio * rate0 and n1 >= share * (n0 + n1):
+            learnt.append({"key": key, "weight": math.log(rate1 / rate0), "n": n1})
+    learnt.sort(key=lambda r: (-r["weight"] * math.log1p(r["n"]), r["key"]))
+    learnt = learnt[:most]
     for row in learnt:
         if row["key"].endswith("*"):
             lexicon.stems[row["key"][:-1]] = (INSULT, row["weight"] / 2)
@@ -251,7 +256,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> Model:
     The lexicon counts all of them. The logistic regression takes sample_rows of them at most, those with the least hash of
     their id, so that the model's cost doesn't grow."""
     own = labels.select(F.col("doc_id").alias("_id"), "toxic").filter("toxic in (0, 1)").groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.filter(~held_out("doc_id")).select("doc_id", "text").join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    own = own.filter(~held_out("_id"))
+    # a label is some 20 bytes: up to BROADCAST_ROWS of them go to the tasks, more are merged with the texts
+    own = F.broadcast(own) if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else own.hint("merge")
+    rows = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
     rows = materialize(rows, "toxic-rows")
     model = Model(learn_lexicon(rows))
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("text", "toxic")
@@ -279,6 +287,17 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     return map_batches(docs.select(doc_id, text), run, "doc_id long, score double")
 
 
+def score_column(model: Model, text: str = "text") -> Column:
+    """The score as a column, for filters."""
+    memory = Memory(model.lexicon)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t, memory) for t in texts], dtype="float64")
+
+    return score(F.col(text))
+
+
 def matched_clauses(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, clause, weight): one row for every matched clause."""
     memory = Memory(model.lexicon)
