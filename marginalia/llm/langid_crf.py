@@ -30,6 +30,13 @@ from pyspark.sql import functions as F
 from .common import held_out, map_batches, record_batch
 
 WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Lower-case words with a letter (the pattern alone would let fractions and superscripts through)."""
+    return [w for w in WORD.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
+
+
 UNKNOWN = "und"
 GRAMS = (1, 2, 3, 4)
 
@@ -121,7 +128,7 @@ def fit(texts: list[tuple[str, str]], size: int = 1 << 17, epochs: int = 15, rat
         return None
     pieces = []
     for text, label in texts:
-        words = WORD.findall(text.lower())
+        words = words_of(text)
         pieces += [(words[i : i + piece], labels.index(label)) for i in range(0, len(words), piece)]
     random.Random(seed).shuffle(pieces)
     flat = [w for words, _ in pieces for w in words]
@@ -200,7 +207,7 @@ def label_batch(texts: list[str | None], field: Field, most_words: int = 200_000
 
     held = 0
     for text in texts:
-        group.append(WORD.findall((text or "").lower()))
+        group.append(words_of(text))
         held += len(group[-1])
         if held > most_words:
             flush()

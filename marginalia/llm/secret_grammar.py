@@ -1,8 +1,8 @@
 """Secret scans with probabilistic automata inferred from labelled credentials.
 
 Inference is state merging over a prefix tree: for each kind of credential a tree of its labelled examples is built
-with counts, and states are merged, nearest to the root first, where a Hoeffding bound finds the frequencies of their
-next symbols and of ending statistically compatible, all the way down. What remains is a small deterministic
+with counts, and states are merged, most frequent first, where a Hoeffding bound finds the frequencies of their
+next symbols and of ending statistically compatible; of several compatible states the likeliest is taken. What remains is a small deterministic
 automaton with probabilities: fixed prefixes stay as they are, random bodies become loops. Every candidate of a text
 is scored by the log-likelihood of its best automaton against a uniform source; scores per kind are the *format
 likelihood*. The base patterns stay in the result whatever their score; other candidates are added where the score
@@ -109,24 +109,36 @@ class Automaton:
                 else:
                     self.next[a][c] = self.next[b][c]
 
+    def likeness(self, a: int, b: int, alphabet: int = 64) -> float:
+        """Log-likelihood of what leaves state b under the smoothed frequencies of state a."""
+        total = self.total(a) + 0.1 * (alphabet + 1)
+        ending = self.ends[b] * math.log((self.ends[a] + 0.1) / total)
+        return ending + sum(n * math.log((self.count[a].get(c, 0) + 0.1) / total) for c, n in self.count[b].items())
+
     def infer(self, alpha: float = 0.05) -> Automaton:
-        """Merge or keep the states next to the kept ones, in order, until all that can be reached are kept."""
+        """Take the states next to the kept ones, most frequent first; merge each into the likeliest of the compatible kept
+        states, or keep it if there is none, until all that can be reached are kept."""
         kept = [0]
         while True:
-            at = next(((s, c) for s in kept for c in sorted(self.next[s]) if self.next[s][c] not in kept), None)
-            if at is None:
+            fringe = [(s, c) for s in kept for c in sorted(self.next[s]) if self.next[s][c] not in kept]
+            if not fringe:
                 return self
-            source, c = at
+            source, c = max(fringe, key=lambda x: self.total(self.next[x[0]][x[1]]))
             blue = self.next[source][c]
-            same = next((s for s in kept if self.compatible(s, blue, alpha)), None)
-            if same is None:
+            same = [s for s in kept if self.compatible(s, blue, alpha)]
+            if not same:
                 kept.append(blue)
             else:
-                self.next[source][c] = same
-                self.fold(same, blue)
+                target = max(same, key=lambda s: self.likeness(s, blue))
+                self.next[source][c] = target
+                self.fold(target, blue)
+
+    def compiled(self, open_from: int = 4) -> tuple[list[dict[str, tuple[int, float]]], list[float]]:
+        """Transitions with log-probabilities, and the log-probability of ending, for the states in use.
 
-    def compiled(self) -> tuple[list[dict[str, tuple[int, float]]], list[float]]:
-        """Transitions with log-probabilities, and the log-probability of ending, for the states in use."""
+        A state with open_from or more symbols is part of a random body: the other symbols of the examples' alphabet, which it
+        hasn't met by chance, follow its likeliest transition as half an example would. Fixed prefixes stay closed."""
+        alphabet = {c for counts in self.count for c in counts}
         number, order = {0: 0}, [0]
         for state in order:
             for c in sorted(self.next[state]):
@@ -134,6 +146,10 @@ class Automaton:
                     number[self.next[state][c]] = len(order)
                     order.append(self.next[state][c])
         moves = [{c: (number[self.next[s][c]], math.log(n / self.total(s))) for c, n in self.count[s].items()} for s in order]
+        for s, row in zip(order, moves, strict=True):
+            if len(row) >= open_from:
+                target = row[max(sorted(row), key=lambda c: row[c][1])][0]
+                row |= {c: (target, math.log(0.5 / (self.total(s) + 1))) for c in sorted(alphabet - row.keys())}
         return moves, [math.log(max(self.ends[s], 0.5) / (self.total(s) + 1)) for s in order]
 
 

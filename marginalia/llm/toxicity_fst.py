@@ -43,7 +43,7 @@ SEED_WORDS = {
 
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W\d_]+")
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 BROADCAST_ROWS = 2_000_000
 
 
@@ -171,14 +171,15 @@ def features(text: str | None, memory: Memory) -> tuple[float, float, float]:
 
 
 def learn_lexicon(
-    labelled: DataFrame, at_least: int = 4, support: float = 0.02, ratio: float = 20.0, share: float = 0.95, most: int = 20_000
+    labelled: DataFrame, at_least: int = 5, support: float = 0.008, ratio: float = 20.0, share: float = 0.9, most: int = 20_000
 ) -> Lexicon:
     """Fixed words and learnt insults.
 
     labelled: (text, toxic). Counts the documents of each class that hold each word and each word beginning, over all
     rows. Learnt are those in at_least toxic documents, and a share of ``support`` of them, whose rate is ``ratio`` times
-    that among the others and of whose documents the ``share`` is toxic. A word within a learnt beginning isn't listed again. most bounds the model; the
-    strongest entries stay."""
+    that among the others and of whose documents the ``share`` is toxic. The support is low because the words of a rare
+    language stand in few of all toxic documents. A word within a learnt beginning isn't listed again. most bounds the
+    model; the strongest entries stay."""
     lexicon = Lexicon.fixed()
     rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -272,7 +273,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> Model:
     got = map_batches(sample, measure, "x array<double>, toxic int").collect()
     y = np.array([r["toxic"] for r in got], float)
     if len(got) and 0 < y.sum() < len(y):
-        model.weights = tuple(logistic(np.array([r["x"] for r in got]), y).tolist())
+        *slopes, start = logistic(np.array([r["x"] for r in got]), y).tolist()
+        model.weights = (*slopes, min(start, -0.1))  # no evidence never makes a text toxic
     return model
 
 

@@ -1,0 +1,67 @@
+"""Every stage against a brute-force version of it on its own input."""
+
+from collections import defaultdict
+
+import corpus_pipeline
+from marginalia.llm import bin_packing, secret_grammar, toxicity_fst
+from marginalia.llm.common import materialize
+
+from .cases import SF, clashing, documents, empty
+from .test_search_and_packing import whole
+from .test_simhash import brute as brute_groups
+from .test_suffix_dedup import brute as brute_repeats
+
+
+def test_stages_by_brute_force(spark):
+    docs, seen = documents(spark), []
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = materialize(stage(spark, before, SF), name)
+        seen.append((name, before.collect(), docs.collect(), docs.columns))
+        assert docs.columns == before.columns or name == "packing"
+    steps = {name: (a, b) for name, a, b, _ in seen}
+    assert list(steps) == ["toxicity", "near_duplicates", "repeated_passages", "secrets", "packing"]
+
+    a, b = steps["toxicity"]
+    model = toxicity_fst.train(documents(spark), spark.read.parquet(f"{SF}/labels.parquet"))
+    memory = toxicity_fst.Memory(model.lexicon)
+    assert {r["doc_id"] for r in b} == {r["doc_id"] for r in a if model.score(r["text"], memory) < 0.5}
+
+    a, b = steps["near_duplicates"]
+    group = {d: c for d, _, c in brute_groups([(r["doc_id"], r["text"]) for r in a], 5, 2)}
+    assert sorted(r["doc_id"] for r in b) == sorted(set(group.values()))
+
+    a, b = steps["repeated_passages"]
+    want = {d: n - gone for d, n, gone, _, _ in brute_repeats([(r["doc_id"], r["text"]) for r in a])}
+    for r in b:  # spans shrink to whole characters: at most 3 bytes at either end
+        assert 0 <= len((r["text"] or "").encode()) - want[r["doc_id"]] <= 60
+
+    a, b = steps["secrets"]
+    grammar = secret_grammar.Grammar(secret_grammar.labelled_examples())
+    old = {r["doc_id"]: r["text"] for r in a}
+    for r in b:
+        spans = secret_grammar.scan_text(old[r["doc_id"]], grammar)
+        assert (r["text"] == old[r["doc_id"]]) == (not spans)
+        assert all(old[r["doc_id"]][s[0] : s[2]] not in r["text"] for s in spans)
+        assert r["n_chars"] == len(r["text"])
+
+    a, b = steps["packing"]
+    lengths = defaultdict(int)
+    for r in a:
+        lengths[r["doc_id"]] += len((r["text"] or "").split())
+    assert whole(b, lengths) == lengths
+
+
+def test_run_equals_its_stages(spark):
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == ["doc_id", "piece", "start", "length", "bin_id", "capacity", "place"]
+    assert got.count() > 0
+    assert set(bin_packing.CAPACITIES) >= {r["capacity"] for r in got.select("capacity").distinct().collect()} - {0}
+
+
+def test_defined_cases(spark):
+    for docs in (clashing(spark), empty(spark)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = materialize(stage(spark, docs, SF), name)
+            assert docs.columns == columns or name == "packing"
