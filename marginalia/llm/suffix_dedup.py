@@ -250,10 +250,10 @@ class Bitmap:
             hashes.select(F.shiftrightunsigned(x, 6).alias("w"), x.bitwiseAND(F.lit(63)).cast("int").alias("b"))
             .groupBy("w")
             .agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
-            .toPandas()
+            .toArrow()
         )
         bits = np.zeros(1 << (self.BITS - 6), np.uint64)
-        bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+        bits[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
         self.sent = hashes.sparkSession.sparkContext.broadcast(bits)
 
     def __getstate__(self) -> dict:
