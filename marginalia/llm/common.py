@@ -55,6 +55,14 @@ def held_out(doc_id) -> "F.Column":
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def least_hashed(rows: DataFrame, n: int, doc_id: str = "doc_id") -> DataFrame:
+    """The rows whose hash of doc_id is among the n least: n rows, and those that share the last one's hash. Only hashes are
+    sorted, so no task gathers texts. Rows are in no order."""
+    h = F.xxhash64(doc_id)
+    cut = rows.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return rows.filter(F.lit(False) if cut is None else h <= cut)
+
+
 def clean_name(df: DataFrame, wanted: str) -> str:
     """A column name that df does not have yet."""
     while wanted in df.columns:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, record_batch
+from .common import held_out, least_hashed, map_batches, record_batch
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -169,13 +169,9 @@ def fit(texts: list[tuple[str, str]], size: int = 1 << 17, epochs: int = 15, rat
 def train(docs: DataFrame, sample_docs: int = 500, sample_chars: int = 2_000_000) -> Field | None:
     """Fit on at most sample_docs whole texts (and at most sample_chars characters) with a language that aren't held out:
     those with the least hash of their id. The bound keeps the model's cost the same for any corpus."""
-    rows = (
-        docs.filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars // 20))
-        .select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "lang")
-        .orderBy("h", "doc_id", "text")
-        .limit(sample_docs)
-        .collect()
-    )
+    usable = docs.filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars // 20))
+    sample = least_hashed(usable, sample_docs).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "lang")
+    rows = sample.orderBy("h", "doc_id", "text").limit(sample_docs).collect()
     texts, total = [], 0
     for r in rows:
         total += len(r["text"])
