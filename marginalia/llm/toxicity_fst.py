@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, materialize, record_batch
+from .common import held_out, least_hashed, map_batches, materialize, record_batch
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -263,14 +263,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> Model:
     rows = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
     rows = materialize(rows, "toxic-rows")
     model = Model(learn_lexicon(rows))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("text", "toxic")
+    sample = least_hashed(rows, sample_rows).select("text", "toxic")
     memory = Memory(model.lexicon)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = [features(t, memory) for t in batch.column(0).to_pylist()]
         return record_batch({"x": ([list(v) for v in x], pa.list_(pa.float64())), "toxic": (batch.column(1).cast(pa.int32()), pa.int32())})
 
-    got = map_batches(sample, measure, "x array<double>, toxic int").collect()
+    # rows that repeat one id share its hash; the figures of so many at most come to the driver
+    got = sorted(map_batches(sample, measure, "x array<double>, toxic int").limit(2 * sample_rows).collect())
     y = np.array([r["toxic"] for r in got], float)
     if len(got) and 0 < y.sum() < len(y):
         *slopes, start = logistic(np.array([r["x"] for r in got]), y).tolist()
