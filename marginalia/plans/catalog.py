@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import corpus, evidence, extensions  # noqa: F401  (importing registers their queries)
+from .registry import QUERIES, SQL, Query
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
