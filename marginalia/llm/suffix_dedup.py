@@ -273,7 +273,7 @@ def _place_id(key: int, at: np.ndarray) -> np.ndarray:
     return mix(np.uint64(key & (1 << 64) - 1) + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(ODD)).view(np.int64)
 
 
-def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = 2000) -> DataFrame:
+def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = 1000) -> DataFrame:
     """(key, spans): byte spans (start, end) to remove from the text of each key. keyed: (key, text), where rows with equal
     keys have equal texts."""
     reach = length - gram
@@ -318,7 +318,8 @@ def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     contexts = materialize(
         rows.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at", "place")).alias("one")), "contexts"
     )
-    buckets = contexts.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
+    # where every context occurs twice, all are covered whole and nothing is left to compare
+    buckets = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 AND least = 1").drop("least")
     wanted = materialize(
         contexts.join(buckets, "gram").select("gram", "context", "n", F.ceil(F.col("m") / bucket).alias("parts"), "one.key", "one.place"), "wanted"
     )
@@ -364,12 +365,12 @@ def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     )
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole buckets, or parts of buckets, about a megabyte at a time."""
+        """Whole buckets, or parts of buckets, half a megabyte at a time."""
         held: list[tuple] = []
         volume = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and volume > 1_000_000 and held[-1][:2] != row[:2]:
+                if held and volume > 500_000 and held[-1][:2] != row[:2]:
                     yield settle(held)
                     held, volume = [], 0
                 held.append(row)
