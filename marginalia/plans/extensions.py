@@ -1 +1,39 @@
+"""Validators over the stand-in tables, and the batch form of the streamed decision log."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import validate
+from ..streaming import decisions
+from . import evidence
+from .registry import query, table
+
+
+@query(
+    f"""WITH {evidence.CHANGES_SQL} SELECT CAST(change_id AS VARCHAR) AS key, 'final_is_complete' AS rule FROM de WHERE decision IS NULL"""
+)
+def approval_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """V8: what keeps the set of decisions from being final."""
+    return validate.approval_set(evidence.review.decided(evidence.changes(spark, sf), evidence.log(spark, sf)), final=True)
+
+
+@query(
+    """SELECT CAST(l_orderkey AS VARCHAR) AS key, 'range' AS rule FROM lineitem WHERE l_quantity > 45
+    UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'unique_id' FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1"""
+)
+def plan_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """V9: order keys as operation ids, and large quantities as ranges that end before they start."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), "l_quantity")
+    ranges = {"range": F.col("l_quantity") <= 45}
+    return validate.all_of(validate.broken(rows, "id", ranges), validate._named(validate.repeated(rows, ["id"]), "id", "unique_id"))
+
+
+@query(
+    """SELECT user_id AS change_id, event_type AS decision FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+)
+def current_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """P5 over a log of events, as the streamed form leaves it."""
+    ev = table(spark, sf, "events").select(F.col("user_id").alias("change_id"), F.col("event_type").alias("decision"), "ts", "event_id")
+    return decisions.current(ev)
