@@ -33,8 +33,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of 2000 rows, since executors hold each batch twice; a smaller number that is set stays."""
+    if int(spark.conf.get(BATCH_KEY)) > BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 2000) -> DataFrame:
     """Apply fn to the record batches of df, cut to at most ``rows`` rows so that memory stays bounded."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

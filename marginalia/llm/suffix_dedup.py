@@ -265,8 +265,10 @@ class Bitmap:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        yield key, (text or "").encode()
+    """The bytes stay in the batch until a text's turn comes."""
+    texts = batch.column(1)
+    for key, text in zip(batch.column(0).to_pylist(), texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()), strict=True):
+        yield key, text.as_py() or b""
 
 
 def _place_id(key: int, at: np.ndarray) -> np.ndarray:
