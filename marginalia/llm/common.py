@@ -38,7 +38,8 @@ BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 def bound_batches(spark: SparkSession) -> None:
     """Texts go to Python in batches of 2000 rows, since executors hold each batch twice; a smaller number that is set stays."""
-    if int(spark.conf.get(BATCH_KEY)) > BATCH_ROWS:
+    now = int(spark.conf.get(BATCH_KEY))
+    if now <= 0 or now > BATCH_ROWS:  # 0 and less stand for no bound
         spark.conf.set(BATCH_KEY, BATCH_ROWS)
 
 
