@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bin_packing, secret_grammar, simhash_ring, suffix_dedup, toxicity_fst
+from marginalia.llm import bin_packing, secret_grammar, shingle_join, suffix_dedup, toxicity_fst
 from marginalia.llm.common import materialize, read
 
-#: Width of the shingles and greatest number of differing bits among 64 (96 % agree) of near duplicates.
-SHINGLE_WORDS, NEAR_BITS = 5, 2
+#: Width of the shingles of near duplicates; texts whose shingle sets have a Jaccard similarity of 0.8 or more are near.
+SHINGLE_WORDS = 5
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the least id, one of its copies if it is repeated."""
-    return simhash_ring.keep_one(docs, SHINGLE_WORDS, NEAR_BITS)
+    return shingle_join.keep_one(docs, SHINGLE_WORDS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

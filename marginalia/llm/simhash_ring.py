@@ -164,11 +164,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def groups(marked: DataFrame, budget: int = 2) -> DataFrame:
+def groups(marked: DataFrame, budget: int = 2, links: DataFrame | None = None) -> DataFrame:
     """(fp, component_id, n_fps) of every different fingerprint of marked (doc_id, fp): the least id that links reach, and
-    the number of different fingerprints of the group."""
+    the number of different fingerprints of the group. Other links (a, b) can stand for those of the fingerprints."""
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(ring_links(classes.select("fp"), budget))
+    roots = components(ring_links(classes.select("fp"), budget) if links is None else links)
     known = materialize(
         classes.join(roots, classes["fp"] == roots["node"], "left").select(
             "fp", "least", F.coalesce("root", "fp").alias("root")
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, doc_id: st
 def keep_one(docs: DataFrame, width: int = 5, budget: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with the least id of their group, one of them if several have that id. A group whose ids are all
     null keeps one row."""
-    row, fp = clean_name(docs, "_row"), clean_name(docs, "_kept")
+    row = clean_name(docs, "_row")
     numbered = docs.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -196,7 +196,12 @@ def keep_one(docs: DataFrame, width: int = 5, budget: int = 2, doc_id: str = "do
         return record_batch({"doc_id": (batch.column(0).cast(pa.int64()), pa.int64()), "row": (batch.column(1), pa.int64()), "fp": (fps.view(np.int64), pa.int64())})
 
     marked = materialize(map_batches(numbered.select(doc_id, row, text), run, "doc_id long, row long, fp long"), "fingerprints")
-    found = groups(marked.select("doc_id", "fp"), budget)
+    return keep_first(docs, numbered, marked, groups(marked.select("doc_id", "fp"), budget), row)
+
+
+def keep_first(docs: DataFrame, numbered: DataFrame, marked: DataFrame, found: DataFrame, row: str) -> DataFrame:
+    """keep_one's rows of docs, by the groups found of marked (doc_id, row, fp). numbered: docs with the column row."""
+    fp = clean_name(docs, "_kept")
     # of each group the row with the least id, then the least hash of id and text: counts of one group are summed up in the tasks
     first = (
         marked.join(found, "fp")
