@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bin_packing, secret_grammar, shingle_join, suffix_dedup, toxicity_fst
+from marginalia.llm import bin_packing, passages, secret_grammar, shingle_join, toxicity_fst
 from marginalia.llm.common import materialize, read
 
 #: Width of the shingles of near duplicates; texts whose shingle sets have a Jaccard similarity of 0.8 or more are near.
@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in a string of 400 that also starts elsewhere go from every text. Texts that had more and lost all stay, empty."""
-    return _measured(suffix_dedup.remove_repeats(docs))
+    """Words in a run of 51 that also starts elsewhere go from every text. Texts that lost all their words stay."""
+    return _measured(passages.remove_passages(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -275,13 +275,13 @@ def _place_id(key: int, at: np.ndarray) -> np.ndarray:
     return mix(np.uint64(key & (1 << 64) - 1) + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(ODD)).view(np.int64)
 
 
-def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = 1000) -> DataFrame:
+def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = 1000, raw=_texts) -> DataFrame:
     """(key, spans): byte spans (start, end) to remove from the text of each key. keyed: (key, text), where rows with equal
-    keys have equal texts."""
+    keys have equal texts. raw gives the keys and bytes of a batch."""
     reach = length - gram
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [anchors(np.frombuffer(t, np.uint8), length, gram)[1] for _, t in _texts(batch) if len(t) >= length]
+        found = [anchors(np.frombuffer(t, np.uint8), length, gram)[1] for _, t in raw(batch) if len(t) >= length]
         grams, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
         return record_batch({"gram": (grams.view(np.int64), pa.int64()), "n": (n, pa.int64())})
 
@@ -294,7 +294,7 @@ def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, grams, hashes, places, ids = [], [], [], [], []
-        for key, text in _texts(batch):
+        for key, text in raw(batch):
             at, h = anchors(np.frombuffer(text, np.uint8), length, gram)
             hit = repeated.has(h)
             at, h = at[hit], h[hit]
@@ -330,7 +330,7 @@ def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, grams, places, ats, lefts, bodies = [], [], [], [], [], []
         texts = want_text.has(batch.column(2).to_numpy())
-        for wanted_text, (key, text) in zip(texts.tolist(), _texts(batch), strict=True):
+        for wanted_text, (key, text) in zip(texts.tolist(), raw(batch), strict=True):
             if not wanted_text or len(text) < length:
                 continue
             at, h = anchors(np.frombuffer(text, np.uint8), length, gram)
