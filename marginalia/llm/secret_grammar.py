@@ -8,7 +8,11 @@ is scored by the log-likelihood of its best automaton against a uniform source;
 likelihood*. The base patterns stay in the result whatever their score; other candidates are added where the score
 reaches ``least`` nats.
 
-Candidates: whole runs of ``[A-Za-z0-9+/_.=-]`` of 16 or more characters, and every base match.
+Candidates: every base match, and stretches of 16 or more characters with letters and digits in runs of ``[A-Za-z0-9+/_.=-]``. A
+stretch ends where its run ends or before a character that is no letter or digit. It begins at its run's start or after such a
+character; automata that begin with a fixed prefix also begin anywhere else, so that a credential behind ``key=``, ``//`` or ``%3D`` is
+scored too. For a kind and start the last end that reaches ``least`` counts, so that no end of a credential is left. A stretch inside
+another or inside a base match is part of it.
 
 Defined cases: a null or empty text has no spans. Spans are in code points, the end exclusive. Every input row gives one
 output row; only the id and text columns are read. An empty table gives an empty table.
@@ -23,6 +27,7 @@ import re
 import string
 from collections import defaultdict
 from collections.abc import Iterable
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -38,6 +43,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+LEAST_RUN = 16
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 
 ALNUM = string.ascii_letters + string.digits
@@ -163,6 +169,35 @@ class Grammar:
         for kind, text in labelled:
             by_kind[kind].append(text)
         self.automata = {k: Automaton(v).infer(alpha).compiled() for k, v in sorted(by_kind.items())}
+        #: first characters of the automata that begin with a fixed prefix
+        self.prefixed = {k: set(moves[0]) for k, (moves, _) in self.automata.items() if len(moves[0]) == 1}
+
+    def stretches(self, run: str, least: float) -> list[tuple[int, int, float, str]]:
+        """(start, end, score, kind) of the stretches of run that score least or more, with the last end for each start and kind."""
+        inner = [not c.isalnum() for c in run]
+        digits, letters = ([0, *accumulate(f(c) for c in run)] for f in (str.isdigit, str.isalpha))
+        final, found = len(run.rstrip(".=")), []
+        for k, (moves, ends) in self.automata.items():
+            first = self.prefixed.get(k)
+            for start in range(final - LEAST_RUN + 1):
+                if run[start] not in first if first else start and not inner[start - 1]:
+                    continue
+                state, total, last = 0, 0.0, None
+                for at in range(start, final):
+                    step = moves[state].get(run[at])
+                    if step is None:
+                        break
+                    state, p = step
+                    total += p
+                    end = at + 1
+                    if end - start < LEAST_RUN or not (end == final or inner[end]):
+                        continue
+                    score = total + ends[state] - self.SOURCE * (end - start + 1)
+                    if score >= least and digits[end] > digits[start] and letters[end] > letters[start]:
+                        last = (start, end, score, k)
+                if last:
+                    found.append(last)
+        return found
 
     def score(self, text: str) -> tuple[float, str | None]:
         """(nats over the uniform source, kind) of the likeliest format; minus infinity if none can make the text."""
@@ -205,14 +240,14 @@ def scan_text(text: str | None, grammar: Grammar, least: float = 12.0) -> list[t
     base = base_spans(text)
     spans = [(s, k, e, grammar.score(text[s:e])[0], True) for s, k, e in base]
     for run in RUN.finditer(text):
-        whole = run[0].rstrip(".=")
-        start, end = run.start(), run.start() + len(whole)
-        mixed = any(c.isdigit() for c in whole) and any(c.isalpha() for c in whole)
-        if len(whole) < 16 or not mixed or any(s < end and start < e for s, _, e in base):
+        if not (any(c.isdigit() for c in run[0]) and any(c.isalpha() for c in run[0])):
             continue
-        score, kind = grammar.score(whole)
-        if score >= least:
-            spans.append((start, f"format-{kind}", end, score, False))
+        taken = [(s, e) for s, _, e in base]
+        for start, end, score, kind in sorted(grammar.stretches(run[0], least), key=lambda x: (x[0] - x[1], -x[2], x)):
+            start, end = run.start() + start, run.start() + end
+            if not any(s <= start and end <= e for s, e in taken):
+                taken.append((start, end))
+                spans.append((start, f"format-{kind}", end, score, False))
     return sorted(spans, key=lambda s: (s[0], BASE.index(s[1]) if s[1] in BASE else len(BASE), s[1]))
 
 
