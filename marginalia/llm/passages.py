@@ -1,14 +1,13 @@
 """Removal of passages of more than fifty words that stand in more than one place of all texts.
 
 A word goes if it lies in a run of ``words`` words that starts at more than one place; white space does not count. Every word
-becomes a code of six bytes (a hash), so that a run of words is a string of bytes, whatever its words' lengths, and the search is that
-of suffix_dedup over these codes. A string that repeats across the edges of codes has as many equal words, but for collisions of
-48 bits; spans shrink to whole words.
+becomes a code of 64 bits (a hash), whatever its length, and the search is that of suffix_dedup over these codes: anchors, contexts
+and suffix arrays of words instead of bytes.
 
 Scripts without spaces: each Han, kana, Thai, Lao, Khmer or Burmese character is a word. A string of more than 64 characters without a
 space counts as the pieces that end with one of a few characters (about eight characters each in random letters and digits).
 
-Defined cases: as in suffix_dedup. The white space around a passage stays.
+Defined cases: as in suffix_dedup; a null text stays null. The white space around a passage stays.
 """
 
 from __future__ import annotations
@@ -23,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_name, materialize
-from .suffix_dedup import covered_spans, merged
+from .common import clean_name, row_key
+from .suffix_dedup import covered_spans, merged, repeated_unit_starts
 
-WORDS, CODE = 51, 6
+WORDS = 51
 _ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")
 _PIECE = re.compile(r"[^-/.,;&=+_05AGMSYekqw]*[-/.,;&=+_05AGMSYekqw]|[^-/.,;&=+_05AGMSYekqw]+")
@@ -50,13 +49,12 @@ def words(text: str) -> list[str]:
     return [text[a:b] for a, b in word_spans(text)]
 
 
-def codes(text: str | None) -> bytes:
-    digest = xxhash.xxh3_64_intdigest
-    hashes = np.array([digest(w) for w in words(text or "")], "<u8")
-    return hashes.view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
+def codes(text: str | None) -> np.ndarray:
+    found = words(text or "")
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
 
 
-def _coded(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+def _coded(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
     for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
         yield key, codes(text.as_py())
 
@@ -64,10 +62,9 @@ def _coded(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
 def remove_passages(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with their texts cut. A null text stays null."""
     key, spans = clean_name(docs, "_key"), clean_name(docs, "_spans")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id), F.col(text)))
-    length = words * CODE
-    found = covered_spans(keyed.select(F.col(key).alias("key"), F.col(text).alias("text")), length, length * 5 // 8, raw=_coded)
-    found = materialize(found.select(F.col("key").alias(key), F.col("spans").alias(spans)), "passages")
+    keyed = docs.withColumn(key, row_key(doc_id, text))
+    texts = keyed.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    found = covered_spans(texts, words, words * 5 // 8, raw=_coded, starts=repeated_unit_starts)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
@@ -75,13 +72,11 @@ def remove_passages(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id",
             if t is None or s is None:
                 return t
             places, out, at = word_spans(t), [], 0
-            for a, b in merged([tuple(x) for x in s], len(places) * CODE):
-                first, last = -(-a // CODE), b // CODE - 1
-                if first <= last:
-                    out.append(t[at : places[first][0]])
-                    at = places[last][1]
+            for first, end in merged([tuple(x) for x in s], len(places)):
+                out.append(t[at : places[first][0]])
+                at = places[end - 1][1]
             return "".join([*out, t[at:]])
 
         return pd.Series([one(t, s) for t, s in zip(texts, found, strict=True)], dtype=object)
 
-    return keyed.join(found, key, "left").withColumn(text, cut(F.col(text), F.col(spans))).select(*docs.columns)
+    return keyed.join(found.toDF(key, spans), key, "left").withColumn(text, cut(F.col(text), F.col(spans))).select(*docs.columns)

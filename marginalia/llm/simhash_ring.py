@@ -1,35 +1,40 @@
 """Near-duplicate groups by SimHash, with pigeonring filtering of the candidates.
 
-Fingerprints link if they differ in at most ``budget`` of 64 bits. They are cut into ``budget + 1`` segments that stand
-in a ring. By the pigeonring principle two linked fingerprints have a segment from which every chain of l consecutive
-segments differs in at most l * budget / (budget + 1) bits: the first segment is equal, the first two differ in at most
-one bit, and so on. So fingerprints meet in buckets of equal first segments, and a pair goes on to the Hamming check
-only if all its longer chains keep within their budgets too.
-
-A bucket with up to ``bucket`` different fingerprints is joined with itself under these conditions. A larger one (a
-large family of near copies) is never joined with itself: each of its fingerprints goes to the key of itself and of
-every fingerprint that differs from it in one bit outside the shared segment. Two fingerprints at distance 2 or less
-share such a key, and all that share a key are within distance 2, so linking each key's members to its least member
-loses and adds nothing. A key has at most 65 members, whatever the bucket's size. That way is exact for budgets of 2;
-larger budgets use the join for every bucket.
+Fingerprints link if they differ in at most ``budget`` of 64 bits. They are cut into m segments that stand in a ring. By the
+pigeonring principle two linked fingerprints have a segment from which every chain of l consecutive segments differs in at
+most l * budget / m bits, rounded down. Fingerprints meet by what the chain leaves equal at its start, and a pair goes on to
+the Hamming check only if all its longer chains keep within their budgets too. There are two rings:
+
+* the coarse ring has budget + 1 segments; the first one is equal. With a budget of 2 that is a key of 21 bits;
+* the fine ring has 3 * budget + 1 segments; the first three are equal, and the next three differ in one bit at most, so that the
+  first or the second half of those is equal too: 41 bits with a budget of 2, which 10^10 random fingerprints hardly ever share.
+
+Fingerprints of coarse buckets with more than ``bucket`` members go to the fine ring, all others are joined there. What is still
+in a larger bucket of the fine ring is a family of near copies, whose pairs would grow with the square of its size. With a budget of 2
+each of its members goes to the key of itself and of every fingerprint that differs from it in one bit outside the bucket's
+bits. Two fingerprints at distance 2 or less share such a key, and all that share a key are within distance 2, so
+linking each key's members to its least member loses and adds nothing; a key has at most 65 members. Other budgets join these buckets too.
 
 Copies count once: everything works on distinct fingerprints, and the group of a document is found by its fingerprint.
 Groups come from alternating large-star and small-star steps over tables in the shared folder.
 
-Defined cases: a null or empty text has fingerprint 0, which links like any other. Rows with equal ids all get a result. A
-null id is kept; its row takes its group's least id, which is null only if all ids of the group are. Only the id and
+Defined cases: a null or empty text has fingerprint 0, which links like any other; a long text is one row like any other, hashed
+whole. Rows with equal ids all get a result. A null id is kept; its row takes its group's least id, which is null only if all ids
+of the group are. Ties: of rows with one id, the one with the least hash of id and text stays in keep_one. Only the id and
 text columns are read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_name, map_batches, materialize, record_batch
+from .common import clean_name, discard, map_batches, materialize, record_batch, row_key
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -48,8 +53,10 @@ def fingerprint(hashes: np.ndarray) -> int:
     """Bit k is set if it is set in over half of the hashes."""
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = bits.sum(axis=0, dtype=np.int64)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):  # 4 MB of bits at a time
+        part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
@@ -63,79 +70,91 @@ def fingerprints(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text:
     return map_batches(docs.select(doc_id, text), run, "doc_id long, fp long")
 
 
-def segments(budget: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of the budget + 1 segments of 64 bits."""
-    n = budget + 1
+def segments(n: int) -> list[int]:
+    """Masks of n segments of 64 bits."""
     cuts = [64 * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [((1 << b - a) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _mask(at: int, width: int) -> int:
-    value = ((1 << width) - 1) << at
-    return value - (1 << 64) if value >= 1 << 63 else value
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def _differ(a: Column, b: Column, parts: list[tuple[int, int]]) -> Column:
-    mask = 0
-    for at, width in parts:
-        mask |= ((1 << width) - 1) << at
-    return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask)))
+def _chain(ring: list[int], start: int, length: int) -> int:
+    return reduce(int.__or__, (ring[(start + k) % len(ring)] for k in range(length)), 0)
 
 
-def ring_links(fps: DataFrame, budget: int = 2, bucket: int = 64) -> DataFrame:
-    """(a, b), a < b: enough links between the distinct values of column fp to connect every linked pair, and no
-    link between values that differ in more than budget bits."""
-    parts = segments(budget)
-    n = len(parts)
-    rows = fps.select(
-        "fp",
-        F.explode(
-            F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_mask(*p))).alias("seg")) for i, p in enumerate(parts)))
-        ).alias("k"),
-    ).select("fp", "k.i", "k.seg")
-    sizes = rows.groupBy("i", "seg").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = materialize(rows.join(sizes, ["i", "seg"]), "ring")
-    small = sized.filter(F.col("n") <= bucket) if budget == 2 else sized
+def _halves(mask: int) -> tuple[int, int]:
+    bits = [k for k in range(64) if mask >> k & 1]
+    low = sum(1 << k for k in bits[: len(bits) // 2])
+    return low, mask ^ low
+
+
+def ring_keys(budget: int, fine: bool) -> list[tuple[int, int]]:
+    """(start, mask): two linked fingerprints agree on one of these masks, at a start from which all their chains keep within
+    their budgets."""
+    if not fine:
+        return list(enumerate(segments(budget + 1)))
+    ring = segments(3 * budget + 1)
+    return [(i, _chain(ring, i, 3) | half) for i in range(len(ring)) for half in _halves(_chain(ring, i + 3, min(3, len(ring) - 3)))]
+
+
+def _within_chains(a: Column, b: Column, key: Column, keys: list[tuple[int, int]], ring: list[int], budget: int) -> Column:
+    """Every chain from the key's start, the whole ring included, keeps within its budget. Chains are masks, looked up by key."""
+    n = len(ring)
+    tests = []
+    for length in range(1, n + 1):
+        masks = F.array(*(F.lit(_signed(_chain(ring, start, length))).cast("long") for start, _ in keys))
+        tests.append(F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.get(masks, key))) <= length * budget // n)
+    return reduce(Column.__and__, tests)
+
+
+def _one_ring(fps: DataFrame, budget: int, fine: bool, bucket: int | None) -> tuple[DataFrame, DataFrame]:
+    """(links, large): the links found in buckets of at most ``bucket`` fingerprints, and the rows (fp, k, seg) of all larger ones."""
+    keys = ring_keys(budget, fine)
+    ring = segments(3 * budget + 1 if fine else budget + 1)
+    each = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("seg")) for k, (_, m) in enumerate(keys)))
+    rows = fps.select("fp", F.inline(each))
+    sizes = rows.groupBy("k", "seg").agg(F.count("*").alias("n")).filter("n > 1")
+    sized = materialize(rows.join(sizes, ["k", "seg"]), "ring")
+    small = sized if bucket is None else sized.filter(F.col("n") <= bucket)
     x, y = small.alias("x"), small.alias("y")
     a, b = F.col("x.fp"), F.col("y.fp")
-    chains = F.lit(True)
-    for i in range(n):
-        within = F.lit(True)
-        for length in range(2, n + 1):
-            ring = [parts[(i + k) % n] for k in range(length)]
-            within &= _differ(a, b, ring) <= length * budget // n
-        chains &= (F.col("x.i") != i) | within
-    same = (F.col("x.i") == F.col("y.i")) & (F.col("x.seg") == F.col("y.seg"))
-    links = x.join(y, same & (a < b) & chains & (_differ(a, b, parts) <= budget)).select(a.alias("a"), b.alias("b"))
-    if budget != 2:
-        return links.distinct()
-    large = sized.filter(F.col("n") > bucket)
+    same = (F.col("x.k") == F.col("y.k")) & (F.col("x.seg") == F.col("y.seg"))
+    links = x.join(y, same & (a < b) & _within_chains(a, b, F.col("x.k"), keys, ring, budget)).select(a.alias("a"), b.alias("b"))
+    return links, sized.filter(F.lit(bucket is not None) & (F.col("n") > (bucket or 0)))
+
+
+def _stars(large: DataFrame, masks: list[int]) -> DataFrame:
+    """Links of the fingerprints of large buckets (fp, k, seg), for a budget of 2, without pairs."""
+    free = F.get(F.array(*(F.lit(_signed(~m & (1 << 64) - 1)).cast("long") for m in masks)), F.col("k"))
     flips = F.array(
-        *(
-            F.struct(F.when(F.shiftrightunsigned(F.col("m"), k).bitwiseAND(F.lit(1)) == 0, F.col("fp").bitwiseXOR(F.lit(_mask(k, 1)))).alias("key"))
-            for k in range(64)
-        ),
-        F.struct(F.col("fp").alias("key")),
-    )
-    masks = F.element_at(F.array(*(F.lit(_mask(*p)).cast("long") for p in parts)), F.col("i") + 1)
-    keys = large.withColumn("m", masks).select("fp", F.explode(flips).alias("k")).select("fp", F.col("k.key").alias("key"))
-    stars = (
-        keys.filter("key is not null")
-        .distinct()
-        .groupBy("key")
-        .agg(F.collect_list("fp").alias("all"))
-        .filter(F.size("all") > 1)
-        .select(F.array_min("all").alias("a"), F.explode("all").alias("b"))
-        .filter("a < b")
+        F.col("fp"),
+        *(F.when(F.shiftrightunsigned("free", k).bitwiseAND(F.lit(1)) == 1, F.col("fp").bitwiseXOR(F.lit(_signed(1 << k)))) for k in range(64)),
     )
-    return links.union(stars).distinct()
+    keys = large.withColumn("free", free).select("fp", F.explode(F.array_compact(flips)).alias("key")).distinct()
+    together = keys.groupBy("key").agg(F.collect_list("fp").alias("all")).filter(F.size("all") > 1)
+    return together.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).filter("a < b")
+
+
+def ring_links(fps: DataFrame, budget: int = 2, bucket: int = 64) -> DataFrame:
+    """(a, b), a < b: enough links between the distinct values of column fp to connect every linked pair, and no
+    link between values that differ in more than budget bits."""
+    coarse, large = _one_ring(fps.select("fp"), budget, False, bucket)
+    if large.isEmpty():
+        return coarse.distinct()
+    fine, family = _one_ring(large.select("fp").distinct(), budget, True, bucket if budget == 2 else None)
+    links = coarse.union(fine)
+    if not family.isEmpty():
+        links = links.union(_stars(family, [m for _, m in ring_keys(budget, True)]))
+    return links.distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node each node of links (a, b) reaches, by alternating star contraction.
 
     Every step is one grouping by node. A node's neighbours aren't gathered: the least neighbour is joined back to the
-    links, so that a node with very many links can be split."""
+    links, so that a node with very many links can be split. The tables of a step go when the next one is written."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
     before = None
     for _ in range(rounds):
@@ -145,6 +164,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = materialize(
             both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
         )
+        discard(edges)
         # small star: a node and its neighbours below link to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
@@ -155,18 +175,22 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             .distinct(),
             "edges",
         )
+        discard(large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots.stored_at = edges.stored_at
+    return roots
 
 
 def groups(marked: DataFrame, budget: int = 2, links: DataFrame | None = None) -> DataFrame:
-    """(fp, component_id, n_fps) of every different fingerprint of marked (doc_id, fp): the least id that links reach, and
-    the number of different fingerprints of the group. Other links (a, b) can stand for those of the fingerprints."""
+    """(fp, root, component_id, n_fps) of every different fingerprint of marked (doc_id, fp): the least fingerprint and the least id
+    that links reach, and the number of different fingerprints of the group. Other links (a, b) can stand for those of the
+    fingerprints."""
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(ring_links(classes.select("fp"), budget) if links is None else links)
     known = materialize(
@@ -176,7 +200,9 @@ def groups(marked: DataFrame, budget: int = 2, links: DataFrame | None = None) -
         "roots",
     )
     ids = materialize(known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_fps")), "ids")
-    return materialize(known.join(ids, "root").select("fp", "component_id", "n_fps"), "by-fp")
+    found = materialize(known.join(ids, "root").select("fp", "root", "component_id", "n_fps"), "by-fp")
+    discard(classes, roots, known, ids)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,26 +215,30 @@ def keep_one(docs: DataFrame, width: int = 5, budget: int = 2, doc_id: str = "do
     """The rows of docs with the least id of their group, one of them if several have that id. A group whose ids are all
     null keeps one row."""
     row = clean_name(docs, "_row")
-    numbered = docs.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text)))
+    numbered = docs.withColumn(row, row_key(doc_id, text))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(shingle_hashes(t, width)) for t in batch.column(2).to_pylist()], np.uint64)
-        return record_batch({"doc_id": (batch.column(0).cast(pa.int64()), pa.int64()), "row": (batch.column(1), pa.int64()), "fp": (fps.view(np.int64), pa.int64())})
+        return record_batch({"doc_id": (batch.column(0).cast(pa.int64()), pa.int64()), "row": (batch.column(1), pa.binary()), "fp": (fps.view(np.int64), pa.int64())})
 
-    marked = materialize(map_batches(numbered.select(doc_id, row, text), run, "doc_id long, row long, fp long"), "fingerprints")
+    marked = materialize(map_batches(numbered.select(doc_id, row, text), run, "doc_id long, row binary, fp long"), "fingerprints")
     return keep_first(docs, numbered, marked, groups(marked.select("doc_id", "fp"), budget), row)
 
 
 def keep_first(docs: DataFrame, numbered: DataFrame, marked: DataFrame, found: DataFrame, row: str) -> DataFrame:
-    """keep_one's rows of docs, by the groups found of marked (doc_id, row, fp). numbered: docs with the column row."""
-    fp = clean_name(docs, "_kept")
-    # of each group the row with the least id, then the least hash of id and text: counts of one group are summed up in the tasks
+    """keep_one's rows of docs, by the groups found of marked (doc_id, row, fp). numbered: docs with the column row.
+
+    Both tables are read no more afterwards."""
+    kept = clean_name(docs, "_kept")
+    # of each group the row with the least id, then the least key of id and text: parts of one group are summed up in the tasks
     first = (
         marked.join(found, "fp")
-        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own"))
-        .agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))).alias(fp))
-        .select(fp)
+        .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root")
+        .agg(F.min("row").alias(kept))
+        .select(kept)
     )
-    kept = numbered.join(materialize(first, "kept"), F.col(row) == F.col(fp), "left_semi")
-    # rows that are equal in id and text have one hash; the first of each stays
-    return kept.dropDuplicates([row]).select(*docs.columns)
+    first = materialize(first, "kept")
+    discard(marked, found)
+    # rows that are equal in id and text have one key; the first of each stays
+    return numbered.join(first, F.col(row) == F.col(kept), "left_semi").dropDuplicates([row]).select(*docs.columns)

@@ -17,13 +17,19 @@ groups, by the number of pointers, and in the end each group's order is emitted
 and nothing recurses. Neighbours' common prefixes in bytes cut the order into classes of equal strings; a string that
 starts inside a token joins the class of the next token's suffix with the bytes before it.
 
-Scale. Nothing is gathered per text, gram or string except contexts of one bucket, and a bucket of more than ``bucket``
-contexts is split: its parts settle what they can, and the different strings of all parts meet again by their hash.
-Two fixed-size bitmaps (8 MB each) of repeated grams and wanted contexts go to the tasks; they only save rows, a false hit
-changes nothing. Texts are known by a 64-bit hash of their id and content, contexts by 64 bits besides their gram's.
+Units. A text is a row of units: bytes here, words (as 64-bit codes) in ``passages``, where each code is a symbol of its own.
+``length`` and ``gram`` count units.
 
-Defined cases: a null or empty text has no bytes; texts shorter than ``length`` lose nothing. Rows with equal ids, and whole
-rows that repeat, are texts of their own. Every input row gives one output row. An empty table gives an empty table.
+Scale. Nothing is gathered per text, gram or string except contexts of one bucket, and a bucket of more than ``bucket``
+contexts is split: its parts settle what they can, and the different strings of all parts meet again by their hash, beside the hash of
+their gram. Two bitmaps of repeated grams and wanted contexts go to the tasks; they have 32 bits for each entry, at most 2^29 (64 MB),
+and only save rows: a false hit changes nothing, and beyond some 10^8 entries they save less. Texts are known by 128 bits of their id
+and content, contexts by 64 bits besides their gram's. A passage that very many texts share is one row with a count on one side of
+the join that takes its count back to its places, so that Spark can split the other side.
+
+Defined cases: a null or empty text has no bytes; texts shorter than ``length`` lose nothing; a very long text is taken whole, as one
+row of one task. Rows with equal ids, and whole rows that repeat, are texts of their own. Every input row gives one output row; only
+the id and text columns are read, whatever other columns are called. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_name, map_batches, materialize, record_batch
+from .common import clean_name, discard, map_batches, materialize, record_batch, row_key
 
 LENGTH, GRAM = 400, 256
 ODD = 0x9E3779B97F4A7C15
@@ -59,12 +65,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hashes of substrings: a polynomial modulo 2**64 over random byte values, mixed afterwards."""
+    """Hashes of substrings: a polynomial modulo 2**64 over random values of the units, mixed afterwards."""
 
     def __init__(self, data: np.ndarray):
         self.up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * self.up[:-1], out=self.sums[1:])
+        values = _TABLE[data] if data.dtype == np.uint8 else mix(data)
+        np.cumsum(values * self.up[:-1], out=self.sums[1:])
 
     def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
@@ -90,7 +97,7 @@ def sliding(x: np.ndarray, width: int, op: np.ufunc, fill: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the grams that are least in some string of length bytes; equal grams all count."""
+    """(places, hashes) of the grams that are least in some string of length units; equal grams all count."""
     if len(data) < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = Rolling(data).all(gram)
@@ -225,116 +232,160 @@ def repeated_starts(
         pick = np.flatnonzero((gap >= t) & (start >= 0) & (start <= (sizes - length)[own]))
         if not len(pick):
             continue
-        c, s = own[pick], start[pick]
-        key = mix(kind[pick].astype(np.uint64) * np.uint64(ODD) + rolling.at(at[pick] - t, at[pick]))
-        key = mix(key + groups[c].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (lefts[c] - s).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        distinct, one, code = np.unique(key + np.uint64(t), return_index=True, return_inverse=True)
-        total = np.bincount(code, weights[c], len(distinct))
-        absolute, first = at[pick] - t, np.zeros(len(pick), bool)
-        first[one] = True
-        found.append((c, s, rolling.at(absolute, absolute + length), total[code] >= 2, first))
+        c, s, absolute = own[pick], start[pick], at[pick] - t
+        strings = kind[pick].astype(np.uint64) * np.uint64(ODD) + rolling.at(absolute, at[pick]) + np.uint64(t)
+        found.append((c, s, rolling.at(absolute, absolute + length), *_counted(strings, c, s, lefts, groups, weights)))
     if not found:
         empty = np.empty(0, np.int64)
         return empty, empty, empty.astype(np.uint64), empty.astype(bool), empty.astype(bool)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _counted(strings: np.ndarray, c: np.ndarray, s: np.ndarray, lefts: np.ndarray, groups: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(repeated, first of its equals) of the strings that start at s in the contexts c, by their classes and distances from the anchor."""
+    key = mix(strings)
+    key = mix(key + groups[c].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (lefts[c] - s).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    distinct, one, code = np.unique(key, return_index=True, return_inverse=True)
+    total = np.bincount(code, weights[c], len(distinct))
+    first = np.zeros(len(key), bool)
+    first[one] = True
+    return total[code] >= 2, first
+
+
+def repeated_unit_starts(
+    contexts: list[bytes], lefts: np.ndarray, groups: np.ndarray, weights: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """repeated_starts for units of eight bytes: every unit is a symbol, and every string starts at one."""
+    sizes = np.array([len(c) // 8 for c in contexts], np.int64)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    data = np.frombuffer(bytes(8).join(contexts) + bytes(8), np.uint64)
+    separator = np.zeros(len(data), bool)
+    separator[begins + sizes] = True
+    symbols = np.ones(len(data) + 1, np.int64)
+    symbols[:-1][~separator] = np.unique(data[~separator], return_inverse=True)[1] + 2
+    symbols[-1] = 0
+    order = np.array(suffix_array(symbols), np.int64)
+    owner = np.repeat(np.arange(len(contexts)), sizes + 1)
+    inside = np.arange(len(data)) - begins[owner]
+    at = order[order < len(data)]
+    at = at[inside[at] <= (sizes - length)[owner[at]]]
+    windows = sliding_window_view(np.concatenate([data, np.zeros(length, np.uint64)]), length)
+    new = np.zeros(len(at), np.uint64)  # equal strings are neighbours in the order of the suffixes
+    for k in range(1, len(at), 10_000):
+        a = at[k : k + 10_000]
+        new[k : k + 10_000] = (windows[a] != windows[at[k - 1 : k - 1 + len(a)]]).any(axis=1)
+    c, s = owner[at], inside[at]
+    return c, s, Rolling(data).at(at, at + length), *_counted(np.cumsum(new) * np.uint64(ODD), c, s, lefts, groups, weights)
+
+
 class Bitmap:
-    """A fixed number of bits, indexed by the low bits of a hash. It can say yes wrongly, never no."""
+    """Bits indexed by the low bits of a hash: 32 for each row of hashes (a written table), at most 2^29. It can say yes wrongly,
+    never no."""
 
-    BITS = 26
+    LEAST, MOST = 16, 29
 
     def __init__(self, hashes: DataFrame, column: str):
-        x = F.col(column).bitwiseAND(F.lit((1 << self.BITS) - 1))
+        self.bits = min(self.MOST, max(self.LEAST, (32 * hashes.count()).bit_length()))
+        x = F.col(column).bitwiseAND(F.lit((1 << self.bits) - 1))
         words = (
             hashes.select(F.shiftrightunsigned(x, 6).alias("w"), x.bitwiseAND(F.lit(63)).cast("int").alias("b"))
             .groupBy("w")
             .agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
             .toArrow()
         )
-        bits = np.zeros(1 << (self.BITS - 6), np.uint64)
+        bits = np.zeros(1 << (self.bits - 6), np.uint64)
         bits[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
         self.sent = hashes.sparkSession.sparkContext.broadcast(bits)
 
     def __getstate__(self) -> dict:
-        return {"sent": self.sent}
+        return {"sent": self.sent, "bits": self.bits}
 
     def has(self, x: np.ndarray) -> np.ndarray:
-        i = x.view(np.uint64) & np.uint64((1 << self.BITS) - 1)
+        i = x.view(np.uint64) & np.uint64((1 << self.bits) - 1)
         return (self.sent.value[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
     """The bytes stay in the batch until a text's turn comes."""
     texts = batch.column(1)
     for key, text in zip(batch.column(0).to_pylist(), texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()), strict=True):
-        yield key, text.as_py() or b""
+        yield key, np.frombuffer(text.as_py() or b"", np.uint8)
+
+
+def _text_bits(keys: list[bytes]) -> np.ndarray:
+    """32 bits of each text."""
+    return mix(np.frombuffer(b"".join(keys), np.uint64)[::2]) >> np.uint64(32)
+
 
+def _place_ids(key: bytes, at: np.ndarray) -> np.ndarray:
+    """32 bits of the text, then 32 bits of the place in it: with the gram's hash they stand for a place."""
+    low = mix(np.frombuffer(key, np.uint64)[1] + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(ODD)) >> np.uint64(32)
+    return (_text_bits([key]) << np.uint64(32) | low).view(np.int64)
 
-def _place_id(key: int, at: np.ndarray) -> np.ndarray:
-    return mix(np.uint64(key & (1 << 64) - 1) + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(ODD)).view(np.int64)
 
+def _flat(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.empty(0, np.int64)
 
-def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = 1000, raw=_texts) -> DataFrame:
-    """(key, spans): byte spans (start, end) to remove from the text of each key. keyed: (key, text), where rows with equal
-    keys have equal texts. raw gives the keys and bytes of a batch."""
+
+def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = 1000, raw=_texts, starts=repeated_starts) -> DataFrame:
+    """(key, spans): spans (start, end) of units to remove from the text of each key, a written table. keyed: (key, text), where
+    key has 16 bytes and rows with equal keys have equal texts. raw gives the keys and units of a batch; starts is the suffix-array
+    search for units of that size."""
     reach = length - gram
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [anchors(np.frombuffer(t, np.uint8), length, gram)[1] for _, t in raw(batch) if len(t) >= length]
-        grams, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
+        found = [anchors(t, length, gram)[1] for _, t in raw(batch) if len(t) >= length]
+        grams, n = np.unique(_flat(found), return_counts=True)
         return record_batch({"gram": (grams.view(np.int64), pa.int64()), "n": (n, pa.int64())})
 
     counted = map_batches(keyed, count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
+    counted = materialize(counted.select("gram"), "grams")
     repeated = Bitmap(counted, "gram")
+    discard(counted)
 
-    def context(text: bytes, p: int) -> tuple[int, bytes]:
+    def context(text: np.ndarray, p: int) -> tuple[int, bytes]:
         begin = max(0, p - reach)
-        return p - begin, text[begin : p + length]
+        return p - begin, text[begin : p + length].tobytes()
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, grams, hashes, places, ids = [], [], [], [], []
         for key, text in raw(batch):
-            at, h = anchors(np.frombuffer(text, np.uint8), length, gram)
+            at, h = anchors(text, length, gram)
             hit = repeated.has(h)
             at, h = at[hit], h[hit]
             keys += [key] * len(at)
             grams.append(h.view(np.int64))
             places.append(at)
-            ids.append(_place_id(key, at))
+            ids.append(_place_ids(key, at))
             for p in at.tolist():
                 left, own = context(text, p)
                 hashes.append(int.from_bytes(hashlib.blake2b(own, digest_size=8, key=left.to_bytes(4, "little")).digest(), "little", signed=True))
-        flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return record_batch(
             {
-                "gram": (flat(grams), pa.int64()),
+                "gram": (_flat(grams), pa.int64()),
                 "context": (hashes, pa.int64()),
-                "key": (keys, pa.int64()),
-                "at": (flat(places), pa.int64()),
-                "place": (flat(ids), pa.int64()),
+                "key": (keys, pa.binary()),
+                "at": (_flat(places), pa.int64()),
+                "place": (_flat(ids), pa.int64()),
             }
         )
 
-    rows = materialize(map_batches(keyed, place, "gram long, context long, key long, at long, place long"), "places")
-    contexts = materialize(
-        rows.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at", "place")).alias("one")), "contexts"
-    )
+    rows = materialize(map_batches(keyed, place, "gram long, context long, key binary, at long, place long"), "places")
+    contexts = materialize(rows.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min("place").alias("place")), "contexts")
     # where every context occurs twice, all are covered whole and nothing is left to compare
     buckets = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 AND least = 1").drop("least")
-    wanted = materialize(
-        contexts.join(buckets, "gram").select("gram", "context", "n", F.ceil(F.col("m") / bucket).alias("parts"), "one.key", "one.place"), "wanted"
-    )
-    want_text, want_place = Bitmap(wanted.select(F.xxhash64("key").alias("h")), "h"), Bitmap(wanted, "place")
+    wanted = materialize(contexts.join(buckets, "gram").select("gram", "context", "n", F.ceil(F.col("m") / bucket).alias("parts"), "place"), "wanted")
+    want_place = Bitmap(wanted, "place")
+    in_texts = materialize(wanted.select(F.shiftrightunsigned("place", 32).alias("h")).distinct(), "wanted-texts")
+    want_text = Bitmap(in_texts, "h")
+    discard(in_texts)
 
     def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(want_text.has(_text_bits(batch.column(0).to_pylist()))))
         keys, grams, places, ats, lefts, bodies = [], [], [], [], [], []
-        texts = want_text.has(batch.column(2).to_numpy())
-        for wanted_text, (key, text) in zip(texts.tolist(), raw(batch), strict=True):
-            if not wanted_text or len(text) < length:
-                continue
-            at, h = anchors(np.frombuffer(text, np.uint8), length, gram)
-            ids = _place_id(key, at)
+        for key, text in raw(batch):
+            at, h = anchors(text, length, gram)
+            ids = _place_ids(key, at)
             hit = want_place.has(ids) & repeated.has(h)
             keys += [key] * int(hit.sum())
             grams.append(h[hit].view(np.int64))
@@ -344,22 +395,20 @@ def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
                 left, own = context(text, p)
                 lefts.append(left)
                 bodies.append(own)
-        flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return record_batch(
             {
-                "gram": (flat(grams), pa.int64()),
-                "place": (flat(places), pa.int64()),
+                "gram": (_flat(grams), pa.int64()),
+                "place": (_flat(places), pa.int64()),
+                "key": (keys, pa.binary()),
                 "at": (ats, pa.int64()),
                 "left": (lefts, pa.int32()),
                 "body": (bodies, pa.binary()),
             }
         )
 
-    bodies = map_batches(
-        keyed.withColumn("h", F.xxhash64("key")), cut_out, "gram long, place long, at long, left int, body binary"
-    ).dropDuplicates(["place"])
+    bodies = map_batches(keyed, cut_out, "gram long, place long, key binary, at long, left int, body binary")
     items = (
-        wanted.join(bodies.drop("gram"), "place")
+        wanted.join(bodies.dropDuplicates(["gram", "place"]), ["gram", "place"])
         .withColumn("part", F.pmod("context", "parts"))
         .repartition("gram", "part")
         .sortWithinPartitions("gram", "part")
@@ -385,7 +434,7 @@ def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         at, left, n = np.array(at, np.int64), np.array(left, np.int64), np.array(n, np.int64)
         numbers: dict = {}
         group = np.array([numbers.setdefault(x, len(numbers)) for x in zip(grams, parts, strict=True)], np.int64)
-        c, s, h, again, one = repeated_starts(body, left, group, np.minimum(n, 2), length)
+        c, s, h, again, one = starts(body, left, group, np.minimum(n, 2), length)
         out: dict[str, list] = {k: [] for k in ("key", "start", "gram", "slot", "singles")}
         mine = again & (n[c] == 1)  # what occurs twice is covered whole elsewhere
         place = np.lexsort((s[mine], c[mine]))
@@ -407,12 +456,12 @@ def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
             for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
                 i = order[a:b]
                 absolute = (at - left)[lc[i]] + s[loose][i]
-                packed = np.stack([mixed[i].view(np.int64), np.array(keys, np.int64)[lc[i]], absolute], axis=1)
+                packed = np.stack([mixed[i].view(np.int64), *np.frombuffer(b"".join([keys[k] for k in lc[i]]), np.int64).reshape(-1, 2).T, absolute], axis=1)
                 out["key"].append(None), out["start"].append(None)
                 out["gram"].append(int(bucket_of[i[0]])), out["slot"].append(int(slot[i[0]])), out["singles"].append(packed.tobytes())
         return record_batch(
             {
-                "key": (out["key"], pa.int64()),
+                "key": (out["key"], pa.binary()),
                 "start": (out["start"], pa.list_(pa.int64())),
                 "gram": (out["gram"], pa.int64()),
                 "slot": (out["slot"], pa.int64()),
@@ -420,7 +469,7 @@ def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
             }
         )
 
-    settled = materialize(items.mapInArrow(resolve, "key long, start array<long>, gram long, slot long, singles binary"), "settled")
+    settled = materialize(items.mapInArrow(resolve, "key binary, start array<long>, gram long, slot long, singles binary"), "settled")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The strings of one slot of a split bucket, from all its parts."""
@@ -428,10 +477,11 @@ def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         now = None
 
         def done() -> pa.RecordBatch:
-            x = np.frombuffer(b"".join(held), np.int64).reshape(-1, 3)
+            x = np.frombuffer(b"".join(held), np.int64).reshape(-1, 4)
             _, code, n = np.unique(x[:, 0], return_inverse=True, return_counts=True)
             again = x[n[code] > 1]
-            return record_batch({"key": (again[:, 1], pa.int64()), "start": ([[int(s), int(s) + length] for s in again[:, 2]], pa.list_(pa.int64()))})
+            keys = [k.tobytes() for k in again[:, 1:3]]
+            return record_batch({"key": (keys, pa.binary()), "start": ([[int(s), int(s) + length] for s in again[:, 3]], pa.list_(pa.int64()))})
 
         for batch in batches:
             for gram_, slot, singles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -444,12 +494,14 @@ def covered_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
             yield done()
 
     loose = settled.filter("singles is not null").select("gram", "slot", "singles")
-    met = loose.repartition("gram", "slot").sortWithinPartitions("gram", "slot").mapInArrow(meet, "key long, start array<long>")
+    met = loose.repartition("gram", "slot").sortWithinPartitions("gram", "slot").mapInArrow(meet, "key binary, start array<long>")
     whole = rows.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"]).select(
         "key", F.array(F.greatest(F.lit(0), F.col("at") - reach), F.col("at") + length).alias("start")
     )
     spans = whole.union(settled.filter("key is not null").select("key", "start")).union(met)
-    return spans.groupBy("key").agg(F.collect_set("start").alias("spans"))
+    found = materialize(spans.groupBy("key").agg(F.collect_set("start").alias("spans")), "spans")
+    discard(rows, contexts, wanted, settled)
+    return found
 
 
 def merged(spans: list | None, size: int) -> list[tuple[int, int]]:
@@ -467,11 +519,10 @@ def merged(spans: list | None, size: int) -> list[tuple[int, int]]:
 def with_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> tuple[DataFrame, str]:
     """docs with a column (its name is returned) of the byte spans to remove, unmerged and in no order."""
     key, spans = clean_name(docs, "_key"), clean_name(docs, "_spans")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id), F.col(text)))
+    keyed = docs.withColumn(key, row_key(doc_id, text))
     gram = GRAM if length == LENGTH else max(1, length * 5 // 8)
     found = covered_spans(keyed.select(F.col(key).alias("key"), F.col(text).alias("text")), length, gram)
-    found = materialize(found.select(F.col("key").alias(key), F.col("spans").alias(spans)), "spans")
-    return keyed.join(found, key, "left").drop(key), spans
+    return keyed.join(found.toDF(key, spans), key, "left").drop(key), spans
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from marginalia.llm import entries, simhash_ring
@@ -76,7 +77,7 @@ def test_links_in_small_and_large_buckets(spark):
     signed = [(v - (1 << 64) if v >= 1 << 63 else v,) for v in values]
     fps = spark.createDataFrame(signed, "fp long")
     want = classes(values, 2)
-    for bucket in (4, 64, 100_000):
+    for bucket in (2, 4, 64, 100_000):
         links = ring_links(fps, 2, bucket).collect()
         assert all(bin((r["a"] ^ r["b"]) & (1 << 64) - 1).count("1") <= 2 for r in links)
         up = {v: v for v in values}
@@ -104,3 +105,22 @@ def test_components_of_chains_and_stars(spark):
 def test_groups_without_links(spark):
     got = groups(spark.createDataFrame([(3, 0), (2, 0), (9, -1)], "doc_id long, fp long"))
     assert rows_of(got, "fp", "component_id", "n_fps") == [(-1, 9, 1), (0, 2, 1)]
+
+
+@pytest.mark.parametrize("budget, fine", [(1, False), (2, False), (3, False), (2, True), (3, True)])
+def test_pigeonring_keys_meet_all_linked_pairs(budget, fine):
+    """Two values within the budget agree on the mask of some key from whose start all chains keep within their budgets."""
+    rng = random.Random(budget)
+    keys, ring = simhash_ring.ring_keys(budget, fine), simhash_ring.segments(3 * budget + 1 if fine else budget + 1)
+    for _ in range(3000):
+        differ = sum(1 << k for k in rng.sample(range(64), rng.randrange(budget + 1)))
+        chains = lambda start: all(
+            (differ & simhash_ring._chain(ring, start, n)).bit_count() <= n * budget // len(ring) for n in range(1, len(ring) + 1)
+        )
+        assert any(not differ & mask and chains(start) for start, mask in keys)
+    assert fine is (min(mask.bit_count() for _, mask in keys) > 64 // (budget + 1) + 1)
+
+
+def test_ids_that_are_all_null_keep_one_row_of_each_group(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "other words"), (4, "a b c d e f")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash_ring.keep_one(docs).collect()) == [(0, "other words"), (4, "a b c d e f")]

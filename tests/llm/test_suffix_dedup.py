@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import entries, suffix_dedup
 
@@ -75,3 +76,26 @@ def test_texts_stay_valid(spark):
     docs = spark.createDataFrame([(1, "x" + passage + "é", None, None, 1), (2, "yy" + passage + "中", None, None, 1)], SCHEMA)
     kept = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(docs).collect()}
     assert kept == {1: "x", 2: "yy中"}
+
+
+@pytest.mark.parametrize("size, gone", [(399, 0), (400, 400), (401, 401)])
+def test_the_length_that_counts(spark, size, gone):
+    """A passage of 400 bytes in two documents goes, one of 399 stays, however many words it has."""
+    rng = random.Random(size)
+    own = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    passage = " ".join(own(5) for _ in range(100))[:size]
+    assert len(passage.split()) > 50
+    docs = spark.createDataFrame([(k, f"{own(300)}{'XYZ'[k]}{passage}{'UVW'[k]}{own(500)}", None, None, 1) for k in range(3)], SCHEMA)
+    assert [r["n_removed"] for r in suffix_dedup.digest(docs).collect()] == [gone] * 3
+    cut = suffix_dedup.remove_repeats(docs, length=240)  # the operator's length is free
+    assert all(passage not in r["text"] for r in cut.collect())
+
+
+def test_rows_that_share_64_bits_of_their_key(spark, monkeypatch):
+    """Texts are told apart by 128 bits, so one text's spans never cut another."""
+    rng = random.Random(3)
+    passage = "".join(rng.choices("abcdef ", k=600))
+    rows = [(k, "".join(rng.choices("ghij", k=500)) + (passage if k < 2 else "".join(rng.choices("klmn", k=900))), None, None, 1) for k in range(6)]
+    half = lambda *c: F.unhex(F.concat(F.lit("ab" * 8), F.substring(F.md5(F.concat_ws("|", *c)), 1, 16)))
+    monkeypatch.setattr(suffix_dedup, "row_key", half)
+    assert rows_of(suffix_dedup.digest(spark.createDataFrame(rows, SCHEMA)), *NAMES) == brute([r[:2] for r in rows])
