@@ -4,13 +4,14 @@ The distinct pieces of a batch of texts are put into matrices, one row a piece,
 In each round every row merges its leftmost pair of least rank: the ranks of all neighbouring pairs come from one
 open-addressing hash table, the winners are replaced, and the rows are compacted by one position. A row without
 a pair that merges is done and leaves the matrix. Pieces longer than ``matrix_bytes`` (runs without a word break)
-would need as many rounds as they have bytes; they are merged with a heap, by the same rule, one at a time.
+would need as many rounds as they have bytes, each over the whole row; they are merged with a heap, by the same rule, one at a time.
 
 The vocabulary is a file of ranks whose place is a parameter. It is read on the driver and sent as a broadcast of
 fixed size, so executors need no copy of the file.
 
-Defined cases: a null text is encoded as the empty text, which has no ids. Every input row gives one output row; only
-the id and text columns are read. Texts are encoded whole. An empty table gives an empty table.
+Defined cases: a null text is encoded as the empty text, which has no ids. Every input row gives one output row, repeated rows
+too; only the id and text columns are read. Texts are encoded whole, however long; ties go to the leftmost pair. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -254,7 +255,7 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _made: dict[str, tuple[Codec, Splitter]] = {}  # in each worker, for as long as it lives
 
 
-def _codec(docs: DataFrame, ranks_path: str, pattern: str):
+def coder(docs: DataFrame, ranks_path: str, pattern: str):
     """A function that gives each worker its codec and its split pattern, made once."""
     sent = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     name = uuid.uuid4().hex
@@ -270,7 +271,7 @@ def _codec(docs: DataFrame, ranks_path: str, pattern: str):
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """Ids of every text and the bytes they decode to; with digest, their count and hashes instead."""
-    get = _codec(docs, ranks_path, pattern)
+    get = coder(docs, ranks_path, pattern)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec, split = get()

@@ -9,6 +9,13 @@ from . import bin_packing, bpe_matrix, langid_crf, license_index, mtree_topk, qu
 from .common import held_out, read
 
 
+def tokenizer() -> tuple[str, str]:
+    """Where the ranks of the public byte-level BPE are, and its split pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = langid_crf.identify(docs, langid_crf.train(docs))
@@ -36,10 +43,7 @@ def op5_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe_matrix.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digest=True)
+    return bpe_matrix.encode(read(spark, sf_dir, "documents"), *tokenizer(), digest=True)
 
 
 def op7_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +63,7 @@ def op9_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bin_packing.pack_documents(read(spark, sf_dir, "documents"))
+    return bin_packing.pack_documents(read(spark, sf_dir, "documents"), tokens=tokenizer())
 
 
 OP8_SQL = r"""
