@@ -1,33 +1,38 @@
 """Language identification with a linear-chain conditional random field over words.
 
-Each word is described by its hashed character n-grams of 1 to 4 characters with marks for both word ends (those at an
-end are its affixes) and by itself (the lexicon feature). Emission weights and the transition matrix are trained together on
-the log-likelihood; training sequences are spliced from pieces of texts in different languages, so that the
-transitions learn both staying and switching. Words of a text are labelled by forward-backward; a text's language is the
-label with the greatest mean posterior.
+Each word is described by its hashed character n-grams of 1 to 4 characters, by its affixes (beginnings and ends of two and three
+characters, apart from the n-grams), by itself, and by the lexicon: the languages whose training texts hold it often and hardly any other's
+do. Emission weights and the transition matrix are trained together on the log-likelihood; training sequences are spliced from pieces of
+texts in different languages, so that the transitions learn both staying and switching. Words of a text are labelled by
+forward-backward; a text's language is the label with the greatest mean posterior.
 
 Forward and backward passes run over all texts of a batch at once: the words form one long sequence cut into blocks,
 every block's transfer matrix is built in step with all others, the blocks are then linked, and the vectors filled in.
 A text's first word forgets what stands before it. So a long text costs no more a word than a short one.
 
+The fit takes a bounded sample: each of the ``most_labels`` most frequent languages has the same share of ``sample_docs`` texts, or all it
+has, and the same share of ``sample_chars`` characters; of a longer text the beginning is used to learn (to predict, texts are whole).
+
 Defined cases: a null text, and one without a letter, is ``und`` with score 0. Without training rows every text is
-``und``. Ties go to the label that sorts first. Every input row gives one output row, copies included; only the id and text
-columns are read to predict.
+``und``. Ties go to the label that sorts first. A very long text is labelled whole. Every input row gives one output row, copies included;
+only the id and text columns are read to predict. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from dataclasses import dataclass
+from collections import Counter, defaultdict
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import held_out, least_hashed, map_batches, record_batch
+from .common import held_out, map_batches, record_batch
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -39,6 +44,7 @@ def words_of(text: str | None) -> list[str]:
 
 UNKNOWN = "und"
 GRAMS = (1, 2, 3, 4)
+AFFIXES = (2, 3)
 
 
 @dataclass
@@ -46,9 +52,24 @@ class Field:
     labels: list[str]
     weights: np.ndarray  # hashed feature x label
     stay: np.ndarray  # label x label transition weights
+    lexicon: dict[str, int] = field(default_factory=dict)  # the label of words that hardly another one's texts hold
+
 
+def learn_lexicon(texts: list[tuple[list[str], int]], at_least: int = 3, share: float = 0.8, most: int = 50_000) -> dict[str, int]:
+    """The label of each word that at least at_least texts hold, a share of them with that label; the most frequent ones."""
+    held: dict[str, Counter[int]] = defaultdict(Counter)
+    for words, label in texts:
+        for w in set(words):
+            held[w][label] += 1
+    sure = []
+    for w, by in held.items():
+        label, n = max(by.items(), key=lambda x: (x[1], -x[0]))
+        if n >= at_least and n >= share * sum(by.values()):
+            sure.append((-n, w, label))
+    return {w: label for _, w, label in sorted(sure)[:most]}
 
-def gram_slots(words: list[str], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+
+def gram_slots(words: list[str], size: int, lexicon: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each feature family, the table slots of all words in a row and where each word's slots end."""
     joined = "".join(f"^{w}$" for w in words)
     code = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -65,8 +86,18 @@ def gram_slots(words: list[str], size: int) -> list[tuple[np.ndarray, np.ndarray
         rolled = (rolled + shifted + np.uint64(n)) * mix
         whole = room >= n
         out.append((((rolled[whole] >> np.uint64(24)) & mask).astype(np.int64), np.cumsum(np.maximum(0, length - n + 1))))
-    mine = pd.util.hash_array(np.array(words, dtype=object), categorize=False) if words else np.empty(0, np.uint64)
-    out.append(((mine & mask).astype(np.int64), np.arange(1, len(words) + 1)))
+    one = np.arange(1, len(words) + 1)
+
+    def hashed(names: list[str]) -> np.ndarray:
+        found = pd.util.hash_array(np.array(names, dtype=object), categorize=False) if names else np.empty(0, np.uint64)
+        return (found & mask).astype(np.int64)
+
+    out.append((hashed(words), one))
+    for n in AFFIXES:
+        out.append((hashed([f"{w[:n]}-" for w in words]), one))
+        out.append((hashed([f"-{w[-n:]}" for w in words]), one))
+    known = [lexicon.get(w, -1) for w in words]
+    out.append((hashed([f"lexicon {k}" for k in known]), one))
     return out
 
 
@@ -126,10 +157,9 @@ def fit(texts: list[tuple[str, str]], size: int = 1 << 17, epochs: int = 15, rat
     labels = sorted({label for _, label in texts})
     if not labels:
         return None
-    pieces = []
-    for text, label in texts:
-        words = words_of(text)
-        pieces += [(words[i : i + piece], labels.index(label)) for i in range(0, len(words), piece)]
+    split = [(words_of(text), labels.index(label)) for text, label in texts]
+    lexicon = learn_lexicon(split)
+    pieces = [(words[i : i + piece], label) for words, label in split for i in range(0, len(words), piece)]
     random.Random(seed).shuffle(pieces)
     flat = [w for words, _ in pieces for w in words]
     if not flat:
@@ -139,7 +169,7 @@ def fit(texts: list[tuple[str, str]], size: int = 1 << 17, epochs: int = 15, rat
     first = np.zeros(len(flat), bool)
     first[begins[::4]] = True
     code, distinct = pd.factorize(np.array(flat, dtype=object))
-    slots = gram_slots(list(distinct), size)
+    slots = gram_slots(list(distinct), size, lexicon)
     k = len(labels)
     weights, stay = np.zeros((size, k)), np.zeros((k, k))
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(stay), np.zeros_like(stay)]
@@ -163,21 +193,31 @@ def fit(texts: list[tuple[str, str]], size: int = 1 << 17, epochs: int = 15, rat
             moments[i] = 0.9 * moments[i] + 0.1 * g
             moments[i + 1] = 0.99 * moments[i + 1] + 0.01 * g * g
             x += rate * (moments[i] / (1 - 0.9**epoch)) / (np.sqrt(moments[i + 1] / (1 - 0.99**epoch)) + 1e-6)
-    return Field(labels, weights.astype(np.float32), stay)
+    return Field(labels, weights.astype(np.float32), stay, lexicon)
 
 
-def train(docs: DataFrame, sample_docs: int = 500, sample_chars: int = 2_000_000) -> Field | None:
-    """Fit on at most sample_docs whole texts (and at most sample_chars characters) with a language that aren't held out:
-    those with the least hash of their id. The bound keeps the model's cost the same for any corpus."""
-    usable = docs.filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars // 20))
-    sample = least_hashed(usable, sample_docs).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "lang")
-    rows = sample.orderBy("h", "doc_id", "text").limit(sample_docs).collect()
-    texts, total = [], 0
+def train(docs: DataFrame, sample_docs: int = 500, sample_chars: int = 2_000_000, most_labels: int = 64) -> Field | None:
+    """Fit on a bounded sample of the texts with a language that aren't held out: of each language those with the least hash of id and
+    text. The bounds keep the model's cost the same for any corpus; no language is left out for being rare or having long texts."""
+    usable = docs.filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    known = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels).collect()
+    if not known:
+        return None
+    each, chars = -(-sample_docs // len(known)), sample_chars // len(known)
+    h = F.xxhash64("doc_id", "text")
+    # three times as many as wanted by a hash of their own, so that only these few are ranked
+    few = F.lit(False)
+    for r in known:
+        few = few | ((F.col("lang") == r["lang"]) & (F.pmod(h, F.lit(1 << 31)) < int(min(1.0, 3 * each / r["n"]) * (1 << 31))))
+    cut = F.substring("text", 1, chars)
+    picked = usable.filter(few).select("lang", h.alias("h"), cut.alias("text")).dropDuplicates(["lang", "h"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = picked.withColumn("rank", rank).filter(F.col("rank") <= each).orderBy("lang", "rank").collect()
+    texts, left = [], {r["lang"]: chars for r in known}
     for r in rows:
-        total += len(r["text"])
-        if total > sample_chars:
-            break
-        texts.append((r["text"], r["lang"]))
+        if left[r["lang"]] > 0:
+            texts.append((r["text"][: left[r["lang"]]], r["lang"]))
+            left[r["lang"]] -= len(r["text"])
     return fit(texts)
 
 
@@ -190,7 +230,7 @@ def label_batch(texts: list[str | None], field: Field, most_words: int = 200_000
         flat = [w for words in group for w in words]
         if flat:
             code, distinct = pd.factorize(np.array(flat, dtype=object))
-            e = emissions(gram_slots(list(distinct), len(field.weights)), field.weights)[code]
+            e = emissions(gram_slots(list(distinct), len(field.weights), field.lexicon), field.weights)[code]
             first = np.zeros(len(flat), bool)
             sizes = np.array([len(words) for words in group])
             first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True

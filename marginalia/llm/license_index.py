@@ -1,18 +1,22 @@
 """Licence scans with a positional rare-token index.
 
-The index holds the words of every template with their positions. A word's weight is its inverse document
-frequency over the templates. Each template is looked up by its highest-weight words only: a file word that is
-one of them proposes an alignment (template, file position minus template position); the remaining postings
-are intersected at that relative position, which gives the matched weight of the alignment. An alignment counts
-if its share of the template's weight reaches ``least`` and all mandatory key phrases of the template stand
-inside it. A *phrase* template has ``least`` 1: every word must stand at its place, so looking up its rarest word
-finds every place where the phrase occurs.
+The index holds the words of every template with their positions, and a word's weight: its inverse document frequency over
+the templates. Of each template the *rare* words are posted: the heaviest ones, until the words left out weigh less than the share
+``least`` that must match, so that no match can do without a posted word. A file's own licence words are looked up from the heaviest
+down. Each gives postings (template, file position minus template position); postings of one template are intersected by that
+relative position, up to a few words of ``slack``, so that an inserted, lost or changed word doesn't break them, and a
+group of them goes on only if their weight and that of all words that aren't posted can reach ``least``. The words around the
+group are then aligned with the template (the heaviest common subsequence within the slack). An alignment counts if its share of the
+template's weight reaches ``least`` and all mandatory key phrases of the template stand inside it. A *phrase* template has
+``least`` 1 and no slack: every word must stand at its place, so its rarest word finds every place where the phrase occurs.
 
 The index is built from the templates alone, which are few and fixed, so its size doesn't depend on the
 documents; documents are scanned whole, each by itself, without a shuffle.
 
-Defined cases: a null or empty text has no words, no labels and a score of 0. Overlapping places all count.
-Every input row gives one output row; only the id and text columns are read. An empty table gives an empty table.
+Defined cases: a null or empty text has no words, no labels and a score of 0. A very long text is scanned whole, as one row. Overlapping
+places of a phrase all count; of overlapping alignments of another template the one with the greatest share stays, the first of
+ties. Every input row gives one output row, repeated rows too; only the id and text columns are read. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Template:
-    """least: the share of the template's weight that must match in place. keys: phrases that must stand inside."""
+    """least: the share of the template's weight that must match in order. keys: phrases that must stand inside."""
 
     label: str
     text: str
@@ -54,18 +58,28 @@ BASE_PHRASES = (
     Template("cc-by-nc", "cc by nc", base=True),
 )
 
-# Short passages of public licences.
+# Notices of public licences, with the phrases that tell them apart.
 NOTICES = (
-    Template("gpl-3", "licensed under the gnu general public license version 3", 0.7, ("gnu general public license", "version 3")),
-    Template("gpl-2", "under the terms of the gnu general public license version 2", 0.7, ("gnu general public license", "version 2")),
-    Template("lgpl", "under the terms of the gnu lesser general public license", 0.7, ("gnu lesser general public license",)),
-    Template("agpl-3", "under the terms of the gnu affero general public license", 0.7, ("gnu affero general public license",)),
     Template(
-        "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-        "documentation files the software to deal in the software without restriction",
+        "agpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by "
+        "the free software foundation either version 3 of the license or at your option any later version",
         0.7,
-        ("permission is hereby granted", "without restriction"),
+        ("gnu affero general public license",),
+    ),
+    Template("agpl-3", "licensed under the gnu affero general public license version 3", 0.7, ("affero general public license",)),
+    Template(
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy "
+        "of the license at http www apache org licenses license 2 0",
+        0.7,
+        ("apache license",),
+    ),
+    Template(
+        "artistic-2",
+        "this is free software you can redistribute it and or modify it under the terms of the artistic license 2 0",
+        0.7,
+        ("artistic license",),
     ),
     Template(
         "bsd",
@@ -74,66 +88,205 @@ NOTICES = (
         0.7,
         ("source and binary forms",),
     ),
+    Template(
+        "bsl-1",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered "
+        "by this license the software to use reproduce display distribute execute and transmit the software",
+        0.7,
+        ("person or organization",),
+    ),
+    Template("bsl-1", "distributed under the boost software license version 1 0", 0.7, ("boost software license",)),
+    Template("cc-by", "this work is licensed under the creative commons attribution 4 0 international license", 0.8, ("creative commons attribution",)),
+    Template(
+        "cc-by-nc",
+        "this work is licensed under the creative commons attribution noncommercial 4 0 international license",
+        0.8,
+        ("attribution noncommercial",),
+    ),
+    Template(
+        "cc-by-nc-sa",
+        "this work is licensed under the creative commons attribution noncommercial sharealike 4 0 international license",
+        0.8,
+        ("noncommercial sharealike",),
+    ),
+    Template("cc-by-nd", "this work is licensed under the creative commons attribution noderivatives 4 0 international license", 0.8, ("attribution noderivatives",)),
+    Template("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license", 0.8, ("attribution sharealike",)),
+    Template("cc-by-sa", "licensed under cc by sa", 0.8, ("cc by sa",)),
+    Template(
+        "cc0",
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        0.7,
+        ("related or neighboring rights",),
+    ),
+    Template("cc0", "creative commons zero v1 0 universal", 0.7, ("creative commons zero",)),
+    Template(
+        "cddl-1",
+        "the contents of this file are subject to the terms of the common development and distribution license",
+        0.7,
+        ("common development and distribution license",),
+    ),
+    Template(
+        "epl-2",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+        0.7,
+        ("eclipse public license",),
+    ),
+    Template(
+        "gpl-2",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+        "software foundation either version 2 of the license or at your option any later version",
+        0.7,
+        ("gnu general public license", "version 2"),
+    ),
+    Template("gpl-2", "under the terms of the gnu general public license version 2", 0.7, ("gnu general public license", "version 2")),
+    Template(
+        "gpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+        "software foundation either version 3 of the license or at your option any later version",
+        0.7,
+        ("gnu general public license", "version 3"),
+    ),
+    Template("gpl-3", "licensed under the gnu general public license version 3", 0.7, ("gnu general public license", "version 3")),
     Template(
         "isc",
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies",
         0.7,
         ("with or without fee",),
     ),
+    Template(
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by "
+        "the free software foundation",
+        0.7,
+        ("gnu lesser general public license",),
+    ),
+    Template("lgpl", "under the terms of the gnu lesser general public license", 0.7, ("gnu lesser general public license",)),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to "
+        "deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or "
+        "sell copies of the software",
+        0.7,
+        ("permission is hereby granted", "without restriction"),
+    ),
     Template(
         "mpl-2",
-        "this source code form is subject to the terms of the mozilla public license v 2 0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can "
+        "obtain one at",
         0.7,
         ("mozilla public license",),
     ),
+    Template("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", 0.7, ("open font license",)),
     Template(
         "unlicense",
         "this is free and unencumbered software released into the public domain",
         0.7,
         ("released into the public domain",),
     ),
-    Template("cc-by-sa", "licensed under the creative commons attribution sharealike license", 0.7, ("attribution sharealike",)),
-    Template("cc0", "creative commons zero v1 0 universal", 0.7, ("creative commons zero",)),
-    Template("all-rights-reserved", "all rights reserved", 1.0),
+    Template("wtfpl", "do what the fuck you want to public license", 0.7, ("you want to public license",)),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from "
+        "the use of this software",
+        0.7,
+        ("in no event will the authors",),
+    ),
 )
 
 
+def holds(words: list[bytes], phrase: list[bytes]) -> bool:
+    return any(words[i : i + len(phrase)] == phrase for i in range(len(words) - len(phrase) + 1))
+
+
 class Index:
-    """Postings of all template words, and of each template's rarest words for the lookup."""
+    """Postings of the rare words of all templates."""
 
-    def __init__(self, templates: Iterable[Template], lookups: int = 2):
+    def __init__(self, templates: Iterable[Template]):
         self.templates = tuple(templates)
         self.words = [words_of(t.text) for t in self.templates]
         df = Counter(w for ws in self.words for w in set(ws))
         self.idf = {w: math.log((1 + len(self.words)) / c) + 1 for w, c in df.items()}
         self.total = [sum(self.idf[w] for w in ws) for ws in self.words]
         self.keys = [[words_of(k) for k in t.keys] for t in self.templates]
-        self.lookup: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.slack = [0 if t.least >= 1 else max(2, len(ws) // 8) for t, ws in zip(self.templates, self.words, strict=True)]
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.rest: list[float] = []  # weight of a template's words that aren't posted
         for t, ws in enumerate(self.words):
-            # a phrase that must match whole needs one word; others get several, so that one may be missing
-            n = 1 if self.templates[t].least >= 1 else lookups
-            for w in sorted(set(ws), key=lambda w: (-self.idf[w], w))[:n]:
+            rest = self.total[t]
+            for w in sorted(set(ws), key=lambda w: (-self.idf[w], w)):
+                if rest < self.templates[t].least * self.total[t] - 1e-9:
+                    break
                 for at, x in enumerate(ws):
                     if x == w:
-                        self.lookup[w].append((t, at))
-        self.rare = frozenset(self.lookup)
+                        self.postings[w].append((t, at))
+                        rest -= self.idf[w]
+            self.rest.append(rest)
+        self.rare = frozenset(self.postings)
+
+    def proposals(self, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(template, least, greatest relative position) of every group of postings that can reach the template's share."""
+        there: dict[bytes, list[int]] = {}
+        for at, w in enumerate(words):
+            if w in self.rare:
+                there.setdefault(w, []).append(at)
+        met: dict[int, list[tuple[int, int]]] = {}
+        for w in sorted(there, key=lambda w: (-self.idf[w], w)):  # the file's heaviest licence words first
+            for t, place in self.postings[w]:
+                met.setdefault(t, []).extend((at - place, place) for at in there[w])
+        found = []
+        for t, own in met.items():
+            own.sort()
+            need = self.templates[t].least * self.total[t] - 1e-9
+            end = 0
+            for begin, (low, _) in enumerate(own):
+                if begin and low == own[begin - 1][0]:
+                    continue
+                while end < len(own) and own[end][0] <= low + 2 * self.slack[t]:
+                    end += 1
+                places = {p for _, p in own[begin:end]}
+                if sum(self.idf[self.words[t][p]] for p in places) + self.rest[t] >= need:
+                    found.append((t, low, own[end - 1][0]))
+        return found
+
+    def aligned(self, t: int, words: list[bytes], low: int, high: int) -> tuple[float, int, int]:
+        """(share, first, end) of the heaviest common subsequence of template t and the words around the relative positions low to high."""
+        want, slack = self.words[t], self.slack[t]
+        begin, end = max(0, low - slack), min(len(words), high + slack + len(want))
+        if not slack:
+            return (1.0 if words[low : low + len(want)] == want and low >= 0 else 0.0), low, low + len(want)
+        own = words[begin:end]
+        # best[j]: (weight, -first position) with words up to j; the least span wins ties
+        best = [(0.0, 0)] * (len(own) + 1)
+        for i, w in enumerate(want):
+            row = [best[0]]
+            for j, x in enumerate(own):
+                at = max(best[j + 1], row[j])
+                if x == w and low - slack <= begin + j - i <= high + slack:
+                    weight, first = best[j]
+                    at = max(at, (weight + self.idf[w], first if weight else -(begin + j)))
+                row.append(at)
+            best = row
+        weight, first = best[-1]
+        last = next((j for j in range(len(own) + 1) if best[j] == best[-1]), 0)
+        return weight / self.total[t], -first, begin + last
 
     def alignments(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, start word, share of weight) of every alignment that meets the template's terms."""
         if self.rare.isdisjoint(words):
             return []
-        rare, n = self.rare, len(words)
-        proposed = {(t, at - shift) for at, w in enumerate(words) if w in rare for t, shift in self.lookup[w]}
+        met: dict[int, list[tuple[float, int, int]]] = {}
+        for t, low, high in self.proposals(words):
+            share, first, end = self.aligned(t, words, low, high)
+            if share >= self.templates[t].least - 1e-9 and all(holds(words[first:end], k) for k in self.keys[t]):
+                met.setdefault(t, []).append((-share, first, end))
         found = []
-        for t, start in sorted(proposed):
-            want = self.words[t]
-            got = sum(self.idf[w] for i, w in enumerate(want) if 0 <= start + i < n and words[start + i] == w)
-            share = got / self.total[t]
-            if share < self.templates[t].least - 1e-9:
-                continue
-            inside = words[max(0, start) : start + len(want)]
-            if all(any(inside[i : i + len(k)] == k for i in range(len(inside) - len(k) + 1)) for k in self.keys[t]):
-                found.append((t, max(0, start), share))
+        for t, own in met.items():
+            taken: list[tuple[int, int]] = []
+            for share, first, end in sorted(set(own)):
+                if not self.slack[t] or all(end <= a or b <= first for a, b in taken):
+                    taken.append((first, end))
+                    found.append((t, first, min(1.0, -share)))
         return found
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, float, bool]]]:
@@ -170,7 +323,7 @@ def scan_licenses(docs: DataFrame, templates: Iterable[Template] = BASE_PHRASES
                     max(starts, default=None),
                     ",".join(sorted({h[0] for h in base})),
                     ",".join(sorted({h[0] for h in hits})),
-                    min(1.0, max((h[2] for h in hits), default=0.0)),
+                    max((h[2] for h in hits), default=0.0),
                     [dict(zip(("label", "start", "share", "base"), h, strict=True)) for h in hits],
                 )
             )

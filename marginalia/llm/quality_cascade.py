@@ -1,14 +1,16 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-``base_stats`` adds the counts every rule reads. ``plan_cascade`` runs each rule by itself over a small
-sample, notes its time and the share of rows it rejects, and orders the rules by rejection per cost;
-``verdict`` then nests them in one CASE expression, so that a row stops at the first rule that rejects it.
-The order decides only what work is done, never which rows pass, so the sample cannot change a result.
-
-Defined cases: a null text has no words, so its counts are 0 and it is rejected. Every input row gives one
-output row, copies included. Other columns pass through untouched, except that the names added here replace
-columns of the same name. An empty table gives an empty table. Repeated windows are compared by a 64-bit hash
-of their three words within one text.
+``base_stats`` adds the counts that the base rule and every report need. All other rules own their expression over the text, which is
+evaluated only where a row reaches the rule. ``plan_cascade`` runs each rule by itself over a small sample, several times, notes its least time
+and the share of rows it rejects, and orders the rules by rejection per cost; ``verdict`` then nests them in one CASE expression, so
+that a row stops at the first rule that rejects it. The order decides only what work is done, never which rows pass, so the
+sample cannot change a result. It is taken from a few of the input's files, spread over all, and has ``sample_rows`` rows at most; only an
+input that is no plain file scan is sampled as a whole.
+
+Defined cases: a null text has no words, so its counts are 0 and it is rejected. Every input row gives one output row, copies
+included; a very long text is one row like any other. Ties in rejection per cost keep the given order. Other columns pass through
+untouched, except that the names added here replace columns of the same name. An empty table gives an empty table. Repeated
+windows are compared by a 64-bit hash of their three words within one text.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialize
+from .common import ASCII_SPACE, clean_name, discard, materialize
 
 SYMBOLS = "[#*$%&|<>]"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -75,17 +78,18 @@ def base_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD_CHAR))
     counts = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
-    split = docs.withColumns({"_words": _words(whole), "_lines": counts})
+    words, both = clean_name(docs, "_words"), clean_name(docs, "_lines")
+    split = docs.withColumns({words: _words(whole), both: counts})
     return split.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_words": F.size(words).cast("long"),
+            "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)).cast("long"),
-            "n_lines": F.col("_lines.n").cast("long"),
-            "n_dup_lines": (F.col("_lines.n") - F.col("_lines.d")).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("_words")),
+            "n_lines": F.col(both)["n"].cast("long"),
+            "n_dup_lines": (F.col(both)["n"] - F.col(both)["d"]).cast("long"),
+            "n_repeat_words": _repeat_words(F.col(words)),
         }
-    ).drop("_words", "_lines")
+    ).drop(words, both)
 
 
 def base_failed() -> Column:
@@ -117,30 +121,43 @@ def default_rules(text: str = "text") -> list[Rule]:
     ]
 
 
-def plan_cascade(
-    docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 1000, fraction: float = 0.05
-) -> list[tuple[Rule, float, float]]:
-    """(rule, share rejected, seconds) in the order to run: most rejections per second first.
-
-    sample_rows bounds the sample; only as many input files are read as it needs. An empty sample keeps
-    the given order.
-    """
-    sample = materialize(base_stats(docs.sample(False, fraction, 7).limit(sample_rows), text), "cascade-sample")
+def sampled(docs: DataFrame, text: str, rows: int, files: int = 2, fraction: float = 0.05) -> DataFrame:
+    """At most ``rows`` texts from ``files`` of the files of docs. Where docs isn't a plain scan, its rows are picked by a hash of
+    their text."""
+    names = sorted(docs.inputFiles())
+    if names:
+        chosen = {names[len(names) * k // files] for k in range(files)}
+        try:
+            of = F.col("_metadata.file_path")
+            return docs.filter(of.isin(*chosen)).select(text).limit(rows)
+        except AnalysisException:  # a join or an aggregate has no file of its own
+            pass
+    return docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(1000)) < int(1000 * fraction)).limit(rows)
+
+
+def plan_cascade(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 1000, times: int = 3) -> list[tuple[Rule, float, float]]:
+    """(rule, share rejected, seconds) in the order to run: most rejections per second first. An empty sample keeps the given order."""
+    stored = materialize(sampled(docs, text, sample_rows), "cascade-texts")
+    sample = materialize(base_stats(stored, text), "cascade-sample")
     total = sample.count()
-    if not total:
-        return [(r, 0.0, 0.0) for r in rules]
 
     def run(condition: Column) -> tuple[int, float]:
-        query = sample.agg(F.count_if(condition).alias("n"))
-        query.first()
-        began = time.perf_counter()
-        return query.first()["n"], time.perf_counter() - began
+        query, least = sample.agg(F.count_if(condition).alias("n")), float("inf")
+        for _ in range(times):
+            began = time.perf_counter()
+            rejected = query.first()["n"]
+            least = min(least, time.perf_counter() - began)
+        return rejected, least
 
-    idle = run(F.col("n_words") < 0)[1]
     measured = []
-    for rule in rules:
-        rejected, took = run(rule.fails)
-        measured.append((rule, rejected / total, max(took - idle, 1e-4)))
+    if total:
+        idle = run(F.col("n_words") < 0)[1]
+        for rule in rules:
+            rejected, took = run(rule.fails)
+            measured.append((rule, rejected / total, max(took - idle, 1e-4)))
+    discard(stored, sample)
+    if not total:
+        return [(r, 0.0, 0.0) for r in rules]
     return sorted(measured, key=lambda x: -(x[1] + 0.5 / total) / x[2])
 
 

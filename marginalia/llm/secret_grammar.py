@@ -2,20 +2,25 @@
 
 Inference is state merging over a prefix tree: for each kind of credential a tree of its labelled examples is built
 with counts, and states are merged, most frequent first, where a Hoeffding bound finds the frequencies of their
-next symbols and of ending statistically compatible; of several compatible states the likeliest is taken. What remains is a small deterministic
-automaton with probabilities: fixed prefixes stay as they are, random bodies become loops. Every candidate of a text
-is scored by the log-likelihood of its best automaton against a uniform source; scores per kind are the *format
-likelihood*. The base patterns stay in the result whatever their score; other candidates are added where the score
+next symbols and of ending statistically compatible, and those of all states they lead to; of several compatible states the likeliest
+is taken. What remains is a small deterministic automaton with probabilities: fixed prefixes stay as they are, random bodies become
+loops. Every candidate of a text is scored by the log-likelihood of its best automaton against a uniform source; scores per kind are
+the *format likelihood*. The base patterns stay in the result whatever their score; other candidates are added where the score
 reaches ``least`` nats.
 
+Labelled credentials: members of publicly documented token formats, and what the base patterns find in the documents themselves,
+a bounded sample for each base pattern (the values with the least hash, each once), so that the formats that a corpus assigns to
+keys and tokens are found without them too.
+
 Candidates: every base match, and stretches of 16 or more characters with letters and digits in runs of ``[A-Za-z0-9+/_.=-]``. A
 stretch ends where its run ends or before a character that is no letter or digit. It begins at its run's start or after such a
 character; automata that begin with a fixed prefix also begin anywhere else, so that a credential behind ``key=``, ``//`` or ``%3D`` is
 scored too. For a kind and start the last end that reaches ``least`` counts, so that no end of a credential is left. A stretch inside
-another or inside a base match is part of it.
+another or inside a base match is part of it; of equal stretches the first kind in order stays.
 
-Defined cases: a null or empty text has no spans. Spans are in code points, the end exclusive. Every input row gives one
-output row; only the id and text columns are read. An empty table gives an empty table.
+Defined cases: a null or empty text has no spans. A very long text is scanned whole, as one row. Spans are in code points, the end
+exclusive. Every input row gives one output row, repeated rows too; only the id and text columns are read. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -31,8 +36,10 @@ from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_batches, record_batch
 
@@ -66,6 +73,35 @@ def labelled_examples(each: int = 150, seed: int = 5) -> list[tuple[str, str]]:
     return [(kind, prefix + "".join(rng.choices(letters, k=n))) for kind, (prefix, letters, n) in FORMATS.items() for _ in range(each)]
 
 
+def assigned(text: str) -> list[tuple[str, str]]:
+    """(kind, value) of the base matches of a text that are long enough to be candidates; of assignments what is assigned."""
+    found = []
+    for start, kind, end in base_spans(text):
+        value = text[start:end]
+        value = ASSIGN.match(value)[2] if kind == "assign" else value
+        if len(value) >= LEAST_RUN and any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
+            found.append((f"{kind}-value", value))
+    return found
+
+
+def corpus_examples(docs: DataFrame, each: int = 150, text: str = "text") -> list[tuple[str, str]]:
+    """(kind, value) of at most ``each`` different values for each base pattern: those with the least hash in all documents."""
+
+    def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: dict[str, set[tuple[int, str]]] = defaultdict(set)
+        for t in batch.column(0).to_pylist():
+            for kind, value in assigned(t or ""):
+                found[kind].add((xxhash.xxh3_64_intdigest(value) >> 1, value))
+        rows = [(k, h, v) for k, values in found.items() for h, v in sorted(values)[:each]]
+        kinds, hashes, values = zip(*rows, strict=True) if rows else [()] * 3
+        return record_batch({"kind": (kinds, pa.string()), "h": (hashes, pa.int64()), "value": (values, pa.string())})
+
+    values = map_batches(docs.select(text), scan, "kind string, h long, value string").distinct()
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
+    rows = values.withColumn("rank", rank).filter(F.col("rank") <= each).orderBy("kind", "rank").collect()
+    return [(r["kind"], r["value"]) for r in rows]
+
+
 class Automaton:
     """Counts of a prefix tree, merged by ``infer``; ``score`` then reads them as probabilities."""
 
@@ -88,19 +124,27 @@ class Automaton:
     def total(self, state: int) -> int:
         return self.ends[state] + sum(self.count[state].values())
 
-    def compatible(self, a: int, b: int, alpha: float, depth: int = 4) -> bool:
-        """Hoeffding's test on ending and on every next symbol, then on the states those lead to."""
-        na, nb = self.total(a), self.total(b)
-        if not na or not nb:
-            return True
-        bound = math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
-        if abs(self.ends[a] / na - self.ends[b] / nb) > bound:
-            return False
-        for c in self.count[a].keys() | self.count[b].keys():
-            if abs(self.count[a].get(c, 0) / na - self.count[b].get(c, 0) / nb) > bound:
+    def compatible(self, a: int, b: int, alpha: float) -> bool:
+        """Hoeffding's test on ending and on every next symbol, for both states and for all pairs of states that one string leads to."""
+        spread = math.sqrt(0.5 * math.log(2 / alpha))
+        todo, seen = [(a, b)], {(a, b)}
+        while todo:
+            a, b = todo.pop()
+            na, nb = self.total(a), self.total(b)
+            if not na or not nb:
+                continue
+            bound = spread * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
+            if abs(self.ends[a] / na - self.ends[b] / nb) > bound:
                 return False
-        both = self.next[a].keys() & self.next[b].keys() if depth else ()
-        return all(self.next[a][c] == self.next[b][c] or self.compatible(self.next[a][c], self.next[b][c], alpha, depth - 1) for c in both)
+            for c in self.count[a].keys() | self.count[b].keys():
+                if abs(self.count[a].get(c, 0) / na - self.count[b].get(c, 0) / nb) > bound:
+                    return False
+            for c in self.next[a].keys() & self.next[b].keys():
+                pair = self.next[a][c], self.next[b][c]
+                if pair[0] != pair[1] and pair not in seen:
+                    seen.add(pair)
+                    todo.append(pair)
+        return True
 
     def fold(self, a: int, b: int) -> None:
         """Add the tree below b to state a."""
@@ -264,8 +308,8 @@ _FOUND = pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int
 
 def scan_secrets(docs: DataFrame, labelled: list[tuple[str, str]] | None = None, least: float = 12.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document with all its spans. The automata are inferred once, on the driver, from the labelled
-    credentials alone (a fixed number of examples), and travel with the tasks."""
-    grammar = Grammar(labelled if labelled is not None else labelled_examples())
+    credentials (a fixed number for each kind; by default those of the documented formats and of docs), and travel with the tasks."""
+    grammar = Grammar(labelled_examples() + corpus_examples(docs, text=text) if labelled is None else labelled)
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         all_spans = [scan_text(t, grammar, least) for t in batch.column(1).to_pylist()]
@@ -286,7 +330,7 @@ def scan_secrets(docs: DataFrame, labelled: list[tuple[str, str]] | None = None,
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", least: float = 12.0, text: str = "text") -> DataFrame:
     """docs with every span of its text replaced by mark; overlapping spans become one. A null text stays null."""
-    grammar = Grammar(labelled_examples())
+    grammar = Grammar(labelled_examples() + corpus_examples(docs, text=text))
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:

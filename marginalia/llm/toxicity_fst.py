@@ -1,18 +1,29 @@
-"""Toxicity with composed weighted finite-state transducers over clauses.
-
-A lexicon transducer rewrites each word to a class: insult, threat, target, negation, report, or other. Its insult entries
-are learnt: whole words and word beginnings whose share among toxic training documents is far above their share among the
-others, counted over *all* labelled training documents; a short list of fixed words opens every class. The class string of a
-clause then runs through five weighted transducers composed in order: negation weakens an insult or threat that follows
-within a few words, reported speech weakens what it introduces up to the clause's end, a target next to an insult
-strengthens it, a threat needs a target, and the last one adds up. They are composed once into a single deterministic
-machine over classes (the product of their states that can be reached), so a clause costs one step a word. Only clauses
-with an insult or threat are run; all others weigh nothing. The weights of the clauses give a document's score by
-logistic regression on a bounded sample of labelled rows.
-
-Defined cases: null and empty texts, and texts without a matched clause, have the score of no evidence, which is below
-0.5. Without labelled rows only the fixed words count. Every input row gives one output row, copies included; only the id
-and text columns are read to score.
+"""Toxicity by composed weighted finite-state transducers over clauses.
+
+A lexicon rewrites each word to a class: insult, threat, target, negation, report, or other. The class string of a clause then runs
+through a cascade of five transducers, each of which reads what the one before has written:
+
+* negation marks insults and threats that follow within a few words as denied; a second negation in its scope takes it back;
+* reported speech marks what it introduces, up to the clause's end, as quoted;
+* target marks insults and threats near a target as aimed, and writes a pointing mark where a target follows an insult;
+* insult turns marked insults into the output symbols plain, denied, quoted and aimed, and raises the weight of insults that pile up;
+* threat turns marked threats into threatening, if aimed, and else into a plain symbol of little weight.
+
+``compose`` builds the one deterministic machine of the whole cascade, over the product of the states that can be reached, so a clause costs
+one step a word. Only clauses with an insult or threat are run; all others weigh nothing. What each output symbol is worth is learnt: a
+document is the weight of its symbols (insults count by the lexicon's weight, times the machine's), and a logistic
+regression, held to prior values by a ridge, gives each symbol its part in the score. So a negation counts for as much as the labelled rows
+say.
+
+The lexicon is learnt too, from *all* labelled training documents: insults are whole words and word beginnings whose share among toxic
+documents is far above their share among the others; negations and targets are words that stand shortly before insults where
+documents are significantly more seldom, or more often, toxic. Short fixed lists in four languages open every class. Its three settings
+(support, ratio, share) are picked from a grid by two-fold cross-validation within the training rows.
+
+Defined cases: null and empty texts, and texts without a matched clause, have the score of no evidence, which is below 0.5. A very long text
+is read whole. Without labelled rows only the fixed words count, with the prior values; ties between settings go to the first of the
+grid. Every input row gives one output row, copies included; only the id and text columns are read to score. An empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +31,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -28,17 +41,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, least_hashed, map_batches, materialize, record_batch
+from .common import discard, held_out, least_hashed, map_batches, materialize, record_batch
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, POINT = range(7)
+CLASSES = 6  # what the lexicon writes
+DENIED, QUOTED, AIMED = 8, 16, 32  # marks on insults and threats
+#: what the cascade writes in the end
+SYMBOLS = ("plain", "denied", "quoted", "aimed", "threatening")
+PLAIN_OUT, DENIED_OUT, QUOTED_OUT, AIMED_OUT, THREATENING_OUT = range(5)
 
-# Words that open the classes.
+# Words that open the classes, in English, German, French and Spanish.
 SEED_WORDS = {
-    INSULT: "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns",
-    THREAT: "kill hurt destroy beat shoot stab",
-    TARGET: "you your youre u he she they him her them his their",
-    NEGATION: "not no never nobody isnt arent wasnt dont doesnt didnt without",
-    REPORT: "said says say wrote writes called calls quoted quote claimed claims reported reports",
+    INSULT: "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns "
+    "trottel dummkopf abschaum versager imbécile crétin abruti minable idiota imbécil estúpido inútil",
+    THREAT: "kill hurt destroy beat shoot stab töten umbringen schlagen erschießen tuer frapper poignarder matar golpear apuñalar",
+    TARGET: "you your youre u he she they him her them his their du dich dir dein ihr euch tu toi te ton vous votre tú ti tus usted ustedes",
+    NEGATION: "not no never nobody isnt arent wasnt dont doesnt didnt without nicht kein keine nie niemals ohne ne pas jamais sans nunca jamás sin",
+    REPORT: "said says say wrote writes called calls quoted quote claimed claims reported reports sagte schrieb nannte dit écrit appelle dijo escribió llamó",
 }
 
 CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -68,62 +87,111 @@ class Lexicon:
         return found or (OTHER, 0.0)
 
 
-# A transducer: moves[state][class] = (next state, factor put on the weight of this word). States start at 0.
-def _negation(reach: int = 3) -> list[list[tuple[int, float]]]:
-    """State k: k words are still within reach of a negation."""
-    moves = []
-    for left in range(reach + 1):
-        row = [(max(0, left - 1), 1.0)] * 6
-        for kind in (INSULT, THREAT):
-            row[kind] = (max(0, left - 1), 0.25 if left else 1.0)
-        row[NEGATION] = (reach, 1.0)
-        moves.append(row)
-    return moves
+#: (state, symbol) -> (next state, symbol written, factor on the word's weight). The start state is that of ``compose``.
+Transducer = Callable[[tuple, int], tuple[tuple, int, float]]
 
 
-def _report() -> list[list[tuple[int, float]]]:
-    """State 1: what follows is somebody else's speech."""
-    return [[(1 if k == REPORT else s, 0.5 if s and k in (INSULT, THREAT) else 1.0) for k in range(6)] for s in (0, 1)]
+def _hot(symbol: int) -> bool:
+    return symbol & 7 in (INSULT, THREAT)
 
 
-def _target(reach: int = 4) -> list[list[tuple[int, float]]]:
-    """State k: a target was named k words ago at most ``reach``; an insult near it counts more."""
-    moves = []
-    for left in range(reach + 1):
-        row = [(max(0, left - 1), 1.0)] * 6
-        row[INSULT] = (max(0, left - 1), 1.5 if left else 1.0)
-        row[TARGET] = (reach, 1.0)
-        moves.append(row)
-    return moves
+def negation(reach: int = 3) -> Transducer:
+    """State: words that the scope still reaches, and whether it denies."""
 
+    def step(state: tuple, symbol: int) -> tuple[tuple, int, float]:
+        left, denies = state or (0, False)
+        if symbol == NEGATION:
+            return (reach, not (left and denies)), OTHER, 1.0
+        after = (left - 1, denies) if left > 1 else ()
+        return after, symbol | DENIED if _hot(symbol) and left and denies else symbol, 1.0
 
-def _threat(reach: int = 4) -> list[list[tuple[int, float]]]:
-    """A threat weighs little unless a target was just named."""
-    moves = []
-    for left in range(reach + 1):
-        row = [(max(0, left - 1), 1.0)] * 6
-        row[THREAT] = (max(0, left - 1), 1.0 if left else 0.1)
-        row[TARGET] = (reach, 1.0)
-        moves.append(row)
-    return moves
+    return step
+
+
+def reported_speech() -> Transducer:
+    def step(state: tuple, symbol: int) -> tuple[tuple, int, float]:
+        if symbol == REPORT:
+            return (True,), OTHER, 1.0
+        return state, symbol | QUOTED if _hot(symbol) and state else symbol, 1.0
+
+    return step
+
+
+def target(reach: int = 4, back: int = 2) -> Transducer:
+    """State: words that a target still reaches, and words since an insult that a target may still point at."""
+
+    def step(state: tuple, symbol: int) -> tuple[tuple, int, float]:
+        left, open_ = state or (0, 0)
+        after = max(0, left - 1), max(0, open_ - 1)
+        if symbol == TARGET:
+            return (reach, 0), POINT if open_ else OTHER, 1.0
+        if _hot(symbol):
+            return (after[0], 0 if left else back), symbol | AIMED if left else symbol, 1.0
+        return after if any(after) else (), symbol, 1.0
+
+    return step
+
+
+def insult(most: int = 3) -> Transducer:
+    """State: insults of the clause so far, up to most."""
 
+    def step(state: tuple, symbol: int) -> tuple[tuple, int, float]:
+        if symbol == POINT:
+            return state, 64 + AIMED_OUT, 1.0
+        if symbol & 7 != INSULT:
+            return state, symbol if symbol & 7 == THREAT else OTHER, 1.0
+        n = state[0] if state else 0
+        kind = DENIED_OUT if symbol & DENIED else QUOTED_OUT if symbol & QUOTED else AIMED_OUT if symbol & AIMED else PLAIN_OUT
+        return (min(most, n + 1),), 64 + kind, 1.0 + 0.25 * n
 
-def compose(*parts: list[list[tuple[int, float]]]) -> list[list[tuple[int, float]]]:
-    """One machine that runs all parts on the same classes and multiplies their factors."""
-    number, order, moves = {(0,) * len(parts): 0}, [(0,) * len(parts)], []
-    for state in order:
+    return step
+
+
+def threat() -> Transducer:
+    def step(state: tuple, symbol: int) -> tuple[tuple, int, float]:
+        if symbol >= 64 or symbol & 7 != THREAT:
+            return state, symbol, 1.0
+        if symbol & (DENIED | QUOTED):
+            return state, 64 + (DENIED_OUT if symbol & DENIED else QUOTED_OUT), 1.0
+        return state, 64 + (THREATENING_OUT if symbol & AIMED else PLAIN_OUT), 1.0 if symbol & AIMED else 0.1
+
+    return step
+
+
+Machine = list[list[tuple[int, int, float]]]  # by state and class: next state, output symbol or -1, factor
+
+
+def cascade(parts: Iterable[Transducer], states: tuple, symbol: int) -> tuple[tuple, int, float]:
+    """One step of all parts, each of which reads what the one before writes."""
+    after, factor = [], 1.0
+    for part, state in zip(parts, states, strict=True):
+        state, symbol, f = part(state, symbol)
+        after.append(state)
+        factor *= f
+    return tuple(after), symbol - 64 if symbol >= 64 else -1, factor
+
+
+def compose(*parts: Transducer) -> Machine:
+    """The one machine of the cascade, over the states that can be reached."""
+    start = ((),) * len(parts)
+    number, order, moves = {start: 0}, [start], []
+    for states in order:
         row = []
-        for kind in range(6):
-            steps = [part[s][kind] for part, s in zip(parts, state, strict=True)]
-            after = tuple(s for s, _ in steps)
+        for kind in range(CLASSES):
+            after, out, factor = cascade(parts, states, kind)
             if after not in number:
                 number[after] = len(order)
                 order.append(after)
-            row.append((number[after], math.prod(f for _, f in steps)))
+            row.append((number[after], out, factor))
         moves.append(row)
     return moves
 
 
+GRAMMAR = compose(negation(), reported_speech(), target(), insult(), threat())
+#: Isolated words: every insult and threat is plain.
+WORDS_ONLY: Machine = [[(0, PLAIN_OUT if kind in (INSULT, THREAT) else -1, 1.0) for kind in range(CLASSES)]]
+
+
 class Memory:
     """Classes of the words seen so far in a task, dropped when there are too many."""
 
@@ -142,96 +210,47 @@ class Memory:
                     self.hot.add(w)
 
 
-GRAMMAR = compose(_negation(), _report(), _target(), _threat())
-
-
-def clause_weight(classes: list[tuple[int, float]], grammar: list[list[tuple[int, float]]] = GRAMMAR) -> float:
-    state, total = 0, 0.0
+def clause_weights(classes: list[tuple[int, float]], grammar: Machine = GRAMMAR) -> list[float]:
+    """Weight of each output symbol. A pointing mark has weight 1."""
+    state, sums = 0, [0.0] * len(SYMBOLS)
     for kind, weight in classes:
-        state, factor = grammar[state][kind]
-        total += factor * weight
-    return total
+        state, out, factor = grammar[state][kind]
+        if out >= 0:
+            sums[out] += factor * (weight or 1.0)
+    return sums
 
 
-def clauses(text: str | None, memory: Memory) -> list[tuple[float, int, str]]:
-    """(weight, words, clause) of every clause with an insult or threat."""
+def clauses(text: str | None, memory: Memory, grammar: Machine = GRAMMAR) -> list[tuple[list[float], int, str]]:
+    """(weights of the symbols, words, clause) of every clause with an insult or threat."""
     found = []
     for clause in CLAUSE.split((text or "").lower()):
         words = WORD.findall(clause)
         memory.see(words)
         if not memory.hot.isdisjoint(words):
-            found.append((clause_weight([memory.classes[w] for w in words]), len(words), clause))
+            found.append((clause_weights([memory.classes[w] for w in words], grammar), len(words), clause))
     return found
 
 
-def features(text: str | None, memory: Memory) -> tuple[float, float, float]:
-    """Greatest clause weight, log of their sum, and whether a clause matched."""
-    weights = [w for w, _, _ in clauses(text, memory)]
-    return max(weights, default=0.0), math.log1p(sum(weights)), float(bool(weights))
+# What the symbols are worth before anything is learnt, in log-odds for each unit of log(1 + weight), and the start.
+PRIOR = (1.5, 0.2, 0.5, 2.0, 2.0, -1.5)
 
 
-def learn_lexicon(
-    labelled: DataFrame, at_least: int = 5, support: float = 0.008, ratio: float = 20.0, share: float = 0.9, most: int = 20_000
-) -> Lexicon:
-    """Fixed words and learnt insults.
+def features(text: str | None, memory: Memory, grammar: Machine = GRAMMAR) -> list[float]:
+    """log(1 + weight) of each symbol over the text's clauses."""
+    sums = [0.0] * len(SYMBOLS)
+    for weights, _, _ in clauses(text, memory, grammar):
+        sums = [a + b for a, b in zip(sums, weights, strict=True)]
+    return [math.log1p(s) for s in sums]
 
-    labelled: (text, toxic). Counts the documents of each class that hold each word and each word beginning, over all
-    rows. Learnt are those in at_least toxic documents, and a share of ``support`` of them, whose rate is ``ratio`` times
-    that among the others and of whose documents the ``share`` is toxic. The support is low because the words of a rare
-    language stand in few of all toxic documents. A word within a learnt beginning isn't listed again. most bounds the
-    model; the strongest entries stay."""
-    lexicon = Lexicon.fixed()
-    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
-    size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    clean, toxic = size.get(0, 0), size.get(1, 0)
-    if not toxic:
-        return lexicon
-
-    def keys(text: str | None) -> set[str]:
-        words = set(WORD.findall((text or "").lower()))
-        return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n}
-
-    def counter(among: frozenset[str] | None):
-        def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                own = keys(text)
-                out.update(own if among is None else own & among)
-            return record_batch({"key": (list(out), pa.string()), "n": (list(out.values()), pa.int64())})
-
-        return count
 
-    # First the toxic documents, a small part; the keys that many of them hold are then counted among the others. There are
-    # at most 1 / support times as many such keys as one document has on average.
-    of_toxic = map_batches(rows.filter("toxic = 1"), counter(None), "key string, n long", rows=100_000).groupBy("key").agg(F.sum("n").alias("n1"))
-    found = {r["key"]: r["n1"] for r in of_toxic.filter(F.col("n1") >= max(at_least, support * toxic)).collect()}
-    of_clean = map_batches(rows.filter("toxic = 0"), counter(frozenset(found)), "key string, n long", rows=100_000)
-    others = {r["key"]: r["n0"] for r in of_clean.groupBy("key").agg(F.sum("n").alias("n0")).collect()}
-    learnt = []
-    for key, n1 in found.items():
-        n0 = others.get(key, 0)
-        rate1, rate0 = n1 / toxic, (n0 + 0.5) / (clean + 1)
-        if rate1 >= ratio * rate0 and n1 >= share * (n0 + n1):
-            learnt.append({"key": key, "weight": math.log(rate1 / rate0), "n": n1})
-    learnt.sort(key=lambda r: (-r["weight"] * math.log1p(r["n"]), r["key"]))
-    learnt = learnt[:most]
-    for row in learnt:
-        if row["key"].endswith("*"):
-            lexicon.stems[row["key"][:-1]] = (INSULT, row["weight"] / 2)
-    for row in learnt:
-        word = row["key"]
-        if not word.endswith("*") and lexicon.classify(word)[0] == OTHER:
-            lexicon.words[word] = (INSULT, row["weight"] / 2)
-    return lexicon
-
-
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 40, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method; the last weight is the intercept."""
+def logistic(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = PRIOR, ridge: float = 0.5, steps: int = 40) -> np.ndarray:
+    """Newton's method with a ridge towards the prior; the last weight is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    start = np.array(prior)
+    w = start.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * w
+        gradient = x.T @ (p - y) + ridge * (w - start)
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w -= step
@@ -240,43 +259,190 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 40, ridge: float = 1e-2)
     return w
 
 
+def probability(x: Iterable[float], weights: Iterable[float]) -> float:
+    *slopes, start = weights
+    z = start + sum(a * b for a, b in zip(x, slopes, strict=True))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
-    weights: tuple[float, ...] = (1.0, 1.0, 0.0, -2.0)
+    weights: tuple[float, ...] = PRIOR
+    settings: tuple[float, float, float] | None = None
+    grammar: Machine = field(default_factory=lambda: GRAMMAR)
 
     def score(self, text: str | None, memory: Memory) -> float:
-        x = features(text, memory)
-        z = sum(a * b for a, b in zip(x, self.weights, strict=False)) + self.weights[-1]
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return probability(features(text, memory, self.grammar), self.weights)
+
+
+@dataclass
+class Counts:
+    """Documents of either class in each fold, in all and by key. A key is a word or, with a star, a beginning of words."""
+
+    size: dict[tuple[int, int], int]  # (toxic, fold)
+    toxic: dict[str, tuple[int, int]]
+    clean: dict[str, tuple[int, int]]
+
+    def lexicon(self, support: float, ratio: float, share: float, folds: tuple[int, ...] = (0, 1), at_least: int = 5, most: int = 20_000) -> Lexicon:
+        """Fixed words, and the keys in at_least toxic documents, and a share of ``support`` of them, whose rate is ``ratio`` times that
+        among the others and of whose documents the ``share`` is toxic. A word within a learnt beginning isn't listed again. most
+        bounds the model; the strongest entries stay."""
+        lexicon = Lexicon.fixed()
+        toxic, clean = (sum(self.size.get((y, f), 0) for f in folds) for y in (1, 0))
+        learnt = []
+        for key, by_fold in self.toxic.items() if toxic else ():
+            n1, n0 = sum(by_fold[f] for f in folds), sum(self.clean.get(key, (0, 0))[f] for f in folds)
+            if n1 < max(at_least * len(folds) / 2, support * toxic):
+                continue
+            rate1, rate0 = n1 / toxic, (n0 + 0.5) / (clean + 1)
+            if rate1 >= ratio * rate0 and n1 >= share * (n0 + n1):
+                learnt.append((-math.log(rate1 / rate0) * math.log1p(n1), key, math.log(rate1 / rate0) / 2))
+        learnt = sorted(learnt)[:most]
+        for _, key, weight in learnt:
+            if key.endswith("*"):
+                lexicon.stems[key[:-1]] = (INSULT, weight)
+        for _, key, weight in learnt:
+            if not key.endswith("*") and lexicon.classify(key)[0] == OTHER:
+                lexicon.words[key] = (INSULT, weight)
+        return lexicon
+
 
+def _keys(text: str | None) -> set[str]:
+    words = set(WORD.findall((text or "").lower()))
+    return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n}
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> Model:
+
+def count_keys(labelled: DataFrame, support: float, at_least: int = 5) -> Counts:
+    """labelled: (text, toxic, fold). Counts all its rows, for the keys that a share of support of the toxic ones hold: at most 1 /
+    support times as many as one document has on average."""
+    size = {(r["toxic"], r["fold"]): r["count"] for r in labelled.groupBy("toxic", "fold").count().collect()}
+    toxic = sum(n for (y, _), n in size.items() if y == 1)
+    if not toxic:
+        return Counts(size, {}, {})
+
+    def counter(among: frozenset[str] | None):
+        def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+            for text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = _keys(text)
+                out[fold].update(own if among is None else own & among)
+            keys = [*out[0], *(k for k in out[1] if k not in out[0])]
+            return record_batch({"key": (keys, pa.string())} | {f"n{f}": ([out[f][k] for k in keys], pa.int64()) for f in (0, 1)})
+
+        return count
+
+    def counted(y: int, among: frozenset[str] | None) -> DataFrame:
+        rows = labelled.filter(F.col("toxic") == y).select("text", "fold")
+        each = map_batches(rows, counter(among), "key string, n0 long, n1 long", rows=100_000)
+        return each.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+    # first the toxic documents, a small part; the keys that many of them hold are then counted among the others
+    often = counted(1, None).filter(F.col("n0") + F.col("n1") >= max(at_least, support * toxic)).collect()
+    found = {r["key"]: (r["n0"], r["n1"]) for r in often}
+    others = {r["key"]: (r["n0"], r["n1"]) for r in counted(0, frozenset(found)).collect()}
+    return Counts(size, found, others)
+
+
+def learn_context(labelled: DataFrame, lexicon: Lexicon, reach: int = 3, support: float = 0.02, surprise: float = 10.8) -> None:
+    """Adds to the lexicon the words that stand up to ``reach`` words before insults or threats in documents that are less often toxic
+    (negations) or more often (targets) than all documents with an insult or threat, by a likelihood ratio test.
+
+    Counts all rows of labelled; words in fewer than 20 or a share of support of the matched documents are left out, which bounds
+    what is collected."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        memory = Memory(lexicon)
+        out: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            before: set[str] = set()
+            for clause in CLAUSE.split((text or "").lower()):
+                words = WORD.findall(clause)
+                memory.see(words)
+                if not memory.hot.isdisjoint(words):
+                    for k, w in enumerate(words):
+                        if w in memory.hot:
+                            before.update(x for x in words[max(0, k - reach) : k] if x not in memory.hot)
+                            before.add("")  # the document itself
+            out[toxic].update(before)
+        keys = sorted({*out[0], *out[1]})
+        return record_batch({"key": (keys, pa.string())} | {f"n{y}": ([out[y][k] for k in keys], pa.int64()) for y in (0, 1)})
+
+    each = map_batches(labelled.select("text", "toxic"), count, "key string, n0 long, n1 long").groupBy("key")
+    sums = materialize(each.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "context")
+    whole = sums.filter("key = ''").first()
+    if whole:
+        all0, all1 = whole["n0"], whole["n1"]
+        rows = sums.filter((F.col("key") != "") & (F.col("n0") + F.col("n1") >= max(20, support * (all0 + all1)))).collect()
+        rate = all1 / (all0 + all1)
+        for r in sorted(rows, key=lambda r: r["key"]):
+            n = r["n0"] + r["n1"]
+            expected = ((r["n1"], n * rate), (r["n0"], n * (1 - rate)))
+            g = 2 * sum(a * math.log(a / e) for a, e in expected if a and e)
+            if g >= surprise and lexicon.classify(r["key"])[0] == OTHER:
+                lexicon.words[r["key"]] = (TARGET if r["n1"] > n * rate else NEGATION, 0.0)
+    discard(sums)
+
+
+#: (support, ratio, share) that cross-validation chooses from.
+GRID = tuple(product((0.004, 0.008), (20.0,), (0.6, 0.75, 0.9)))
+
+
+def _measured(sample: DataFrame, lexicons: list[Lexicon], grammar: Machine = GRAMMAR) -> dict[str, np.ndarray]:
+    """toxic, fold and x (features under every lexicon) of the rows of a bounded sample."""
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        memories = [Memory(x) for x in lexicons]
+        x = [[v for m in memories for v in features(t, m, grammar)] for t in batch.column(0).to_pylist()]
+        return record_batch({"x": (x, pa.list_(pa.float64())), "toxic": (batch.column(1).cast(pa.int32()), pa.int32()), "fold": (batch.column(2).cast(pa.int32()), pa.int32())})
+
+    got = sorted(map_batches(sample.select("text", "toxic", "fold"), measure, "x array<double>, toxic int, fold int").collect())
+    x = np.array([r["x"] for r in got], float).reshape(len(got), len(lexicons), len(SYMBOLS))
+    return {"x": x, "toxic": np.array([r["toxic"] for r in got], float), "fold": np.array([r["fold"] for r in got], int)}
+
+
+def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    if not len(y) or not 0 < y.sum() < len(y):
+        return PRIOR
+    *slopes, start = logistic(x, y).tolist()
+    return *slopes, min(start, -0.1)  # no evidence never makes a text toxic
+
+
+def choose(counts: Counts, sample: DataFrame, grid: tuple = GRID) -> tuple[float, float, float]:
+    """The settings with the least log-loss: the lexicon and weights of one fold score the other."""
+    got = _measured(sample, [counts.lexicon(*settings, folds=(f,)) for settings in grid for f in (0, 1)])
+    losses = []
+    for k in range(len(grid)):
+        loss = 0.0
+        for f in (0, 1):
+            learn, test = got["fold"] == f, got["fold"] != f
+            weights = _fit(got["x"][learn, 2 * k + f], got["toxic"][learn])
+            p = np.array([probability(x, weights) for x in got["x"][test, 2 * k + f]])
+            y = got["toxic"][test]
+            loss -= float(np.sum(np.log(np.where(y == 1, p, 1 - p))))
+        losses.append(round(loss, 6))
+    return grid[int(np.argmin(losses))]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, choice_rows: int = 1500, grammar: Machine = GRAMMAR) -> Model:
     """Learn from the labelled documents that aren't held out.
 
-    The lexicon counts all of them. The logistic regression takes sample_rows of them at most, those with the least hash of
-    their id, so that the model's cost doesn't grow."""
-    own = labels.select(F.col("doc_id").alias("_id"), "toxic").filter("toxic in (0, 1)").groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    The lexicon and its context words count all of them. The logistic regression takes sample_rows of them at most, and the choice of
+    settings choice_rows, those with the least hash of their id and text, so that the model's cost doesn't grow."""
+    own = labels.select(F.col("doc_id").alias("_id"), "toxic").filter("toxic in (0, 1)").groupBy("_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.filter(~held_out("_id"))
     # a label is some 20 bytes: up to BROADCAST_ROWS of them go to the tasks, more are merged with the texts
     own = F.broadcast(own) if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else own.hint("merge")
-    rows = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    fold = F.pmod(F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 5), F.lit(2)).cast("int")
+    rows = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic", fold.alias("fold"))
     rows = materialize(rows, "toxic-rows")
-    model = Model(learn_lexicon(rows))
-    sample = least_hashed(rows, sample_rows).select("text", "toxic")
-    memory = Memory(model.lexicon)
-
-    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [features(t, memory) for t in batch.column(0).to_pylist()]
-        return record_batch({"x": ([list(v) for v in x], pa.list_(pa.float64())), "toxic": (batch.column(1).cast(pa.int32()), pa.int32())})
-
-    # rows that repeat one id share its hash; the figures of so many at most come to the driver
-    got = sorted(map_batches(sample, measure, "x array<double>, toxic int").limit(2 * sample_rows).collect())
-    y = np.array([r["toxic"] for r in got], float)
-    if len(got) and 0 < y.sum() < len(y):
-        *slopes, start = logistic(np.array([r["x"] for r in got]), y).tolist()
-        model.weights = (*slopes, min(start, -0.1))  # no evidence never makes a text toxic
-    return model
+    counts = count_keys(rows, min(s for s, _, _ in GRID))
+    settings = choose(counts, least_hashed(rows, choice_rows)) if counts.toxic else GRID[0]
+    lexicon = counts.lexicon(*settings)
+    learn_context(rows, lexicon)
+    got = _measured(least_hashed(rows, sample_rows), [lexicon], grammar)
+    discard(rows)
+    return Model(lexicon, _fit(got["x"][:, 0], got["toxic"]), settings, grammar)
 
 
 def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -302,12 +468,14 @@ def score_column(model: Model, text: str = "text") -> Column:
 
 
 def matched_clauses(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, clause, weight): one row for every matched clause."""
+    """(doc_id, clause, and the weight of each symbol): one row for every matched clause."""
     memory = Memory(model.lexicon)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(d, c, w) for d, t in zip(*(x.to_pylist() for x in batch.columns), strict=True) for w, _, c in clauses(t, memory)]
-        ids, found, weights = zip(*rows, strict=True) if rows else ((), (), ())
-        return record_batch({"doc_id": (ids, pa.int64()), "clause": (found, pa.string()), "weight": (weights, pa.float64())})
+        rows = [(d, c, *w) for d, t in zip(*(x.to_pylist() for x in batch.columns), strict=True) for w, _, c in clauses(t, memory, model.grammar)]
+        ids, found, *weights = zip(*rows, strict=True) if rows else ((),) * (2 + len(SYMBOLS))
+        return record_batch(
+            {"doc_id": (ids, pa.int64()), "clause": (found, pa.string())} | {s: (w, pa.float64()) for s, w in zip(SYMBOLS, weights, strict=True)}
+        )
 
-    return map_batches(docs.select(F.col(doc_id).cast("long"), text), run, "doc_id long, clause string, weight double")
+    return map_batches(docs.select(F.col(doc_id).cast("long"), text), run, "doc_id long, clause string, " + ", ".join(f"{s} double" for s in SYMBOLS))
