@@ -126,10 +126,9 @@ def sampled(docs: DataFrame, text: str, rows: int, files: int = 2, fraction: flo
     their text."""
     names = sorted(docs.inputFiles())
     if names:
-        chosen = {names[len(names) * k // files] for k in range(files)}
+        chosen = {names[len(names) * k // files].rpartition("/")[2] for k in range(files)}
         try:
-            of = F.col("_metadata.file_path")
-            return docs.filter(of.isin(*chosen)).select(text).limit(rows)
+            return docs.filter(F.col("_metadata.file_name").isin(*chosen)).select(text).limit(rows)
         except AnalysisException:  # a join or an aggregate has no file of its own
             pass
     return docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(1000)) < int(1000 * fraction)).limit(rows)

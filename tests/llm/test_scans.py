@@ -1,6 +1,7 @@
 """Licence, token, secret and quality scans against plain restatements of their contracts."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -43,6 +44,46 @@ def test_licence_alignment_with_a_changed_word():
     assert [h[:2] for h in index.scan("Licensed beneath the GNU General Public License version 3")[1]] == [("gpl-3", 0)]
 
 
+def plain_labels(text):
+    """Every template at every relative position, by the whole alignment, without an index."""
+    index = license_index.Index(license_index.BASE_PHRASES + license_index.NOTICES)
+    words, found = license_index.words_of(text or ""), set()
+    for t, template in enumerate(index.templates):
+        for at in range(-len(index.words[t]) + 1, len(words)):
+            share, first, end = index.aligned(t, words, at, at)
+            if share >= template.least - 1e-9 and all(license_index.holds(words[first:end], k) for k in index.keys[t]):
+                found.add(template.label)
+    return found
+
+
+def test_licence_labels_equal_all_alignments(spark):
+    """Notices with words changed, lost and inserted, the rarest among them, in other words."""
+    rng = random.Random(8)
+    notices, rows = [t.text.split() for t in license_index.BASE_PHRASES + license_index.NOTICES], []
+    for k in range(80):
+        own = list(notices[k % len(notices)])
+        for _ in range(rng.randrange(0, max(1, len(own) // 6))):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([[], ["other"], [own[at], "new"], ["the"]])
+        before, after = (rng.choices("of the and software license version free general 2 3".split(), k=rng.randrange(4)) for _ in range(2))
+        rows.append((k, " ".join([*before, *own, *after])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_index.scan_licenses(docs).collect()}
+    want = {k: plain_labels(t) for k, t in rows}
+    assert {k: set(filter(None, got[k]["labels"].split(","))) for k in got} == want
+    assert sum(map(bool, want.values())) > 40
+
+
+def test_every_rare_word_may_change_if_the_rest_stays():
+    index = license_index.Index(license_index.BASE_PHRASES + license_index.NOTICES)
+    t = next(k for k, x in enumerate(index.templates) if x.label == "zlib")
+    words = [w.decode() for w in index.words[t]]
+    heavy = sorted(set(words), key=lambda w: (-index.idf[w.encode()], w))
+    keep = {w.decode() for k in index.keys[t] for w in k}
+    for w in [w for w in heavy if w not in keep][:3]:
+        assert "zlib" in {h[0] for h in index.scan(" ".join("changed" if x == w else x for x in words))[1]}
+
+
 def test_tokens_equal_tiktoken(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = bpe_matrix.load_ranks(path)
@@ -96,6 +137,87 @@ def test_inferred_formats():
         assert secret_grammar.scan_text(text, grammar) == []
 
 
+def test_formats_that_only_the_corpus_knows(spark):
+    """Values assigned in some documents teach a format, which is then found bare in others; other identifiers aren't."""
+    rng = random.Random(4)
+    own = lambda: "zq" + "".join(rng.choices("ABCDEFGHJK", k=6)) + "_" + "".join(rng.choices("0123456789abcdef", k=20))
+    rows = [(k, f'some words api_key = "{own()}" more words') for k in range(120)]
+    bare = {1000 + k: own() for k in range(100)}
+    rows += [(k, f"see {v} there") for k, v in bare.items()]
+    other = {2000 + k: x for k, x in enumerate(["src/module/file-name_version2.txt", "550e8400-e29b-41d4-a716-446655440000", "2024-01-02T03:04:05.000Z-host1", "internationalisation-2nd-edition", "v1.2.3-rc4-build.20240102"])}
+    rows += list(other.items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["found"] for r in secret_grammar.scan_secrets(docs).collect()}
+    whole = lambda found, k: any(f["start"] <= 4 and f["end"] >= 4 + len(bare[k]) for f in found)
+    assert sum(whole(found[k], k) for k in bare) >= 90
+    assert not any(found[k] for k in other)
+    alone = secret_grammar.scan_secrets(docs, secret_grammar.labelled_examples()).collect()
+    assert sum(whole(r["found"], r["doc_id"]) for r in alone if r["doc_id"] in bare) < 10  # the documented formats don't cover it
+
+
+def plain_stretches(text, grammar, least):
+    """All candidate stretches of every run, scored as whole strings; of each kind and start the last end that scores enough."""
+    taken = [(s, e) for s, _, e in secret_grammar.base_spans(text)]
+    found = []
+    for run in re.finditer(r"[A-Za-z0-9+/_.=-]{16,}", text):
+        own, final = run[0], len(run[0].rstrip(".="))
+        best = {}
+        for kind in grammar.automata:
+            alone = secret_grammar.Grammar([])
+            alone.automata = {kind: grammar.automata[kind]}
+            for a in range(final):
+                if kind in grammar.prefixed:
+                    if own[a] not in grammar.prefixed[kind]:
+                        continue
+                elif a and own[a - 1].isalnum():
+                    continue
+                for b in range(a + 16, final + 1):
+                    part = own[a:b]
+                    if (b == final or not own[b].isalnum()) and re.search("[0-9]", part) and re.search("[A-Za-z]", part):
+                        score = alone.score(part)[0]
+                        if score >= least:
+                            best[kind, a] = (a, b, score, kind)
+        for a, b, score, kind in sorted(best.values(), key=lambda x: (x[0] - x[1], -x[2], x)):
+            a, b = run.start() + a, run.start() + b
+            if not any(s <= a and b <= e for s, e in taken):
+                taken.append((a, b))
+                found.append((a, f"format-{kind}", b))
+    return sorted(found)
+
+
+def test_spans_equal_all_stretches(spark):
+    grammar = secret_grammar.Grammar(secret_grammar.labelled_examples())
+    rng = random.Random(9)
+    texts = []
+    for _, c in secret_grammar.labelled_examples(6, seed=31):
+        around = rng.choice(["{}", "x={}", "a/{}/b", "{}-tail9", "id.{}=", "token: {} {}", "//{}@host"])
+        texts.append(around.replace("{}", c) + " " + "".join(rng.choices("ab1-/_.=", k=40)))
+    rows = list(enumerate(texts))
+    got = secret_grammar.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), secret_grammar.labelled_examples()).collect()
+    for r in got:
+        text = texts[r["doc_id"]]
+        added = sorted((f["start"], f["kind"], f["end"]) for f in r["found"] if not f["base"])
+        assert added == plain_stretches(text, grammar, 12.0)
+        base = secret_grammar.base_spans(text)
+        assert [(f["start"], f["kind"], f["end"]) for f in r["found"] if f["base"]] == base
+
+
+def test_quality_keeps_other_columns(spark):
+    got = quality_cascade.apply_cascade(clashing(spark))
+    assert {"_words", "_lines"} <= set(got.columns)
+    assert {(r["_words"], r["_lines"], r["key"]) for r in got.collect()} == {("extra _words", "extra _lines", "extra key")}
+
+
+def test_quality_sample_is_of_few_files(spark, tmp_path):
+    documents(spark).repartition(12).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    sample = quality_cascade.sampled(docs.select("doc_id", "text"), "text", 1000)
+    assert 0 < sample.count() < 0.4 * docs.count()
+    assert len(sample.inputFiles()) == 12  # the relation's; the scan reads the chosen ones
+    joined = docs.join(docs.select("doc_id").distinct(), "doc_id")
+    assert quality_cascade.sampled(joined, "text", 7).count() <= 7
+
+
 def test_quality_defined_cases(spark):
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     def want(r):
