@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # The 29 code points that Python's str.split() takes as white space.
 SPACE = r"[\x1c-\x1f\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The number of files that a project may have.
+MOST_FILES = 2048
 LINE_END = r"\r\n|\n|\r"
 # What the privacy scan looks for.
 PRIVACY_RULES = {
@@ -187,7 +189,22 @@ def matches_with_offsets(text: Column, pattern: str) -> Column:
     return let(parts, lambda p: F.when(F.size(p["found"]) > 0, collect(p)).otherwise(none))
 
 
+def findings(text: Column, rules: dict[str, str]) -> Column:
+    """array<struct<rule, start_byte, value>> of all matches of all rules. A rule is matched in full only where it is found at all."""
+    none = F.array().cast("array<struct<rule:string,start_byte:bigint,value:string>>")
+
+    def named(rule: str, pattern: str) -> Column:
+        found = F.transform(matches_with_offsets(text, pattern), lambda m: F.struct(F.lit(rule).alias("rule"), m["start_byte"].alias("start_byte"), m["value"].alias("value")))
+        return F.when(text.rlike(pattern), found).otherwise(none)
+
+    return F.concat(*(named(rule, pattern) for rule, pattern in rules.items()))
+
+
 def canonical_rows(row: Column, order: Column) -> Column:
-    """Aggregate: the rows' JSON in order, as one JSON array, hashed. row: a struct whose fields stand in sorted order."""
+    """Aggregate: the rows' JSON in order, as one JSON array, hashed. row: a struct whose fields stand in sorted order.
+
+    The value is defined over the whole array, so a group is gathered: it must be one project's tree. A group of more than MOST_FILES
+    rows fails instead of filling a task."""
     items = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.to_json(row).alias("j"))))
-    return tagged_sha256(utf8(F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["j"]), ","), F.lit("]"))))
+    whole = tagged_sha256(utf8(F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["j"]), ","), F.lit("]"))))
+    return F.when(F.count(F.lit(1)) <= MOST_FILES, whole).otherwise(F.raise_error(F.lit(f"a tree of more than {MOST_FILES} files")).cast("string"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordinals import numbered
+
 
 def adjacent_pairs(events: DataFrame, group: list[str], order: list[str], pairs: Column) -> DataFrame:
     """events with pair_start, true on the first row of each pair. pairs says whether a row and its successor may pair (it may
@@ -48,9 +50,10 @@ def change_shape(kinds: Column) -> Column:
 
 
 def first_seen(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """(value, rank): the distinct non-null values in the order in which they first stand. Only one row per value is ranked."""
+    """(value, rank): the distinct non-null values in the order in which they first stand. Only one row per value is ranked, in range
+    partitions."""
     firsts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(F.struct(*order)).alias("at"))
-    return firsts.select(value, F.row_number().over(Window.orderBy("at")).cast("long").alias("rank"))
+    return numbered(firsts, ["at", value]).select(value, (F.col("ordinal") + 1).alias("rank"))
 
 
 def keep(rows: DataFrame, key: list[str], order: list[str], last: bool = False) -> DataFrame:
@@ -77,9 +80,9 @@ def not_increasing(rows: DataFrame, key: list[str], order: list[str], value: str
 
 
 def unbalanced(markers: DataFrame, key: list[str], order: str, opens: str) -> DataFrame:
-    """Keys whose markers aren't exactly one opening followed by one closing."""
-    seen = F.transform(F.sort_array(F.collect_list(F.struct(order, opens))), lambda x: x[opens])
-    return markers.groupBy(*key).agg(seen.alias("seen")).filter(F.col("seen") != F.array(F.lit(True), F.lit(False))).select(*key)
+    """Keys whose markers aren't exactly one opening followed by one closing. Nothing is gathered per key."""
+    seen = markers.groupBy(*key).agg(F.count("*").alias("n"), F.min_by(opens, order).alias("first"), F.max_by(opens, order).alias("last"))
+    return seen.filter((F.col("n") != 2) | ~F.col("first") | F.col("last")).select(*key)
 
 
 def nesting(markers: DataFrame, key: list[str], order: str) -> DataFrame:

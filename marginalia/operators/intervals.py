@@ -1,7 +1,8 @@
 """Half-open intervals: overlap, cover, segments and splices.
 
-Overlap joins bin the intervals: each goes to every bin of ``bin_width`` it touches and meets others there, so that a path
-with very many intervals is spread over its bins. A pair counts in the first bin that both share.
+Whether a range overlaps any other is one sweep in the order of starts. Where the pairs themselves are asked for, each interval goes to
+every bin of ``bin_width`` it touches and meets others there, so that a path with very many intervals is spread over its bins. A
+pair counts in the first bin that both share.
 """
 
 from __future__ import annotations
@@ -40,11 +41,37 @@ def overlap_pairs(ranges: DataFrame, zero_width: bool = True, bin_width: int = 1
     return x.join(y, same & first & overlaps(a, b, zero_width)).select("x.path", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def flagged(ranges: DataFrame, zero_width: bool = True, bin_width: int = 1 << 16) -> DataFrame:
+    """ranges (path, id, start, end, ...) with clash: whether another range of the path overlaps it. A sweep instead of a pair join.
+
+    In the order of starts, filled ranges before empty ones, a range overlaps an earlier one if the greatest end so far lies beyond its
+    start, and a later one if the next start lies before its end. A path is swept in bins of ``bin_width`` starts, each a window of its own;
+    what comes before and after a bin is one row a bin."""
+    empty = F.col("start") == F.col("end")
+    own = ranges if zero_width else ranges.filter(~empty)
+    binned = own.withColumns({"_bin": F.floor(F.col("start") / bin_width), "_empty": empty})
+    w = Window.partitionBy("path", "_bin").orderBy("start", "_empty", "end", "id")
+    swept = binned.withColumns(
+        {
+            "_reach": F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+            "_next": F.lead("start").over(w),
+            "_twin": F.coalesce(F.lag(F.struct("start", "_empty")).over(w) == F.struct("start", "_empty"), F.lit(False))
+            | F.coalesce(F.lead(F.struct("start", "_empty")).over(w) == F.struct("start", "_empty"), F.lit(False)),
+        }
+    )
+    along = Window.partitionBy("path").orderBy("_bin")
+    bins = binned.groupBy("path", "_bin").agg(F.max("end").alias("last"), F.min("start").alias("first"))
+    bins = bins.select("path", "_bin", F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"), F.lead("first").over(along).alias("_follows"))
+    before = F.coalesce(F.greatest("_reach", "_carry") > F.col("start"), F.lit(False))
+    after = F.coalesce(F.coalesce("_next", "_follows") < F.col("end"), F.lit(False))
+    clash = F.when(F.col("_empty"), before | F.col("_twin")).otherwise(before | after)
+    found = swept.join(bins, ["path", "_bin"]).withColumn("clash", clash).select(*ranges.columns, "clash")
+    return found if zero_width else found.unionByName(ranges.filter(empty).withColumn("clash", F.lit(False)))
+
+
 def survivors(ranges: DataFrame, zero_width: bool = False) -> DataFrame:
     """The ranges that overlap no other; both sides of an overlap go."""
-    pairs = overlap_pairs(ranges, zero_width)
-    gone = pairs.select("path", F.explode(F.array("a", "b")).alias("id")).distinct()
-    return ranges.join(gone, ["path", "id"], "left_anti")
+    return flagged(ranges, zero_width).filter(~F.col("clash")).drop("clash")
 
 
 def outside(inner: DataFrame, blocks: DataFrame, bin_width: int = 1024) -> DataFrame:
@@ -56,13 +83,6 @@ def outside(inner: DataFrame, blocks: DataFrame, bin_width: int = 1024) -> DataF
     return inner.join(hit, ["path", "id"], "left_anti")
 
 
-def running_overlap(ranges: DataFrame) -> DataFrame:
-    """Ranges of each path that start before the greatest end so far, without a pair join."""
-    w = Window.partitionBy("path").orderBy("start", "end", "id")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return ranges.withColumn("reach", before).filter(F.col("start") < F.col("reach")).drop("reach")
-
-
 def contiguity_violations(segments: DataFrame) -> DataFrame:
     """segments: (path, ix, start, end, total): each must start where the one before ended, the last end at the total."""
     w = Window.partitionBy("path").orderBy("ix")
@@ -76,18 +96,44 @@ def contiguity_violations(segments: DataFrame) -> DataFrame:
 
 
 def locate(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """points: (path, point); segments: (path, ix, review_start, review_end, source_start). Each point takes the first segment
-    that holds it, its ends included, and its place in the source."""
-    hit = (F.col("p.path") == F.col("s.path")) & F.col("p.point").between(F.col("s.review_start"), F.col("s.review_end"))
-    joined = points.alias("p").join(segments.alias("s"), hit, "left")
-    place = F.col("s.source_start") + F.col("p.point") - F.col("s.review_start")
+    """points: (path, point); segments: (path, ix, review_start, review_end, ...), which cover their path in the order of ix without
+    overlap. (path, point, segment): the first segment that holds the point, its ends included; null for a gap.
+
+    One sort each way instead of a range join: the last segment that starts before the point, else the first one that starts at it."""
+    names = [c for c in segments.columns if c != "path"]
+    rows = points.select("path", "point", F.lit(None).cast(segments.select(F.struct(*names)).schema[0].dataType).alias("s")).unionByName(
+        segments.select("path", F.col("review_start").alias("point"), F.struct(*names).alias("s"))
+    )
+    is_segment = F.col("s").isNotNull()
+    forth = Window.partitionBy("path").orderBy("point", is_segment, "s.ix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy("path").orderBy(F.desc("point"), F.desc(is_segment), F.desc("s.ix")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.withColumns({"before": F.last("s", ignorenulls=True).over(forth), "after": F.last("s", ignorenulls=True).over(back)})
+    hit = F.when(F.col("before.review_end") >= F.col("point"), F.col("before")).when(F.col("after.review_start") == F.col("point"), F.col("after"))
+    return both.filter(~is_segment).select("path", "point", hit.alias("segment"))
+
+
+def source_place(text: Column, point: Column, segment: Column) -> Column:
+    """The source byte of a point of text: the ends of a segment are always known, its inside only where it is copied as it is.
+
+    segment: review_start, review_end, source_start, source_end, identity."""
+    inside = F.octet_length(F.substring(text, segment["review_start"] + 1, point - segment["review_start"]))
     return (
-        joined.groupBy(F.col("p.path").alias("path"), F.col("p.point").alias("point"))
-        .agg(F.min(F.struct(F.col("s.ix").alias("ix"), place.alias("source"))).alias("m"))
-        .select("path", "point", F.col("m.ix").alias("ix"), F.col("m.source").alias("source"))
+        F.when(point == segment["review_start"], segment["source_start"])
+        .when(point == segment["review_end"], segment["source_end"])
+        .when(segment["identity"], segment["source_start"] + inside)
     )
 
 
+def first_lossy(spans: DataFrame, segments: DataFrame) -> DataFrame:
+    """spans: (path, id, start, end) in review places. (path, id, ix): the first segment without identity that a span enters; an empty span
+    must lie strictly inside one."""
+    s, g = spans.alias("s"), segments.filter(~F.col("identity")).alias("g")
+    start, end, a, b = F.col("s.start"), F.col("s.end"), F.col("g.review_start"), F.col("g.review_end")
+    enters = F.when(start == end, (a < start) & (start < b)).otherwise((start < b) & (end > a))
+    hit = s.join(g, (F.col("s.path") == F.col("g.path")) & enters)
+    return hit.groupBy(F.col("s.path").alias("path"), F.col("s.id").alias("id")).agg(F.min("g.ix").alias("ix"))
+
+
 def splice(texts: DataFrame, edits: DataFrame) -> DataFrame:
     """texts: (path, text); edits: (path, start, end, replacement) in bytes, without overlap. (path, text) with all edits made.
 

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir; a local one is set only where none is."""
+    """df written to the shared folder of spark.checkpoint.dir; a local one is set only where none is, in local mode. On a cluster
+    that would be another folder on every machine."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         import tempfile
 
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.checkpoint.dir')}/{uuid.uuid4().hex}")

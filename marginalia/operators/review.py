@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .intervals import overlap_pairs
+from .intervals import flagged
 
 # What can be decided.
 DECISIONS = ("accept", "reject", "defer", "manual", "conflict")
@@ -111,9 +111,8 @@ def eligibility() -> Column:
 def plan(changes: DataFrame, log: DataFrame) -> DataFrame:
     """changes with outcome: operation, blocked (accepted but not eligible, or overlapping another) or excluded."""
     rows = decided(changes, log).withColumn("code", eligibility())
-    able = rows.filter("code = 'eligible'").select("path", F.col("change_id").alias("id"), "start", "end")
-    clash = overlap_pairs(able).select(F.explode(F.array("a", "b")).alias("change_id")).distinct().withColumn("clash", F.lit(True))
-    joined = rows.join(clash, "change_id", "left").withColumn("clash", F.coalesce("clash", F.lit(False)))
+    able = flagged(rows.filter("code = 'eligible'").withColumn("id", F.col("change_id"))).drop("id")
+    joined = able.unionByName(rows.filter("code <> 'eligible'").withColumn("clash", F.lit(False)))
     code = F.when(F.col("clash"), "overlap").otherwise(F.col("code"))
     outcome = F.when(F.coalesce(F.col("decision") != "accept", F.lit(True)), "excluded").when(code == "eligible", "operation").otherwise("blocked")
     return joined.withColumn("code", code).withColumn("outcome", outcome).drop("clash")

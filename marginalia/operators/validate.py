@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .events import not_increasing
-from .intervals import contiguity_violations, overlap_pairs
+from .intervals import contiguity_violations, flagged
 from .reconcile import repeated
 
 
@@ -71,7 +71,8 @@ def approval_set(decided: DataFrame, final: bool) -> DataFrame:
 
 def patch_plan(operations: DataFrame) -> DataFrame:
     """V9: unique ids, sound ranges, no overlap. operations: (path, id, start, end)."""
-    clash = overlap_pairs(operations, zero_width=False).select(F.col("a").alias("id"))
+    sound = operations.filter(F.col("start") <= F.col("end"))
+    clash = flagged(sound, zero_width=False).filter("clash").select("id")
     return all_of(_named(repeated(operations, ["id"]), "id", "unique_id"), _named(clash, "id", "no_overlap"), broken(operations, "id", {"range": (F.col("start") >= 0) & (F.col("start") <= F.col("end"))}))
 
 

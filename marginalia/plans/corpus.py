@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import anchors, events, intervals, reconcile, review
+from ..operators import anchors, events, intervals, ordinals, reconcile
 from .registry import query, table
 
 # The white space of functions.text, in the other engine's notation.
@@ -99,11 +99,11 @@ UNITS_SQL = """units AS (
 
 @query(
     f"""WITH {UNITS_SQL} SELECT path, unit_id, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", row_number() OVER w - 1 AS ordinal,
-    concat_ws(',', lag(unit_id) OVER w, lead(unit_id) OVER w) AS neighbours FROM units WINDOW w AS (PARTITION BY path ORDER BY start, "end")"""
+    concat_ws(',', lag(unit_id) OVER w, lead(unit_id) OVER w) AS neighbours FROM units WINDOW w AS (ORDER BY path, start, "end")"""
 )
 def unit_ordinals(spark: SparkSession, sf: str) -> DataFrame:
-    """W1, W2 within a path: a global ordinal would put every unit through one task."""
-    rows = review.numbered(units(spark, sf), ["path"], ["start", "end"])
+    """W1, W2 over the whole corpus: a number in the order of path and place, and the units before and after."""
+    rows = ordinals.with_neighbours(ordinals.numbered(units(spark, sf), ["path", "start", "end"]), "unit_id")
     return rows.select("path", "unit_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "ordinal", F.array_join("neighbours", ",").alias("neighbours"))
 
 
@@ -126,17 +126,37 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
         SELECT doc_id AS path, unnest(regexp_extract_all(text, '{SPACE}+|{SPACE.replace('[', '[^', 1)}+')) AS run FROM documents)) GROUP BY path"""
 )
 def provenance_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """W9."""
-    size = F.col("end") - F.col("start")
-    return segments(spark, sf).groupBy("path").agg(
-        F.count("*").alias("n"), F.count_if(F.col("kind") == "space").alias("spaces"), F.sum(size).alias("bytes"), F.max(size).alias("longest")
-    )
+    """What a text's segments add up to, from its array of runs alone."""
+    runs = F.regexp_extract_all("text", F.lit(f"({T.SPACE}+|{T.SPACE.replace('[', '[^', 1)}+)"), F.lit(0))
+
+    def sums(r: Column) -> Column:
+        sizes = F.transform(r, lambda x: F.octet_length(x))
+        return F.struct(
+            F.size(r).cast("long").alias("n"),
+            F.size(F.filter(r, lambda x: x.rlike(f"^{T.SPACE}"))).cast("long").alias("spaces"),
+            F.array_max(sizes).cast("long").alias("longest"),
+        )
+
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.octet_length("text").cast("long").alias("bytes"), T.let(runs, sums).alias("s"))
+    return d.filter("s.n > 0").select("path", "s.n", "s.spaces", "bytes", "s.longest")
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS path, CAST(NULL AS INTEGER) AS ix, CAST(NULL AS BIGINT) AS start, CAST(NULL AS BIGINT) AS \"end\", CAST(NULL AS BIGINT) AS expected WHERE false")
+_GAPS_SQL = rf"""SELECT path, ix, start, CAST("end" AS INTEGER) AS "end", total FROM (
+  SELECT *, CAST(coalesce(sum(octet_length(encode(run))) OVER (PARTITION BY path ORDER BY ix), 0) AS BIGINT) AS "end", "end" - octet_length(encode(run)) AS start FROM (
+    SELECT doc_id AS path, CAST(unnest(range(len(r))) AS INTEGER) AS ix, unnest(r) AS run, octet_length(encode(text)) AS total FROM (
+      SELECT doc_id, text, regexp_extract_all(text, '{SPACE}+|{SPACE.replace('[', '[^', 1)}+') AS r FROM documents)))
+  WHERE NOT (path % 5 = 0 AND ix = 3) AND NOT (path % 7 = 0 AND "end" = total)"""
+
+
+@query(
+    f"""WITH s AS ({_GAPS_SQL}), o AS (SELECT *, coalesce(lag("end") OVER w, 0) AS expected, lead(ix) OVER w IS NULL AND "end" <> total AS short FROM s WINDOW w AS (PARTITION BY path ORDER BY ix))
+    SELECT path, ix, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", CAST(expected AS BIGINT) AS expected FROM o WHERE start <> expected OR short"""
+)
 def segment_contiguity_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """The segments cover every text without a gap."""
-    return intervals.contiguity_violations(segments(spark, sf))
+    """The segments must cover every text without a gap. Of every fifth text the fourth segment is missing, of every seventh the last."""
+    rows = segments(spark, sf).filter(~((F.col("path") % 5 == 0) & (F.col("ix") == 3)) & ~((F.col("path") % 7 == 0) & (F.col("end") == F.col("total"))))
+    found = intervals.contiguity_violations(rows)
+    return found.select("path", "ix", *(F.col(c).cast("long").alias(c) for c in ("start", "end", "expected")))
 
 
 @query("SELECT doc_id, CAST(length_grapheme(text) AS BIGINT) AS graphemes, CAST(length(text) AS BIGINT) AS chars, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents")
@@ -165,14 +185,9 @@ def offset_conversions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    found = None
-    for rule, pattern in T.PRIVACY_RULES.items():
-        # texts without a match are filtered first: offsets are computed for the few others only
-        hit = d.filter(F.col("text").rlike(pattern)).select("doc_id", F.lit(rule).alias("rule"), F.explode(T.matches_with_offsets(F.col("text"), pattern)).alias("m"))
-        rows = hit.select("doc_id", "rule", "m.start_byte", T.tagged_sha256(T.utf8(F.col("m.value"))).alias("digest"))
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    """One scan of the texts for all rules."""
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(T.findings(F.col("text"), T.PRIVACY_RULES)).alias("m"))
+    return rows.select("doc_id", "m.rule", "m.start_byte", T.tagged_sha256(T.utf8(F.col("m.value"))).alias("digest"))
 
 
 FINDINGS_SQL = " UNION ALL ".join(
@@ -202,14 +217,14 @@ def privacy_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT source, count(*) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, 'sha256:' || sha256('[' || string_agg(
-    '{"path":' || doc_id || ',"sha256":"' || sha256(text) || '"}', ',' ORDER BY doc_id) || ']') AS tree_hash FROM documents GROUP BY source"""
+    """SELECT source, doc_id // 1000 AS tree, count(*) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, 'sha256:' || sha256('[' || string_agg(
+    '{"path":' || doc_id || ',"sha256":"' || sha256(text) || '"}', ',' ORDER BY doc_id) || ']') AS tree_hash FROM documents GROUP BY 1, 2"""
 )
 def tree_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """One hash per source tree over its sorted entries."""
-    d = table(spark, sf, "documents").select("source", "doc_id", F.octet_length("text").alias("n"), F.sha2(T.utf8(F.col("text")), 256).alias("sha"))
+    """One hash per project tree over its sorted entries. A thousand ids of a source stand for a project, whose files are few."""
+    d = table(spark, sf, "documents").select("source", F.floor(F.col("doc_id") / 1000).alias("tree"), "doc_id", F.octet_length("text").alias("n"), F.sha2(T.utf8(F.col("text")), 256).alias("sha"))
     row = F.struct(F.col("doc_id").alias("path"), F.col("sha").alias("sha256"))
-    return d.groupBy("source").agg(F.count("*").alias("files"), F.sum("n").cast("long").alias("bytes"), T.canonical_rows(row, F.col("doc_id")).alias("tree_hash"))
+    return d.groupBy("source", "tree").agg(F.count("*").alias("files"), F.sum("n").cast("long").alias("bytes"), T.canonical_rows(row, F.col("doc_id")).alias("tree_hash"))
 
 
 @query("SELECT sha256(text) AS sha, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS n FROM documents GROUP BY 1")
@@ -275,7 +290,7 @@ def reference_extraction(spark: SparkSession, sf: str) -> DataFrame:
     SELECT source, name, CASE n WHEN 1 THEN 'found' WHEN 0 THEN 'missing' ELSE 'ambiguous' END AS status, CASE n WHEN 1 THEN path END AS target FROM j"""
 )
 def reference_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    """Each link against the files that exist. The first link of each page stands for a file, on even pages in two forms."""
+    """Each link against the files that exist. A file is named by the first link of a page, on even pages in two forms."""
     pages = table(spark, sf, "pages")
     refs = pages.select(F.col("page_id").alias("source"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("name")).distinct()
     name = F.lower(F.regexp_extract("html", 'href="/([^"]*)"', 1))
@@ -302,12 +317,12 @@ def hash_chain_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     r"""SELECT conv_id, string_agg('<tr><td>' || turn || '</td><td>' || e || '</td></tr>', '' ORDER BY turn) AS html FROM (
-    SELECT conv_id, turn, replace(replace(replace(replace(replace(replace(replace(left(text, 80), '---', '—'), '--', '–'), '&', '&amp;'), '<', '&lt;'),
+    SELECT conv_id, turn, replace(replace(replace(replace(replace(replace(replace(text, '---', '—'), '--', '–'), '&', '&amp;'), '<', '&lt;'),
       '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS e FROM conversations) GROUP BY conv_id"""
 )
 def ledger_html(spark: SparkSession, sf: str) -> DataFrame:
     """Escaped table rows in order."""
-    cell = T.html_escape(T.dashes(F.substring("text", 1, 80)))
+    cell = T.html_escape(T.dashes(F.col("text")))
     row = F.concat(F.lit("<tr><td>"), F.col("turn"), F.lit("</td><td>"), cell, F.lit("</td></tr>"))
     rows = F.sort_array(F.collect_list(F.struct("turn", row.alias("r"))))
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x["r"]), "").alias("html"))

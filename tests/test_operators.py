@@ -5,7 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import anchors, events, intervals, reconcile, review
+from marginalia.operators import anchors, events, intervals, ordinals, reconcile, review
 
 
 def rows_of(df):
@@ -73,7 +73,7 @@ def test_greedy_pairs_equal_a_loop(spark):
 
 def test_overlaps_equal_all_pairs(spark):
     rng = random.Random(2)
-    rows = [(rng.randrange(3), i, s := rng.randrange(0, 3000), s + rng.choice([0, 1, 50, 2000])) for i in range(150)]
+    rows = [(rng.randrange(3), i, s := rng.randrange(0, 3000), s + rng.choice([0, 0, 1, 50, 2000])) for i in range(150)]
     df = spark.createDataFrame(rows, "path long, id long, start long, end long")
 
     def clash(a, b, zero):
@@ -85,15 +85,23 @@ def test_overlaps_equal_all_pairs(spark):
     for zero in (True, False):
         want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and clash(a, b, zero))
         assert rows_of(intervals.overlap_pairs(df, zero, bin_width=100)) == want
-    assert intervals.running_overlap(df).count() > 0
+        hit = {x for _, a, b in want for x in (a, b)}
+        for width in (100, 1 << 16):
+            assert {r["id"] for r in intervals.flagged(df, zero, width).collect() if r["clash"]} == hit
 
 
 def test_locate_and_contiguity(spark):
-    seg = spark.createDataFrame([("a", 0, 0, 4, 10), ("a", 1, 4, 6, 20)], "path string, ix int, review_start int, review_end int, source_start int")
-    points = spark.createDataFrame([("a", 0), ("a", 4), ("a", 5), ("a", 9)], "path string, point int")
-    assert sorted(intervals.locate(points, seg).collect(), key=repr) == [
-        Row(path="a", point=0, ix=0, source=10), Row(path="a", point=4, ix=0, source=14), Row(path="a", point=5, ix=1, source=21), Row(path="a", point=9, ix=None, source=None)
-    ]
+    seg = spark.createDataFrame(
+        [("a", 0, 0, 4, 10, 14, True), ("a", 1, 4, 6, 20, 29, False), ("a", 2, 6, 8, 29, 31, True)],
+        "path string, ix int, review_start int, review_end int, source_start int, source_end int, identity boolean",
+    )
+    points = spark.createDataFrame([("a", p) for p in (0, 3, 4, 5, 6, 7, 8, 9)], "path string, point int")
+    got = intervals.locate(points, seg).withColumn("source", intervals.source_place(F.lit("abcdefgh"), F.col("point"), F.col("segment")))
+    assert {r["point"]: (r["segment"] and r["segment"]["ix"], r["source"]) for r in got.collect()} == {
+        0: (0, 10), 3: (0, 13), 4: (0, 14), 5: (1, None), 6: (1, 29), 7: (2, 30), 8: (2, 31), 9: (None, None)
+    }
+    spans = spark.createDataFrame([("a", 1, 0, 4), ("a", 2, 3, 5), ("a", 3, 5, 5), ("a", 4, 4, 4), ("a", 5, 6, 8)], "path string, id int, start int, end int")
+    assert rows_of(intervals.first_lossy(spans, seg)) == [("a", 2, 1), ("a", 3, 1)]
     cover = spark.createDataFrame([("a", 0, 0, 4, 9), ("a", 1, 5, 9, 9), ("b", 0, 0, 4, 5)], "path string, ix int, start int, end int, total int")
     assert {(r["path"], r["ix"]) for r in intervals.contiguity_violations(cover).collect()} == {("a", 1), ("b", 0)}
 
@@ -104,6 +112,8 @@ def test_anchors(spark):
         [(1, "two three four five"), (2, "four five six"), (3, "ne two three"), (4, "nothing like this here"), (5, "aa"), (6, "o  th"), (7, ""), (8, r"\E one two")], "item_id long, text string"
     )
     got = {r["item_id"]: (r["n"], r["status"]) for r in anchors.anchor_status(passages, texts).collect()}
+    again = {r["item_id"]: r["n"] for r in anchors.find_passages(passages, texts, most_short=0).groupBy("item_id").agg(F.sum("n").alias("n")).collect()}
+    assert again == {k: n for k, (n, _) in got.items() if n}  # short passages by their characters
     assert got == {1: (1, "exact"), 2: (2, "conflict"), 3: (1, "exact"), 4: (0, "unmapped"), 5: (3, "conflict"), 6: (1, "exact"), 7: (0, "unmapped"), 8: (0, "unmapped")}
 
 
@@ -131,3 +141,15 @@ def test_filters_and_pages(spark):
     assert [r["change_id"] for r in review.page(rows, ["change_id"], 99, 3).collect()] == [6]
     assert [r["change_id"] for r in review.page(rows, ["change_id"], 0, 3).collect()] == [0, 1, 2]
     assert value(spark, review.initial_decision(F.lit("comment"), F.lit("exact"))) == "manual"
+
+
+def test_global_ordinals_and_neighbours(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(5), k) for k in rng.sample(range(1000), 400)]
+    df = spark.createDataFrame(rows, "path long, start long").repartition(7)
+    got = ordinals.with_neighbours(ordinals.numbered(df, ["path", "start"]), "start", block=50).collect()
+    want = sorted(rows)
+    assert sorted((r["ordinal"], r["path"], r["start"]) for r in got) == [(k, *r) for k, r in enumerate(want)]
+    for r in got:
+        k = r["ordinal"]
+        assert r["neighbours"] == [want[j][1] for j in (k - 1, k + 1) if 0 <= j < len(want)]

@@ -21,6 +21,8 @@ def docx(tmp_path):
         z.writestr("word/_rels/document.xml.rels", RELS)
         z.writestr("word/footnotes.xml", f'<w:footnotes {W}><w:ins w:id="9" w:author="B"><w:r><w:t>note</w:t></w:r></w:ins></w:footnotes>')
         z.writestr("../evil", "x")
+        z.writestr("word/header1.xml", "<!DOCTYPE a [<!ENTITY b 'c'>]><a>&b;</a>")
+        z.writestr("word/header2.xml", "<a><b></a>")
     (tmp_path / "b.docx").write_bytes(b"no package")
     return str(tmp_path)
 
@@ -29,7 +31,10 @@ def test_packages(spark, docx):
     found = packages.packages(spark, docx)
     problems = {(r["path"].rpartition("/")[2], r["member"]): r["problem"] for r in packages.members(found).collect()}
     assert problems[("b.docx", None)] == "not_a_package" and problems[("a.docx", "../evil")] == "unsafe_name" and problems[("a.docx", "word/document.xml")] is None
+    assert {r["problem"] for r in packages.members(packages.packages(spark, docx, most_bytes=20)).filter("path LIKE '%a.docx'").collect()} == {"too_large"}
     nodes = packages.nodes(found).cache()
+    assert {r["part"]: r["text"] for r in nodes.filter("tag = '#problem'").collect()} == {"word/header1.xml": "declaration", "word/header2.xml": "not_well_formed"}
+    assert packages.nodes(found, most_nodes=3).filter("tag = '#problem' AND text = 'too_many_nodes'").count() > 0
     view = {r["part"]: (r["original"], r["final"]) for r in packages.views(nodes).collect()}
     assert view["word/document.xml"] == ("Old badend", "Old good\tend")
     assert view["word/footnotes.xml"] == ("", "note")
@@ -69,7 +74,7 @@ def test_validators(spark):
     tree = spark.createDataFrame([("a", 0), ("c", 1), ("b", 2), ("a", 3)], "path string, ix int")
     assert rules(validate.source_manifest(tree, "m")) == [("a", "sorted"), ("a", "unique_path"), ("b", "sorted"), ("m", "main_present")]
     ops = spark.createDataFrame([("p", 1, 0, 5), ("p", 2, 4, 6), ("p", 3, 9, 8)], "path string, id long, start long, end long")
-    assert rules(validate.patch_plan(ops)) == [("1", "no_overlap"), ("3", "range")]
+    assert rules(validate.patch_plan(ops)) == [("1", "no_overlap"), ("2", "no_overlap"), ("3", "range")]
     events = spark.createDataFrame([(1, "p", "delete", "n", ""), (2, "p", "insert", "n", "x")], "event_id long, part string, kind string, native_id string, text string")
     assert rules(validate.raw_events(events)) == [("1", "deletion_has_text")]
     changes = spark.createDataFrame([(1, [1], "safe", "exact"), (2, [7], "safe", "other"), (3, [], "manual", "exact")], "change_id long, raw_event_ids array<long>, safety string, resolution string")
