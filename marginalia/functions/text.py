@@ -115,7 +115,8 @@ def bookmark_name(label: Column) -> Column:
 
 def strip_comment(line: Column) -> Column:
     """Cut at the first % that an even number of backslashes stands before."""
-    return F.regexp_replace(line, r"^((?:[^%\\]|\\.|\\$)*)%.*$", "$1")
+    # possessive, since the engine would else keep a frame for every character of a long line
+    return F.regexp_replace(line, r"^((?:[^%\\]++|\\.|\\$)*+)%.*$", "$1")
 
 
 def mask_comment(line: Column) -> Column:
@@ -189,6 +190,14 @@ def matches_with_offsets(text: Column, pattern: str) -> Column:
     return let(parts, lambda p: F.when(F.size(p["found"]) > 0, collect(p)).otherwise(none))
 
 
+def context_fingerprint(path: Column, raw: Column, start: Column, end: Column, reach: int = 32) -> Column:
+    """Hash over a file's path and hash and over the hashes of up to ``reach`` bytes before start and after end."""
+    before = F.substring(raw, F.greatest(start - reach, F.lit(0)) + 1, F.least(start, F.lit(reach)))
+    after = F.substring(raw, end + 1, F.lit(reach))
+    parts = F.struct(tagged_sha256(raw).alias("file_sha256"), path.alias("path"), tagged_sha256(before).alias("prefix"), tagged_sha256(after).alias("suffix"))
+    return tagged_sha256(utf8(F.to_json(parts)))
+
+
 def findings(text: Column, rules: dict[str, str]) -> Column:
     """array<struct<rule, start_byte, value>> of all matches of all rules. A rule is matched in full only where it is found at all."""
     none = F.array().cast("array<struct<rule:string,start_byte:bigint,value:string>>")

@@ -148,6 +148,15 @@ def ledger(planned: DataFrame, applied: DataFrame) -> DataFrame:
     return both.select("change_id", "kind", "decision", "outcome", status.alias("status"))
 
 
+def reviewable(reports: DataFrame, findings: DataFrame) -> DataFrame:
+    """(report, reviewable): a success, or a partial export whose findings, at least one, are all recoverable warnings.
+
+    reports: (report, status); findings: (report, severity, recoverable)."""
+    fine = findings.groupBy("report").agg(F.bool_and((F.col("severity") == "warning") & F.col("recoverable")).alias("fine"))
+    ok = (F.col("status") == "success") | ((F.col("status") == "partial") & F.coalesce("fine", F.lit(False)))
+    return reports.join(fine, "report", "left").select("report", ok.alias("reviewable"))
+
+
 def numbered(rows: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
     """ordinal from 0 within each partition, with the neighbours' ids."""
     w = Window.partitionBy(*partition).orderBy(*order)

@@ -49,6 +49,12 @@ def source_map(segments: DataFrame) -> DataFrame:
     return all_of(_named(contiguity_violations(segments), "path", "contiguous"), broken(segments, "path", rules))
 
 
+def export_reports(reports: DataFrame) -> DataFrame:
+    """V5: a success has its review units, its map and its document; what hasn't failed has its document."""
+    rules = {"success_is_bound": (F.col("status") != "success") | (F.col("source_map").isNotNull() & F.col("review_ir").isNotNull()), "has_document": (F.col("status") == "failed") | F.col("document").isNotNull()}
+    return broken(reports, "report_id", rules)
+
+
 def raw_events(events: DataFrame) -> DataFrame:
     """V6."""
     rules = {"deletion_has_text": (F.col("kind") != "delete") | (F.length("text") > 0), "id": F.col("event_id").isNotNull()}

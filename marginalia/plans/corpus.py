@@ -116,7 +116,8 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumns({"end": F.sum(F.octet_length("run")).over(w), "chars": F.sum(F.length("run")).over(w)})
     return rows.select(
         "path", "ix", (F.col("end") - F.octet_length("run")).alias("start"), "end", (F.col("chars") - F.length("run")).alias("first_char"), "total",
-        F.when(F.col("run").rlike(f"^{T.SPACE}"), "space").otherwise("text").alias("kind"),
+        F.when(F.col("run").rlike(f"^{T.SPACE}"), "space").otherwise("text").alias("kind"), F.length("run").alias("chars_in"),
+        F.when(F.col("run") == " ", " ").alias("copied"),
     )
 
 
