@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import reconcile
 from ..sources import packages as P
 from .registry import query, table
 
@@ -56,11 +57,18 @@ def stand_in(spark: SparkSession, sf: str) -> DataFrame:
                 contents.append(raw.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
 
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string"), "text").mapInArrow(run, "path string, content binary")
+    # a text grows tenfold as nodes, so that a small file's only partition would be one long task
+    texts = table(spark, sf, "documents").select(F.col("doc_id").cast("string"), "text").repartition(4 * spark.sparkContext.defaultParallelism)
+    return texts.mapInArrow(run, "path string, content binary")
+
+
+def all_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The node table, written once: what is made of it reads it several times."""
+    return reconcile.checkpointed(P.nodes(stand_in(spark, sf)))
 
 
 def main_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return P.nodes(stand_in(spark, sf)).filter("part = 'word/document.xml'")
+    return all_nodes(spark, sf).filter("part = 'word/document.xml'")
 
 
 #: (doc_id, k, i, w): each word of each line, k and i from 0.
@@ -90,7 +98,7 @@ def package_nodes(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT CAST(doc_id AS VARCHAR) AS path, CAST(2 AS BIGINT) AS total, CAST(1 AS BIGINT) AS external, CAST(1 AS BIGINT) AS images FROM documents")
 def package_relationships(spark: SparkSession, sf: str) -> DataFrame:
     """S6."""
-    return P.relationships(P.nodes(stand_in(spark, sf)))
+    return P.relationships(all_nodes(spark, sf))
 
 
 @query(
@@ -109,7 +117,7 @@ def revision_views(spark: SparkSession, sf: str) -> DataFrame:
 )
 def package_revisions(spark: SparkSession, sf: str) -> DataFrame:
     """All revisions in the order of stories, the footnotes after the main text."""
-    return P.revision_events(P.nodes(stand_in(spark, sf))).select("path", "sequence", "kind", "text")
+    return P.revision_events(all_nodes(spark, sf)).select("path", "sequence", "kind", "text")
 
 
 @query(
