@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, bpe_matrix, langid_crf, license_index, mtree_topk, quality_cascade, secret_grammar, simhash_ring, suffix_dedup, toxicity_fst
+from . import bin_packing, bpe_matrix, collocations, langid_crf, license_index, mtree_topk, quality_cascade, secret_grammar, simhash_ring, suffix_dedup, toxicity_fst
 from .common import held_out, read
 
 
@@ -66,6 +66,10 @@ def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack_documents(read(spark, sf_dir, "documents"), tokens=tokenizer())
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -110,6 +114,46 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), n AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), k AS (
+  SELECT unnest([1, 2, 3, 4]) AS k
+), g AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, k)
+), f AS (
+  SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30
+), c AS (
+  SELECT lang, phrase, k AS size, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1
+), s AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, 2000000 * c.a // (x.f + y.f) AS score
+  FROM c
+  JOIN f x ON x.lang = c.lang AND x.k = c.cut AND x.phrase = array_to_string(list_slice(c.w, 1, c.cut), ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.size - c.cut AND y.phrase = array_to_string(list_slice(c.w, c.cut + 1, c.size), ' ')
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), i AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS above
+  FROM (SELECT lang, w, size, a, m, unnest(range(1, size - m + 2)) AS i
+        FROM (SELECT lang, string_split(phrase, ' ') AS w, k AS size, f AS a, unnest(range(2, k)) AS m FROM f WHERE k > 2))
+  GROUP BY ALL
+), d AS (
+  SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE i.above IS NULL OR 100 * i.above < 80 * b.a
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d
+)
+SELECT o.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n.n, CAST(score AS BIGINT) AS score
+FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+
 def queries() -> dict:
     return {
         "op1_langid_crf": op1_langid_crf,
@@ -122,8 +166,9 @@ def queries() -> dict:
         "op8_quality_cascade": op8_quality_cascade,
         "op9_mtree_topk": op9_mtree_topk,
         "op10_bin_packing": op10_bin_packing,
+        "op12_collocations": op12_collocations,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op8_quality_cascade": OP8_SQL, "op9_mtree_topk": OP9_SQL}
+    return {"op8_quality_cascade": OP8_SQL, "op9_mtree_topk": OP9_SQL, "op12_collocations": OP12_SQL}
