@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, bpe_matrix, collocations, langid_crf, license_index, mtree_topk, quality_cascade, secret_grammar, simhash_ring, suffix_dedup, toxicity_fst
+from . import bin_packing, bpe_matrix, collocations, conversation_trie, langid_crf, license_index, mtree_topk, quality_cascade, secret_grammar, simhash_ring, suffix_dedup, toxicity_fst
 from .common import held_out, read
 
 
@@ -66,6 +66,10 @@ def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack_documents(read(spark, sf_dir, "documents"), tokens=tokenizer())
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
@@ -114,6 +118,47 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS c,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'c': c, 'w': w} ORDER BY turn NULLS FIRST, c) AS own FROM t GROUP BY conv_id
+), h AS (
+  SELECT *, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+               lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 4 AS h
+  FROM own
+), r AS (
+  SELECT h.conv_id, list_concat(list_slice(coalesce(b.own, []), 1, h.h), list_slice(h.own, h.h + 1, len(h.own))) AS s
+  FROM h LEFT JOIN own b ON b.conv_id = h.base
+), p AS (
+  SELECT conv_id, d, len(s) = d AS ends, CASE WHEN d > 0 THEN s[d].w ELSE 0 END AS w,
+         md5(array_to_string(list_transform(list_slice(s, 1, d), lambda x: x.c), '')) AS path
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r)
+), n AS (
+  SELECT d, path, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ends
+  FROM p GROUP BY d, path
+), e AS (
+  SELECT n.*, q.path AS above, m.conv_id AS parent
+  FROM n LEFT JOIN p q ON q.conv_id = n.conv_id AND q.d = n.d - 1 LEFT JOIN n m ON m.d = q.d AND m.path = q.path
+), c AS (
+  SELECT d - 1 AS d, above AS path, count(*) AS c FROM e WHERE d > 0 GROUP BY ALL
+), u AS (
+  SELECT e.*, coalesce(c.c, 0) AS c FROM e LEFT JOIN c ON c.d = e.d AND c.path = e.path
+), b AS (
+  SELECT q.d, q.path, sum((u.n - 1) * u.w) AS saved, count(*) FILTER (u.c = 0) AS leaves
+  FROM u JOIN p q ON q.conv_id = u.conv_id AND q.d <= u.d GROUP BY ALL
+)
+SELECT u.conv_id, u.d AS depth, u.parent AS parent_conv_id, u.n AS n_convs, u.c AS n_children, b.leaves AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(u.ends, '')) AS ends_sha256
+FROM u JOIN b USING (d, path)
+"""
+
+
 OP12_SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang,
@@ -166,9 +211,10 @@ def queries() -> dict:
         "op8_quality_cascade": op8_quality_cascade,
         "op9_mtree_topk": op9_mtree_topk,
         "op10_bin_packing": op10_bin_packing,
+        "op11_conversation_trie": op11_conversation_trie,
         "op12_collocations": op12_collocations,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op8_quality_cascade": OP8_SQL, "op9_mtree_topk": OP9_SQL, "op12_collocations": OP12_SQL}
+    return {"op8_quality_cascade": OP8_SQL, "op9_mtree_topk": OP9_SQL, "op11_conversation_trie": OP11_SQL, "op12_collocations": OP12_SQL}
