@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_packing, bpe_matrix, collocations, conversation_trie, langid_crf, license_index, mtree_topk, quality_cascade, secret_grammar, simhash_ring, suffix_dedup, toxicity_fst
+from . import bin_packing, bpe_matrix, collocations, conversation_trie, jaccard_regions, langid_crf, license_index, mtree_topk, quality_cascade, secret_grammar, simhash_ring, suffix_dedup, toxicity_fst
 from .common import held_out, read
 
 
@@ -74,6 +74,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
 
 
+def op13_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_regions.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -199,6 +203,29 @@ FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
 """
 
 
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS i, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT i, array_to_string(list_slice(w, k, k + 3), ' ') AS s FROM (SELECT i, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT i, count(*) AS n FROM s GROUP BY i
+), b AS (
+  SELECT x.i AS a, y.i AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.i <> y.i GROUP BY ALL
+), l AS MATERIALIZED (
+  SELECT a, b FROM b JOIN n x ON x.i = a JOIN n y ON y.i = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), r AS (
+  SELECT a AS i, a AS j FROM l UNION SELECT r.i, l.b FROM r JOIN l ON l.a = r.j
+), c AS (
+  SELECT r.i, min(d.doc_id) AS component_id FROM r JOIN d ON d.i = r.j GROUP BY r.i
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (i) LEFT JOIN c USING (i)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_langid_crf": op1_langid_crf,
@@ -213,8 +240,9 @@ def queries() -> dict:
         "op10_bin_packing": op10_bin_packing,
         "op11_conversation_trie": op11_conversation_trie,
         "op12_collocations": op12_collocations,
+        "op13_jaccard_regions": op13_jaccard_regions,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op8_quality_cascade": OP8_SQL, "op9_mtree_topk": OP9_SQL, "op11_conversation_trie": OP11_SQL, "op12_collocations": OP12_SQL}
+    return {"op8_quality_cascade": OP8_SQL, "op9_mtree_topk": OP9_SQL, "op11_conversation_trie": OP11_SQL, "op12_collocations": OP12_SQL, "op13_jaccard_regions": OP13_SQL}
