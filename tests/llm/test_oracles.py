@@ -10,7 +10,7 @@ from .cases import SF
 def test_query_equals_its_sql(spark, name):
     got = entries.queries()[name](spark, SF)
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "labels"):
+    for table in ("documents", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     want = con.execute(entries.oracle_sql()[name])
     names = sorted(c[0] for c in want.description)
@@ -21,4 +21,4 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert [n.split("_")[0] for n in entries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in entries.queries()] == [f"op{k}" for k in range(1, 14)]
