@@ -89,14 +89,26 @@ class Words:
         _, one, n = np.unique(rows, axis=0, return_index=True, return_counts=True)
         return at[one], n
 
-    def batch(self, at: np.ndarray, n: np.ndarray, h: np.ndarray, k: int) -> pa.RecordBatch:
+    def batch(self, at: np.ndarray, n: np.ndarray, k: int) -> pa.RecordBatch:
         vocabulary = self.vocabulary
         if k == 1:
             phrases = [vocabulary[c] for c in self.code[at].tolist()]
         else:
             phrases = [b" ".join([vocabulary[c] for c in row]) for row in np.column_stack([self.code[at + j] for j in range(k)]).tolist()]
         langs = pa.DictionaryArray.from_arrays(pa.array(self.lang[at], pa.int32()), pa.array(self.langs, pa.string())).cast(pa.string())
-        return record_batch({"lang": (langs, pa.string()), "phrase": (pa.array(phrases, pa.binary()).cast(pa.string()), pa.string()), "h": (h.view(np.int64), pa.int64()), "f": (n, pa.int64())})
+        return record_batch({"lang": (langs, pa.string()), "phrase": (pa.array(phrases, pa.binary()).cast(pa.string()), pa.string()), "f": (n, pa.int64())})
+
+
+def run_hash(lang: str, phrase: str) -> int:
+    h = xxhash.xxh3_64_intdigest(lang.encode())
+    for word in phrase.encode().split(b" "):
+        h = (h * ODD + xxhash.xxh3_64_intdigest(word)) & (1 << 64) - 1
+    return h
+
+
+def _hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    h = np.array([0 if p is None else run_hash(x, p) for x, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.uint64)
+    return record_batch({"lang": (batch.column(0), pa.string()), "phrase": (batch.column(1), pa.string()), "f": (batch.column(2), pa.int64()), "h": (mix(h).view(np.int64), pa.int64())})
 
 
 def _passes(rows: DataFrame, least: int, longest: int) -> tuple[list[DataFrame], DataFrame]:
@@ -106,9 +118,9 @@ def _passes(rows: DataFrame, least: int, longest: int) -> tuple[list[DataFrame],
         w = Words(batch)
         at, h = w.runs(1)
         place, n = w.counted(at, h, 1)
-        own = w.batch(place, n, h[place], 1)
+        own = w.batch(place, n, 1)
         totals = np.bincount(w.lang, minlength=len(w.langs))
-        total = record_batch({"lang": (w.langs, pa.string()), "phrase": ([None] * len(w.langs), pa.string()), "h": ([0] * len(w.langs), pa.int64()), "f": (totals, pa.int64())})
+        total = record_batch({"lang": (w.langs, pa.string()), "phrase": ([None] * len(w.langs), pa.string()), "f": (totals, pa.int64())})
         return pa.Table.from_batches([own, total]).combine_chunks().to_batches()[0]
 
     def runs(k: int, frequent: Bitmap):
@@ -119,19 +131,16 @@ def _passes(rows: DataFrame, least: int, longest: int) -> tuple[list[DataFrame],
             ok[at[frequent.has(h)]] = True
             at, h = w.runs(k)
             both = ok[at] & ok[at + 1]
-            at, h = at[both], h[both]
-            by_place = np.zeros(len(w.code), np.uint64)
-            by_place[at] = h
-            place, n = w.counted(at, h, k)
-            return w.batch(place, n, by_place[place], k)
+            return w.batch(*w.counted(at[both], h[both], k), k)
 
         return run
 
-    schema, levels = "lang string, phrase string, h long, f long", []
+    schema, levels = "lang string, phrase string, f long", []
     for k in range(1, longest + 1):
         emitted = map_batches(rows, words if k == 1 else runs(k, Bitmap(levels[-1].filter("phrase IS NOT NULL"), "h")), schema)
-        summed = emitted.groupBy("lang", "phrase", "h").agg(F.sum("f").alias("f"))
-        levels.append(materialize(summed.filter((F.col("f") >= least) | F.col("phrase").isNull()), f"phrases-{k}"))
+        summed = emitted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | F.col("phrase").isNull())
+        # hashes don't compress, so they come after the shuffle
+        levels.append(materialize(map_batches(summed, _hashed, schema + ", h long"), f"phrases-{k}"))
     totals = levels[0].filter("phrase IS NULL").select("lang", F.col("f").alias("n"))
     return levels, totals
 
