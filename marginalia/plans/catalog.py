@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, display, evidence, extensions, latex, markup, policies, publication, relations  # noqa: F401  (importing registers their queries)
+from . import corpus, display, evidence, extensions, latex, markup, policies, publication, ranges, relations  # noqa: F401  (importing registers their queries)
 from .registry import QUERIES, SQL, Query
 
 
