@@ -1,5 +1,4 @@
-"""Publication: nothing that exists is overwritten. Spark's writers give a folder whole or not at all (its success mark is written last);
-what is here adds the decisions around them."""
+"""Publication: nothing that exists is overwritten. Folders appear whole (``atomic``); what is here adds the decisions around them."""
 
 from __future__ import annotations
 
@@ -7,39 +6,24 @@ import difflib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.reconcile import differences
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a finished folder stands at path."""
-    try:
-        spark.read.parquet(path).limit(0).collect()
-    except AnalysisException:
-        return False
-    return True
+from . import atomic
 
 
 def write_new(rows: DataFrame, path: str, partition: list[str] | None = None) -> str:
-    """written, or refused if something is there already."""
-    writer = rows.write.mode("errorifexists")
-    try:
-        (writer.partitionBy(*partition) if partition else writer).parquet(path)
-    except AnalysisException as e:
-        if "PATH_ALREADY_EXISTS" in str(e):
-            return "refused"
-        raise
-    return "written"
+    """written, refused if a finished folder is there already, or broken if something else is."""
+    return atomic.publish(rows, path, partition)
 
 
 def apply_once(rows: DataFrame, path: str, key: list[str]) -> str:
-    """written, reused if the same rows are there already, or conflict. A repeated job changes nothing."""
+    """written, reused if the same rows are there already, or conflict if others are. A repeated job changes nothing; what a crash left half
+    done, under this name or another, is no obstacle: it is moved aside. Of two jobs that run at once one writes, the other compares."""
     spark = rows.sparkSession
-    if not exists(spark, path):
-        return write_new(rows, path)
+    if atomic.state(spark, path) != "finished" and atomic.publish(rows, path, repair=True) == "written":
+        return "written"
     values = [c for c in rows.columns if c not in key]
     return "reused" if differences(spark.read.parquet(path), rows, key, values).filter("status <> 'same'").isEmpty() else "conflict"
 
