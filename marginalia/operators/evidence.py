@@ -96,15 +96,15 @@ def require_within(rows: DataFrame, most_rows: int) -> DataFrame:
     return rows
 
 
-def expanded_sizes(edges: DataFrame, sizes: DataFrame, most_depth: int = 256) -> DataFrame:
+def expanded_sizes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """(node, total): the size of each node with all that it includes, as often as it does. edges: (source, target), repeated ones
-    count; sizes: (node, size). A cycle, or more than most_depth levels, is an error.
+    count; sizes: (node, size). A cycle is an error.
 
     Nodes are settled from the leaves up, each once, so shared parts aren't expanded again and again."""
     edges = checkpointed(edges.select("source", "target"))
     open_ = checkpointed(sizes.select("node", "size"))
     settled = None
-    for _ in range(most_depth):
+    while True:
         waiting = edges.join(open_.select(F.col("node").alias("target")), "target", "left_semi").select(F.col("source").alias("node")).distinct()
         ready = open_.join(waiting, "node", "left_anti")
         if settled is None:
@@ -119,18 +119,20 @@ def expanded_sizes(edges: DataFrame, sizes: DataFrame, most_depth: int = 256) ->
         open_ = checkpointed(open_.join(done.select("node"), "node", "left_anti"))
         if open_.isEmpty():
             return settled
-    raise ValueError(f"includes deeper than {most_depth}")
 
 
-def nested_objects(documents: DataFrame, key: str, json: str, fields: list[str], most_depth: int = 8) -> DataFrame:
-    """(key, fields): every object anywhere in the JSON that has exactly these fields, as strings. What lies inside one isn't searched."""
+def nested_objects(documents: DataFrame, key: str, json: str, fields: list[str]) -> DataFrame:
+    """(key, fields): every object anywhere in the JSON that has exactly these fields, as strings. What lies inside one isn't searched.
+
+    A level is read from the one above it, written, and the search ends with the first level that is empty."""
     spark = documents.sparkSession
     level, found = documents.select(key, F.parse_json(json).alias("v")), None
-    for _ in range(most_depth):
+    while True:
         names = F.array_sort(F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")))
         is_one = F.coalesce(names == F.array(*(F.lit(f) for f in sorted(fields))), F.lit(False))
         here = level.filter(is_one).select(key, *(F.variant_get("v", f"$.{f}", "string").alias(f) for f in fields))
         found = here if found is None else found.unionByName(here)
         inner = spark.tvf.variant_explode(F.col("v").outer()).select(F.col("value").alias("w"))
-        level = level.filter(~is_one).lateralJoin(inner).select(key, F.col("w").alias("v"))
-    return found
+        level = checkpointed(level.filter(~is_one).lateralJoin(inner).select(key, F.col("w").alias("v")))
+        if level.isEmpty():
+            return found

@@ -58,7 +58,7 @@ def partition_check(whole: DataFrame, parts: dict[str, DataFrame], key: str) ->
     return sums.filter((F.col("n") != 1) | ~F.col("known"))
 
 
-def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 256) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, depth): all that edges (source, target) reach from roots (node), breadth first.
 
     The frontier joins the edges on their source in every round; what was seen goes by an anti join. Both are written to the
@@ -67,24 +67,21 @@ def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 256) -> DataF
     seen, level = frontier, 0
     while not frontier.isEmpty():
         level += 1
-        if level > most_rounds:
-            raise ValueError(f"deeper than {most_rounds}")
         after = edges.join(frontier, edges["source"] == frontier["node"]).select(F.col("target").alias("node")).distinct()
         frontier = checkpointed(after.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen
 
 
-def cyclic(edges: DataFrame, most_rounds: int = 256) -> DataFrame:
+def cyclic(edges: DataFrame) -> DataFrame:
     """(source, target): the edges left when edges into nodes without outgoing ones are taken away again and again. Empty if there
     is no cycle."""
     left = checkpointed(edges.select("source", "target").distinct())
-    for _ in range(most_rounds):
+    while True:
         kept = checkpointed(left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
         if kept.count() == left.count():
             return kept
         left = kept
-    raise ValueError(f"deeper than {most_rounds}")
 
 
 def resolve_references(refs: DataFrame, files: DataFrame, suffixes: list[str]) -> DataFrame:
