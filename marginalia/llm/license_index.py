@@ -1,14 +1,14 @@
 """Licence scans with a positional rare-token index.
 
 The index holds the words of every template with their positions, and a word's weight: its inverse document frequency over
-the templates. Of each template the *rare* words are posted: the heaviest ones, until the words left out weigh less than the share
-``least`` that must match, so that no match can do without a posted word. A file's own licence words are looked up from the heaviest
-down. Each gives postings (template, file position minus template position); postings of one template are intersected by that
-relative position, up to a few words of ``slack``, so that an inserted, lost or changed word doesn't break them, and a
-group of them goes on only if their weight and that of all words that aren't posted can reach ``least``. The words around the
-group are then aligned with the template (the heaviest common subsequence within the slack). An alignment counts if its share of the
-template's weight reaches ``least`` and all mandatory key phrases of the template stand inside it. A *phrase* template has
-``least`` 1 and no slack: every word must stand at its place, so its rarest word finds every place where the phrase occurs.
+the templates. Every template has a mandatory phrase (a *phrase* template is its own), and is posted under that phrase's rarest
+word. A file's rare licence words are looked up; a posting counts if the phrase stands around it, word by word. Only then the template's
+other words are looked up in the file, the heaviest first, and the template is given up as soon as those that the file lacks weigh more than
+may be missing. The postings of all its words near the phrase are intersected by relative position (file position minus template
+position), up to a few words of ``slack``, so that an inserted, lost or changed word doesn't break them: a group of them goes on only
+if the words in it weigh the share ``least``. The words around the group are then aligned with the template (the heaviest common
+subsequence within the slack). An alignment counts if its share of the template's weight reaches ``least`` and all mandatory phrases of
+the template stand inside it. A phrase template has ``least`` 1 and no slack: its words stand at their places or don't.
 
 The index is built from the templates alone, which are few and fixed, so its size doesn't depend on the
 documents; documents are scanned whole, each by itself, without a shuffle.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -210,43 +211,69 @@ class Index:
         self.total = [sum(self.idf[w] for w in ws) for ws in self.words]
         self.keys = [[words_of(k) for k in t.keys] for t in self.templates]
         self.slack = [0 if t.least >= 1 else max(2, len(ws) // 8) for t, ws in zip(self.templates, self.words, strict=True)]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.rest: list[float] = []  # weight of a template's words that aren't posted
+        self.places: list[dict[bytes, list[int]]] = [defaultdict(list) for _ in self.words]
+        #: a rare word's postings: (template, its place in the template's mandatory phrase, the phrase)
+        self.postings: dict[bytes, list[tuple[int, int, list[bytes]]]] = defaultdict(list)
         for t, ws in enumerate(self.words):
-            rest = self.total[t]
-            for w in sorted(set(ws), key=lambda w: (-self.idf[w], w)):
-                if rest < self.templates[t].least * self.total[t] - 1e-9:
-                    break
-                for at, x in enumerate(ws):
-                    if x == w:
-                        self.postings[w].append((t, at))
-                        rest -= self.idf[w]
-            self.rest.append(rest)
+            for at, w in enumerate(ws):
+                self.places[t][w].append(at)
+            phrase = self.keys[t][0] if self.keys[t] else ws
+            at = max(range(len(phrase)), key=lambda k: (self.idf.get(phrase[k], math.inf), -k))
+            self.postings[phrase[at]].append((t, at, phrase))
+        self.heaviest = [sorted(own, key=lambda w: (-self.idf[w], w)) for own in self.places]
         self.rare = frozenset(self.postings)
+        self.known = frozenset(self.idf)
+
+    def phrases(self, words: list[bytes]) -> dict[int, list[int]]:
+        """Of each template, where its mandatory phrase stands."""
+        found: dict[int, list[int]] = defaultdict(list)
+        for at, w in enumerate(words):
+            if w in self.rare:
+                for t, place, phrase in self.postings[w]:
+                    if at >= place and words[at - place : at - place + len(phrase)] == phrase:
+                        found[t].append(at - place)
+        return found
 
     def proposals(self, words: list[bytes]) -> list[tuple[int, int, int]]:
         """(template, least, greatest relative position) of every group of postings that can reach the template's share."""
-        there: dict[bytes, list[int]] = {}
+        stand = self.phrases(words)
+        if not stand:
+            return []
+        there: dict[bytes, list[int]] = defaultdict(list)
         for at, w in enumerate(words):
-            if w in self.rare:
-                there.setdefault(w, []).append(at)
-        met: dict[int, list[tuple[int, int]]] = {}
-        for w in sorted(there, key=lambda w: (-self.idf[w], w)):  # the file's heaviest licence words first
-            for t, place in self.postings[w]:
-                met.setdefault(t, []).extend((at - place, place) for at in there[w])
+            if w in self.known:
+                there[w].append(at)
         found = []
-        for t, own in met.items():
-            own.sort()
+        for t, starts in stand.items():
+            if not self.slack[t]:
+                found += [(t, at, at) for at in starts]
+                continue
             need = self.templates[t].least * self.total[t] - 1e-9
-            end = 0
-            for begin, (low, _) in enumerate(own):
-                if begin and low == own[begin - 1][0]:
-                    continue
-                while end < len(own) and own[end][0] <= low + 2 * self.slack[t]:
-                    end += 1
-                places = {p for _, p in own[begin:end]}
-                if sum(self.idf[self.words[t][p]] for p in places) + self.rest[t] >= need:
-                    found.append((t, low, own[end - 1][0]))
+            spare = self.total[t] - need
+            for w in self.heaviest[t]:
+                spare -= 0 if w in there else self.idf[w] * len(self.places[t][w])
+                if spare < 0:
+                    break
+            if spare >= 0:
+                found += self._groups(t, starts, there, need)
+        return found
+
+    def _groups(self, t: int, starts: list[int], there: dict[bytes, list[int]], need: float) -> list[tuple[int, int, int]]:
+        """The groups within reach of the phrase: a span that holds it is no longer than the template and its slack on both sides."""
+        reach, met = len(self.words[t]) + 2 * self.slack[t], set()
+        for w, places in self.places[t].items():
+            at = there.get(w, ())
+            for s in starts:
+                near = at[bisect_left(at, s - reach) : bisect_right(at, s + reach)]
+                met.update((x - p, p) for x in near for p in places)
+        own, found, end = sorted(met), [], 0
+        for begin, (low, _) in enumerate(own):
+            if begin and low == own[begin - 1][0]:
+                continue
+            while end < len(own) and own[end][0] <= low + 2 * self.slack[t]:
+                end += 1
+            if sum(self.idf[self.words[t][p]] for p in {p for _, p in own[begin:end]}) >= need:
+                found.append((t, low, own[end - 1][0]))
         return found
 
     def aligned(self, t: int, words: list[bytes], low: int, high: int) -> tuple[float, int, int]:

@@ -1,6 +1,7 @@
 """Licence, token, secret and quality scans against plain restatements of their contracts."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -74,6 +75,65 @@ def test_licence_labels_equal_all_alignments(spark):
     assert sum(map(bool, want.values())) > 40
 
 
+def heaviest_alignment(want, own, weight, offsets):
+    """(weight, first, end): by trying, for every pair of places, to take it or to go on, without a table of rows. Earliest of equals."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def best(i, j):
+        if i == len(want) or j == len(own):
+            return 0.0, 0, 0
+        options = [best(i + 1, j), best(i, j + 1)]
+        if want[i] == own[j] and j - i in offsets:
+            rest, _, last = best(i + 1, j + 1)
+            options.append((weight[want[i]] + rest, -j, last if rest else -(j + 1)))
+        return max(options, key=lambda o: (round(o[0], 9), o[1], o[2]))
+
+    total, first, last = best(0, 0)
+    return total, -first, -last
+
+
+def test_labels_by_a_plain_alignment(spark):
+    """The labels again, by an alignment that shares no code with the index."""
+    rng, rows = random.Random(21), []
+    templates = [t for t in license_index.NOTICES if len(t.text.split()) < 22]
+    df = Counter(w for t in license_index.BASE_PHRASES + license_index.NOTICES for w in set(t.text.split()))
+    weight = {w: math.log((1 + len(license_index.BASE_PHRASES + license_index.NOTICES)) / n) + 1 for w, n in df.items()}
+    for k in range(30):
+        own = templates[k % len(templates)].text.split()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([[], ["other"], [own[at], "new"], ["free"]])
+        rows.append((k, " ".join(["some", *own, "license"])))
+    want = {}
+    for k, text in rows:
+        words, found = text.split(), set()
+        for t in license_index.BASE_PHRASES + license_index.NOTICES:
+            tw = t.text.split()
+            slack = 0 if t.least >= 1 else max(2, len(tw) // 8)
+            total = sum(weight[w] for w in tw)
+            for r in range(-len(tw), len(words)):
+                got, first, end = heaviest_alignment(tuple(tw), tuple(words), weight, range(r - slack, r + slack + 1))
+                inside = words[first:end]
+                if got >= t.least * total - 1e-9 and all(any(inside[i : i + len(x)] == x for i in range(len(inside))) for x in map(str.split, t.keys)):
+                    found.add(t.label)
+        want[k] = ",".join(sorted(found))
+    got = license_index.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == want
+    assert sum(map(bool, want.values())) > 15
+
+
+def test_the_index_starts_few_alignments_in_vain(monkeypatch):
+    index, started = license_index.Index(license_index.BASE_PHRASES + license_index.NOTICES), []
+    aligned = index.aligned
+    monkeypatch.setattr(index, "aligned", lambda *a: started.append(a) or aligned(*a))
+    rng = random.Random(4)
+    notices = [t.text for t in license_index.NOTICES]
+    common = "this software is provided as is if you want it to be free at any one of the public terms license version copy".split()
+    found = sum(len(index.scan(" ".join([*rng.choices(common, k=300), *([rng.choice(notices)] if k % 5 == 0 else []), *rng.choices(common, k=300)]))[1]) for k in range(100))
+    assert found >= 20 and len(started) <= 10 * found
+
+
 def test_every_rare_word_may_change_if_the_rest_stays():
     index = license_index.Index(license_index.BASE_PHRASES + license_index.NOTICES)
     t = next(k for k, x in enumerate(index.templates) if x.label == "zlib")
