@@ -17,8 +17,8 @@ window adds, unless links join them already. All partners of a set at home are f
 Recursion. The sets that found no home form cells of their own, with pivots of their own, ``rounds`` times. What is left then
 meets pair by pair, in slots of ``slot`` sets. Nothing is capped: the rounds only decide by what way a pair is found.
 
-Before two sets are compared as wholes, their sizes and 256 parity bits must allow the distance: the bits differ in no more places than
-the sets do, whatever they hold.
+Before two sets are compared as wholes, their sizes and 256 parity bits must allow the distance, then 4096 such bits: the bits differ in no
+more places than the sets do, whatever they hold.
 
 Scale. A set's shingles are written once and read by every step. Cells, pivots and distances are joined by keys and distributed; what goes
 to the tasks are bitmaps of at most 64 MB that only save rows. The recursion has a fixed number of rounds. A family of near copies costs
@@ -43,11 +43,12 @@ from .simhash_ring import components
 from .suffix_dedup import Bitmap
 
 WIDTH, SHARE = 4, 85
-SAMPLE, OFTEN, PIVOTS, ROUNDS, BUCKET, SLOT = 8, 4, 3, 3, 8, 256
+SAMPLE, OFTEN, PIVOTS, ROUNDS, BUCKET, SLOT = 4, 2, 3, 3, 8, 256
+WIDE = 4096
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, h, key, n, s0 to s3, body): the set of each row, its parity bits and its shingles."""
+    """(doc_id, h, key, n, s0 to s3, wide, body): the set of each row, 256 and 4096 parity bits, and its shingles."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = [shingle_set(t, width) for t in batch.column(2).to_pylist()]
@@ -60,11 +61,11 @@ def _sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                 "n": ([len(s) for s in own], pa.int64()),
             }
             | {s: (np.ascontiguousarray(bits[:, i]), pa.int64()) for i, s in enumerate(BITS)}
-            | {"body": ([s.tobytes() for s in own], pa.binary())}
+            | {"wide": ([parity(s, WIDE).tobytes() for s in own], pa.binary()), "body": ([s.tobytes() for s in own], pa.binary())}
         )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("text"))
-    return map_batches(rows, run, "doc_id long, h long, key binary, n long, " + ", ".join(f"{s} long" for s in BITS) + ", body binary")
+    return map_batches(rows, run, "doc_id long, h long, key binary, n long, " + ", ".join(f"{s} long" for s in BITS) + ", wide binary, body binary")
 
 
 def _shingles(batch: pa.RecordBatch, wanted: Bitmap) -> dict[bytes, np.ndarray]:
@@ -140,34 +141,45 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
 
 
-def measured(bodies: DataFrame, sets: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
-    """(a, b, both, all): sizes of intersection and union of those pairs (a, b) of keys that have a similarity of share percent or more."""
-    pairs = materialize(pairs.distinct(), "pairs")
+def _compared(bodies: DataFrame, sets: DataFrame, pairs: DataFrame, column: str, test, schema: str, name: str) -> DataFrame:
+    """What test leaves of the pairs (a, b) of keys, given the column of both sets. pairs is a written table that is read no more."""
     members = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     asked = materialize(sets.join(members, "key", "left_semi").select("h"), "asked")
     in_pairs = Bitmap(asked, "h")
 
     def picked(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = _shingles(batch, in_pairs)
-        return record_batch({"key": (list(own), pa.binary()), "body": ([s.tobytes() for s in own.values()], pa.binary())})
+        hit = pa.array(in_pairs.has(batch.column(0).to_numpy()))
+        return batch.filter(hit).select([1, 2, 3])
+
+    found = materialize(map_batches(bodies.select("h", "key", "n", column), picked, f"key binary, n long, {column} binary").dropDuplicates(["key"]), "picked")
+    met = pairs.join(found.toDF("a", "n", "x"), "a").join(found.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    out = materialize(map_batches(met, test, schema, rows=200), name)
+    discard(pairs, asked, found)
+    return out
+
+
+def measured(bodies: DataFrame, sets: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
+    """(a, b, both, all): sizes of intersection and union of those pairs (a, b) of keys that have a similarity of share percent or more."""
 
-    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def possible(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
+        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        allowed = (100 + share) * differ <= (100 - share) * (batch.column(2).to_numpy() + batch.column(3).to_numpy())
+        return batch.select([0, 1]).filter(pa.array(allowed))
+
+    def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
         both, union = [], []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            z = np.concatenate([s, t])
+        for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            z = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
             z.sort(kind="stable")
             both.append(int((z[1:] == z[:-1]).sum()))
             union.append(len(z) - both[-1])
         b, u = np.array(both, np.int64), np.array(union, np.int64)
-        near = pa.array(100 * b >= share * u)
-        return record_batch({"a": (batch.column(0), pa.binary()), "b": (batch.column(1), pa.binary()), "both": (b, pa.int64()), "all": (u, pa.int64())}).filter(near)
+        out = record_batch({"a": (batch.column(0), pa.binary()), "b": (batch.column(1), pa.binary()), "both": (b, pa.int64()), "all": (u, pa.int64())})
+        return out.filter(pa.array(100 * b >= share * u))
 
-    found = materialize(map_batches(bodies, picked, "key binary, body binary").dropDuplicates(["key"]), "bodies")
-    met = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    out = materialize(map_batches(met, check, "a binary, b binary, both long, all long", rows=200), "distances")
-    discard(pairs, asked, found)
-    return out
+    near = _compared(bodies, sets, materialize(pairs.distinct(), "pairs"), "wide", possible, "a binary, b binary", "possible")
+    return _compared(bodies, sets, near, "body", exact, "a binary, b binary, both long, all long", "distances")
 
 
 def _rooted(cells: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -178,20 +190,25 @@ def _rooted(cells: DataFrame, links: DataFrame | None) -> DataFrame:
     return cells.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
-def _in_slots(large: DataFrame, slot: int, share: int) -> DataFrame:
+def _possible(pairs: DataFrame, marks: DataFrame, share: int) -> DataFrame:
+    """Those of the pairs (a, b) of keys, each once, that their sizes and parity bits allow."""
+    met = pairs.distinct().join(marks.withColumnRenamed("key", "a").alias("x"), "a").join(marks.withColumnRenamed("key", "b").alias("y"), "b")
+    return met.filter(_allowed("x", "y", share)).select("a", "b")
+
+
+def _in_slots(large: DataFrame, marks: DataFrame, slot: int, share: int) -> DataFrame:
     """All allowed pairs of different roots of each cell, a slot of sets at a time."""
-    parts = large.withColumn("parts", F.ceil(F.col("m") / slot)).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    parts = large.join(marks, "key").withColumn("parts", F.ceil(F.col("m") / slot)).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
     dealt = parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     one = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root"))
     return _pairs(parts.alias("x").join(dealt.alias("y"), one & (F.col("x.key") < F.col("y.key")) & _allowed("x", "y", share)))
 
 
 def _pivots(large: DataFrame, turn: int) -> DataFrame:
-    """(shingle, key, n, parity bits) of the pivots of each cell."""
-    whole = F.struct("key", "n", *BITS)
-    picks = [F.max_by(whole, F.struct("central", F.xxhash64("key", F.lit(turn))))]
-    picks += [F.min_by(whole, F.xxhash64("key", F.lit(turn), F.lit(i))) for i in range(1, PIVOTS)]
-    return large.groupBy("shingle").agg(F.array(*picks).alias("all")).select("shingle", F.explode(F.array_distinct("all")).alias("p")).select("shingle", "p.*")
+    """(shingle, p): the pivots of each cell."""
+    picks = [F.max_by("key", F.struct("central", F.xxhash64("key", F.lit(turn))))]
+    picks += [F.min_by("key", F.xxhash64("key", F.lit(turn), F.lit(i))) for i in range(1, PIVOTS)]
+    return large.groupBy("shingle").agg(F.array(*picks).alias("all")).select("shingle", F.explode(F.array_distinct("all")).alias("p"))
 
 
 def _windows(distances: DataFrame, marks: DataFrame, share: int, slot: int) -> DataFrame:
@@ -212,24 +229,25 @@ def _windows(distances: DataFrame, marks: DataFrame, share: int, slot: int) -> D
 def region_links(bodies: DataFrame, sets: DataFrame, share: int = SHARE, rounds: int = ROUNDS, bucket: int = BUCKET, slot: int = SLOT) -> DataFrame:
     """(a, b): enough links between the keys of sets to connect all linked ones, and none between others.
 
-    bodies: (h, key, body) of all rows. sets: (key, h, n, parity bits), one row for each different set."""
+    bodies: (h, key, n, wide, body) of all rows. sets: (key, h, n, parity bits), one row for each different set."""
     twice = 2 * share - 100  # a distance of 2e as a similarity
-    cells, links, pending = _cells(bodies, sets, share), None, None
-    marks = sets.select("key", "n", *BITS)
-    cells = cells.join(marks, "key")
+    links, pending, marks = None, None, sets.select("key", "n", *BITS)
+    cells = _cells(bodies.select("h", "key", "body"), sets, share)
     for turn in range(rounds + 1):
+        # a cell is few bytes for each of its sets; sizes and parity bits join the pairs
         rooted = _rooted(cells, links)
         sizes = rooted.groupBy("shingle").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle", "m")
         sized = materialize(rooted.join(sizes, "shingle"), "regions")
+        discard(cells)
         small, large = sized.filter(F.col("m") <= bucket), sized.filter(F.col("m") > bucket)
         one = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.key") < F.col("y.key"))
-        pairs = _pairs(small.alias("x").join(small.alias("y"), one & _allowed("x", "y", share)))
+        pairs = _pairs(small.alias("x").join(small.alias("y"), one))
         if turn == rounds:
-            pairs = pairs.union(_in_slots(large, slot, share))
+            pairs = _possible(pairs, marks, share).union(_in_slots(large, marks, slot, share))
         else:
             pivots = materialize(_pivots(large, turn), "pivots")
-            star = large.alias("x").join(pivots.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.key") != F.col("y.key")) & _allowed("x", "y", twice))
-            pairs = pairs.union(_pairs(star))
+            star = large.join(pivots, "shingle").filter("key != p").select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b"))
+            pairs = _possible(pairs, marks, share).union(_possible(star, marks, twice))
         found = measured(bodies, sets, pairs if pending is None else pairs.union(pending), twice)
         linked = found.filter(100 * F.col("both") >= share * F.col("all")).select("a", "b")
         links = linked if links is None else links.union(linked)
@@ -237,13 +255,12 @@ def region_links(bodies: DataFrame, sets: DataFrame, share: int = SHARE, rounds:
             return links
         d = 1 - F.col("both") / F.col("all")
         both_ways = found.select(F.col("a").alias("x"), F.col("b").alias("p"), d.alias("d")).union(found.select("b", "a", d))
-        of_pivots = materialize(both_ways.join(pivots.select(F.col("key").alias("p")).distinct(), "p", "left_semi"), "pivot-distances")
+        of_pivots = materialize(both_ways.join(pivots.select("p").distinct(), "p", "left_semi"), "pivot-distances")
         known = materialize(_rooted(marks, links), "known")
         pending = materialize(_windows(of_pivots, known, share, slot).distinct(), "windows")
-        at_pivot = large.join(pivots.select("shingle", F.col("key").alias("p")), "shingle")
-        at_home = at_pivot.join(of_pivots.filter(F.col("d") <= 1 - share / 100 + 1e-9).select(F.col("x").alias("key"), "p"), ["key", "p"]).select("shingle", "key")
-        left = large.select("shingle", "key", "central", "n", *BITS).join(at_home.union(pivots.select("shingle", "key")).distinct(), ["shingle", "key"], "left_anti")
-        cells = materialize(left, "homeless")
+        near = of_pivots.filter(F.col("d") <= 1 - share / 100 + 1e-9).select(F.col("x").alias("key"), "p")
+        at_home = near.join(large.join(pivots, "shingle"), ["key", "p"]).select("shingle", "key").union(pivots)
+        cells = materialize(large.select("shingle", "key", "central").join(at_home.distinct(), ["shingle", "key"], "left_anti"), "homeless")
         discard(sized, known, of_pivots, pivots)
     return links
 
@@ -253,7 +270,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, share: int = SHARE, doc_id
     marked = materialize(_sets(docs, doc_id, text, width), "shingle-sets")
     grouped = marked.filter("n > 0").groupBy("key", "n", *BITS).agg(F.min("h").alias("h"), F.min("doc_id").alias("least"))
     sets = materialize(grouped, "sets")
-    links = region_links(marked.select("h", "key", "body"), sets, share, rounds, bucket, slot)
+    links = region_links(marked.select("h", "key", "n", "wide", "body"), sets, share, rounds, bucket, slot)
     of = materialize(_rooted(sets.select("key", "least"), links), "rooted-sets")
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = of.join(named, "root").select("key", "component_id")
