@@ -127,19 +127,16 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
         SELECT doc_id AS path, unnest(regexp_extract_all(text, '{SPACE}+|{SPACE.replace('[', '[^', 1)}+')) AS run FROM documents)) GROUP BY path"""
 )
 def provenance_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """What a text's segments add up to, from its array of runs alone."""
-    runs = F.regexp_extract_all("text", F.lit(f"({T.SPACE}+|{T.SPACE.replace('[', '[^', 1)}+)"), F.lit(0))
-
-    def sums(r: Column) -> Column:
-        sizes = F.transform(r, lambda x: F.octet_length(x))
-        return F.struct(
-            F.size(r).cast("long").alias("n"),
-            F.size(F.filter(r, lambda x: x.rlike(f"^{T.SPACE}"))).cast("long").alias("spaces"),
-            F.array_max(sizes).cast("long").alias("longest"),
-        )
-
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.octet_length("text").cast("long").alias("bytes"), T.let(runs, sums).alias("s"))
-    return d.filter("s.n > 0").select("path", "s.n", "s.spaces", "bytes", "s.longest")
+    """What a text's segments add up to. Runs of space and of text take turns, so one count and the two ends give the number of both; only
+    the longest needs pieces: the text between spaces, and spaces of more than a byte."""
+    text, first = F.col("text"), lambda c: c.cast("long")
+    spaces = F.regexp_count("text", F.lit(f"{T.SPACE}+")).cast("long")
+    n = 2 * spaces + 1 - first(text.rlike(rf"\A{T.SPACE}")) - first(text.rlike(rf"{T.SPACE}\z"))
+    longest = lambda pieces: F.array_max(F.transform(pieces, lambda x: F.octet_length(x)))
+    wide = F.regexp_extract_all("text", F.lit(rf"{T.SPACE}{{2,}}|(?![\x00-\x7F]){T.SPACE}"), F.lit(0))
+    most = F.greatest(longest(F.split("text", f"{T.SPACE}+", -1)), longest(wide), F.when(spaces > 0, 1))
+    d = table(spark, sf, "documents").filter("text <> ''")
+    return d.select(F.col("doc_id").alias("path"), n.alias("n"), spaces.alias("spaces"), F.octet_length("text").cast("long").alias("bytes"), most.cast("long").alias("longest"))
 
 
 _GAPS_SQL = rf"""SELECT path, ix, start, CAST("end" AS INTEGER) AS "end", total FROM (
