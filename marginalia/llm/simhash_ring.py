@@ -150,14 +150,14 @@ def ring_links(fps: DataFrame, budget: int = 2, bucket: int = 64) -> DataFrame:
     return links.distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the least node each node of links (a, b) reaches, by alternating star contraction.
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): the least node each node of links (a, b) reaches, by alternating star contraction until nothing changes.
 
     Every step is one grouping by node. A node's neighbours aren't gathered: the least neighbour is joined back to the
     links, so that a node with very many links can be split. The tables of a step go when the next one is written."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every neighbour above a node links to the least of the node and its neighbours
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -180,8 +180,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots.stored_at = edges.stored_at
     return roots
