@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import let
+
 
 def overlaps(a: Column, b: Column, zero_width: bool) -> Column:
     """a and b have start and end. With zero_width, an empty range clashes with one that holds or equals its place."""
@@ -125,27 +127,39 @@ def source_place(text: Column, point: Column, segment: Column) -> Column:
 
 
 def first_lossy(spans: DataFrame, segments: DataFrame) -> DataFrame:
-    """spans: (path, id, start, end) in review places. (path, id, ix): the first segment without identity that a span enters; an empty span
-    must lie strictly inside one."""
-    s, g = spans.alias("s"), segments.filter(~F.col("identity")).alias("g")
-    start, end, a, b = F.col("s.start"), F.col("s.end"), F.col("g.review_start"), F.col("g.review_end")
-    enters = F.when(start == end, (a < start) & (start < b)).otherwise((start < b) & (end > a))
-    hit = s.join(g, (F.col("s.path") == F.col("g.path")) & enters)
-    return hit.groupBy(F.col("s.path").alias("path"), F.col("s.id").alias("id")).agg(F.min("g.ix").alias("ix"))
+    """spans: (path, id, start, end) in review places; segments as in ``locate``. (path, id, ix): the first segment without identity that a
+    span enters; an empty span must lie strictly inside one.
+
+    That is the first such segment that ends behind the span's start, if it begins before the span's end: one sort instead of a range join."""
+    segment = F.struct("review_end", "ix", "review_start")
+    lossy = segments.filter(~F.col("identity")).select("path", F.col("review_end").alias("point"), segment.alias("s"))
+    none = F.lit(None)
+    rows = spans.select("path", F.col("start").alias("point"), none.cast(lossy.schema["s"].dataType).alias("s"), "id", "end").unionByName(
+        lossy.withColumns({"id": none.cast(spans.schema["id"].dataType), "end": none.cast(spans.schema["end"].dataType)})
+    )
+    is_segment = F.col("s").isNotNull()
+    w = Window.partitionBy("path").orderBy(F.desc("point"), is_segment, F.desc("s.ix")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.withColumn("next", F.last("s", ignorenulls=True).over(w)).filter(~is_segment)
+    return met.filter(F.col("next.review_start") < F.col("end")).select("path", "id", F.col("next.ix").alias("ix"))
 
 
 def splice(texts: DataFrame, edits: DataFrame) -> DataFrame:
-    """texts: (path, text); edits: (path, start, end, replacement) in bytes, without overlap. (path, text) with all edits made.
+    """texts: (path, text); edits: (path, start, end, replacement) in bytes, without overlap. (path, text) with all edits made; a null
+    replacement is empty.
+
+    An edit's text is what lies between the end of the edit before it and its start, then its replacement; the pieces are joined once."""
+    per_path = edits.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.coalesce("replacement", F.lit("")).alias("replacement")))).alias("edits"))
+
+    def edited(raw: Column) -> Column:
+        def between(start: Column, end: Column) -> Column:
+            return F.decode(F.substring(raw, start.cast("int") + 1, (end - start).cast("int")), "UTF-8")
 
-    An edit's text is what lies between the end of the edit before it and its start, then its replacement."""
-    raw = F.encode("text", "UTF-8")
-    per_path = edits.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("edits"))
+        def piece(e: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get("edits", i - 1)["end"])
+            return F.concat(between(before, e["start"]), e["replacement"])
 
-    def step(acc: Column, e: Column) -> Column:
-        gap = F.substring(raw, acc["at"] + 1, e["start"] - acc["at"])
-        return F.struct(e["end"].cast("int").alias("at"), F.concat(acc["out"], gap, F.encode(e["replacement"], "UTF-8")).alias("out"))
+        last = F.element_at("edits", -1)["end"]
+        return F.concat(F.array_join(F.transform("edits", piece), ""), between(last, F.octet_length(raw)))
 
-    edited = F.aggregate(F.col("edits"), F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out")), step)
-    whole = F.concat(edited["out"], F.substring(raw, edited["at"] + 1, F.octet_length("text")))
     joined = texts.join(per_path, "path", "left")
-    return joined.select("path", F.when(F.col("edits").isNull(), F.col("text")).otherwise(F.decode(whole, "UTF-8")).alias("text"))
+    return joined.select("path", F.when(F.col("edits").isNull(), F.col("text")).otherwise(let(F.encode("text", "UTF-8"), edited)).alias("text"))
