@@ -10,7 +10,7 @@ Forward and backward passes run over all texts of a batch at once: the words for
 every block's transfer matrix is built in step with all others, the blocks are then linked, and the vectors filled in.
 A text's first word forgets what stands before it. So a long text costs no more a word than a short one.
 
-The fit takes a bounded sample: each of the ``most_labels`` most frequent languages has the same share of ``sample_docs`` texts, or all it
+The fit takes a bounded sample: each language has the same share of ``sample_docs`` texts, one at least, or all it
 has, and the same share of ``sample_chars`` characters; of a longer text the beginning is used to learn (to predict, texts are whole).
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0. Without training rows every text is
@@ -152,6 +152,18 @@ def forward_backward(e: np.ndarray, first: np.ndarray, stay: np.ndarray) -> tupl
     return p / p.sum(1, keepdims=True), forward, backward
 
 
+def expected_moves(forward: np.ndarray, backward: np.ndarray, inner: np.ndarray, stay: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+    """How often each label is expected to follow each other, summed over blocks of words so that at most ``cells`` numbers are held."""
+    a, k = np.exp(stay - stay.max()), len(stay)
+    total, step = np.zeros((k, k)), max(1, cells // (k * k))
+    for i in range(0, len(forward) - 1, step):
+        x, y = forward[i : i + step][: len(forward) - 1 - i], backward[i + 1 : i + step + 1]
+        pair = x[:, :, None] * a[None] * y[:, None, :]
+        pair /= pair.sum(axis=(1, 2), keepdims=True)
+        total += pair[inner[i + 1 : i + step + 1]].sum(axis=0)
+    return total
+
+
 def fit(texts: list[tuple[str, str]], size: int = 1 << 17, epochs: int = 15, rate: float = 0.2, piece: int = 30, seed: int = 3) -> Field | None:
     """texts: (text, label). Pieces of ``piece`` words of all texts are dealt to sequences of four."""
     labels = sorted({label for _, label in texts})
@@ -169,8 +181,10 @@ def fit(texts: list[tuple[str, str]], size: int = 1 << 17, epochs: int = 15, rat
     first = np.zeros(len(flat), bool)
     first[begins[::4]] = True
     code, distinct = pd.factorize(np.array(flat, dtype=object))
-    slots = gram_slots(list(distinct), size, lexicon)
     k = len(labels)
+    while size * k > MOST_WEIGHTS and size > 1 << 12:
+        size >>= 1
+    slots = gram_slots(list(distinct), size, lexicon)
     weights, stay = np.zeros((size, k)), np.zeros((k, k))
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(stay), np.zeros_like(stay)]
     onehot = np.eye(k)[y]
@@ -186,9 +200,7 @@ def fit(texts: list[tuple[str, str]], size: int = 1 << 17, epochs: int = 15, rat
             each = np.repeat(by_word, np.diff(np.concatenate([[0], end])), axis=0)
             for j in range(k):
                 gradient[:, j] += np.bincount(slot, each[:, j], size)
-        pair = forward[:-1][:, :, None] * np.exp(stay - stay.max())[None] * backward[1:][:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
-        moves = observed - pair[inner[1:]].sum(axis=0)
+        moves = observed - expected_moves(forward, backward, inner, stay)
         for x, g, i in ((weights, gradient / len(flat), 0), (stay, moves / len(flat), 2)):
             moments[i] = 0.9 * moments[i] + 0.1 * g
             moments[i + 1] = 0.99 * moments[i + 1] + 0.01 * g * g
@@ -196,21 +208,23 @@ def fit(texts: list[tuple[str, str]], size: int = 1 << 17, epochs: int = 15, rat
     return Field(labels, weights.astype(np.float32), stay, lexicon)
 
 
-def train(docs: DataFrame, sample_docs: int = 500, sample_chars: int = 2_000_000, most_labels: int = 64) -> Field | None:
+#: Weights of a model; with more than 64 labels they have fewer hashed features each.
+MOST_WEIGHTS = 1 << 23
+
+
+def train(docs: DataFrame, sample_docs: int = 500, sample_chars: int = 2_000_000) -> Field | None:
     """Fit on a bounded sample of the texts with a language that aren't held out: of each language those with the least hash of id and
-    text. The bounds keep the model's cost the same for any corpus; no language is left out for being rare or having long texts."""
+    text. The bounds keep the model's cost the same for any corpus; no language is left out for being rare or having long texts, and with
+    more than sample_docs languages there is one text for each."""
     usable = docs.filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    known = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels).collect()
+    known = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not known:
         return None
-    each, chars = -(-sample_docs // len(known)), sample_chars // len(known)
-    h = F.xxhash64("doc_id", "text")
-    # three times as many as wanted by a hash of their own, so that only these few are ranked
-    few = F.lit(False)
-    for r in known:
-        few = few | ((F.col("lang") == r["lang"]) & (F.pmod(h, F.lit(1 << 31)) < int(min(1.0, 3 * each / r["n"]) * (1 << 31))))
-    cut = F.substring("text", 1, chars)
-    picked = usable.filter(few).select("lang", h.alias("h"), cut.alias("text")).dropDuplicates(["lang", "h"])
+    each, chars = -(-sample_docs // len(known)), max(1, sample_chars // len(known))
+    # three times as many as wanted by a hash of their own, so that only these few are ranked; a row for each label of the model goes to the tasks
+    share = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 3 * each / r["n"]) * (1 << 31))) for r in known], "lang string, share long")
+    hashed = usable.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 31)) < F.col("share"))
+    picked = hashed.select("lang", "h", F.substring("text", 1, chars).alias("text")).dropDuplicates(["lang", "h"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     rows = picked.withColumn("rank", rank).filter(F.col("rank") <= each).orderBy("lang", "rank").collect()
     texts, left = [], {r["lang"]: chars for r in known}
@@ -241,11 +255,11 @@ def label_batch(texts: list[str | None], field: Field, most_words: int = 200_000
             at += len(words)
         group.clear()
 
-    held = 0
+    held, most = 0, max(1, 4 * most_words // max(4, len(field.labels)))
     for text in texts:
         group.append(words_of(text))
         held += len(group[-1])
-        if held > most_words:
+        if held > most:
             flush()
             held = 0
     flush()

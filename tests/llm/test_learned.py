@@ -173,3 +173,25 @@ def test_samples_are_bounded_and_the_same_each_time(spark):
     rows = spark.createDataFrame([(1, "same")] * 500 + [(1, f"text {k}") for k in range(500)] + [(k, "x") for k in range(2, 60)], "doc_id long, text string")
     a, b = (sorted(common.least_hashed(rows.repartition(n), 40).collect()) for n in (2, 7))
     assert a == b and len(a) == len(set(a)) == 40
+
+
+def test_a_hundred_languages():
+    """No language is left out for being one of many, and what is held at once stays bounded."""
+    rng = random.Random(6)
+    words = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(4, 8))) for _ in range(25)] for k in range(100)}
+    field = langid_crf.fit([(" ".join(rng.choices(own, k=60)), lang) for lang, own in words.items()], epochs=4)
+    assert field.labels == sorted(words) and field.weights.size <= langid_crf.MOST_WEIGHTS
+    texts = [" ".join(rng.choices(words[lang], k=15)) for lang in field.labels]
+    found = [field.labels[int(p.mean(axis=0).argmax())] for _, p in langid_crf.label_batch(texts, field)]
+    assert sum(a == b for a, b in zip(found, field.labels)) >= 97
+
+
+def test_expected_moves_don_t_depend_on_blocks():
+    rng = np.random.default_rng(1)
+    first = rng.random(200) < 0.1
+    first[0] = True
+    stay = rng.normal(size=(5, 5))
+    _, forward, backward = langid_crf.forward_backward(rng.normal(size=(200, 5)), first, stay)
+    whole = langid_crf.expected_moves(forward, backward, ~first, stay)
+    assert np.allclose(whole, langid_crf.expected_moves(forward, backward, ~first, stay, cells=75))
+    assert np.isclose(whole.sum(), (~first)[1:].sum())
