@@ -41,24 +41,32 @@ def idempotent_apply(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, publish.apply_once(r, path, ["conv_id", "turn"])) for k, r in ((1, rows), (2, rows.repartition(3)), (3, changed))], "attempt int, outcome string")
 
 
-@query("SELECT source, count(*) AS files, CAST(0 AS BIGINT) AS drifted FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS files, count(*) FILTER (doc_id % 9 = 4 OR doc_id % 11 = 5) AS drifted FROM documents GROUP BY source")
 def immutable_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    """A snapshot in a folder for each source, scanned again and compared with what it was made of."""
+    """A snapshot in a folder for each source, scanned again and compared with what is there later: some files have changed, some are gone."""
     path = _folder(spark, "snapshot")
     files = table(spark, sf, "documents").select("source", "doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
     publish.write_new(files, path, ["source"])
-    status = reconcile.differences(files, spark.read.parquet(path), ["doc_id", "source"], ["sha256"])
+    later = files.filter("doc_id % 11 != 5").withColumn("sha256", F.when(F.col("doc_id") % 9 == 4, F.lit("other")).otherwise(F.col("sha256")))
+    status = reconcile.differences(later, spark.read.parquet(path), ["doc_id", "source"], ["sha256"])
     return status.groupBy("source").agg(F.count("*").alias("files"), F.count_if(F.col("status") != "same").alias("drifted"))
 
 
-@query("SELECT 'sha256:' || sha256(text) AS sha256, 'same' AS status, count(*) AS copies FROM documents GROUP BY 1")
+@query(
+    """WITH h AS (SELECT sha256(text) AS h, count(*) AS copies FROM documents GROUP BY 1)
+    SELECT 'sha256:' || h AS sha256, CASE left(h, 1) WHEN 'a' THEN 'changed' WHEN 'b' THEN 'missing' WHEN 'c' THEN 'unexpected' ELSE 'same' END AS status, CASE WHEN left(h, 1) <> 'b' THEN copies END AS copies FROM h"""
+)
 def returned_archive(spark: SparkSession, sf: str) -> DataFrame:
-    """Each content once, and its hash checked against the manifest."""
-    path = _folder(spark, "archive")
+    """Each content once, and its hash checked against the manifest. By the first digit of their hashes some contents are broken in the
+    archive, some have been lost from it, some aren't in the manifest."""
+    path, returned = _folder(spark, "archive"), _folder(spark, "returned")
     files = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
     publish.archive(files, path)
-    checked = publish.verified_archive(spark, path, files.select(F.sha2("content", 256).alias("sha256")))
-    joined = checked.join(spark.read.parquet(path).select("sha256", "copies"), "sha256")
+    digit = F.substring("sha256", 1, 1)
+    stored = spark.read.parquet(path).filter(digit != "b").withColumn("content", F.when(digit == "a", F.lit(b"broken")).otherwise(F.col("content")))
+    publish.write_new(stored, returned)
+    manifest = files.select(F.sha2("content", 256).alias("sha256")).filter(digit != "c")
+    joined = publish.verified_archive(spark, returned, manifest).join(spark.read.parquet(returned).select("sha256", "copies"), "sha256", "left")
     return joined.select(F.concat(F.lit("sha256:"), "sha256").alias("sha256"), "status", "copies")
 
 

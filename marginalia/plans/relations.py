@@ -351,13 +351,17 @@ def overlay_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {evidence.CHANGES_SQL}, {evidence.ELIGIBLE_SQL}, a AS (SELECT change_id FROM pl WHERE decision = 'accept'), o AS (SELECT change_id FROM pl WHERE outcome = 'operation'), b AS (SELECT change_id FROM pl WHERE outcome = 'blocked')
-    SELECT (SELECT count(*) FROM a) AS accepted, (SELECT count(*) FROM o) AS operations, (SELECT count(*) FROM b) AS blocked, CAST(0 AS BIGINT) AS in_both, CAST(0 AS BIGINT) AS in_neither"""
+    SELECT (SELECT count(*) FROM a) AS accepted, (SELECT count(*) FROM o) AS operations, (SELECT count(*) FROM b) AS blocked,
+      (SELECT count(*) FROM (SELECT change_id FROM a INTERSECT (SELECT change_id FROM o UNION ALL SELECT change_id FROM b WHERE change_id % 7 = 0) INTERSECT SELECT change_id FROM b WHERE change_id % 11 <> 0)) AS in_both,
+      (SELECT count(*) FROM (SELECT change_id FROM a EXCEPT SELECT change_id FROM o EXCEPT SELECT change_id FROM b WHERE change_id % 7 = 0 OR change_id % 11 <> 0)) AS in_neither"""
 )
 def plan_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """What is accepted is planned or blocked, and never both."""
+    """What is accepted is planned or blocked, and never both. Of what is blocked some is planned as well, some is lost."""
     p = evidence.planned(spark, sf)
     sets = {"accepted": p.filter("decision = 'accept'"), "operations": p.filter("outcome = 'operation'"), "blocked": p.filter("outcome = 'blocked'")}
-    parts = reconcile.partition_check(sets["accepted"].select("change_id"), {k: sets[k].select("change_id") for k in ("operations", "blocked")}, "change_id")
+    blocked = sets["blocked"].select("change_id")
+    faulty = {"operations": sets["operations"].select("change_id").union(blocked.filter("change_id % 7 = 0")), "blocked": blocked.filter("change_id % 11 != 0")}
+    parts = reconcile.partition_check(sets["accepted"].select("change_id"), faulty, "change_id")
     wrong = parts.agg(F.count_if(F.col("n") > 1).alias("in_both"), F.count_if(F.col("n") < 1).alias("in_neither"))
     o = F.col("outcome")
     counts = p.agg(F.count_if(F.col("decision") == "accept").alias("accepted"), F.count_if(o == "operation").alias("operations"), F.count_if(o == "blocked").alias("blocked"))
