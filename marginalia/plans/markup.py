@@ -102,12 +102,13 @@ def package_relationships(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {WORDS_SQL} SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(string_agg(w || ' ', '' ORDER BY k, i) FILTER (i % 10 NOT IN (1, 4, 7)), '') AS original,
-    coalesce(string_agg(w || ' ', '' ORDER BY k, i) FILTER (i % 10 NOT IN (3, 6)), '') AS final FROM wd GROUP BY doc_id"""
+    f"""WITH {WORDS_SQL} SELECT CAST(doc_id AS VARCHAR) AS path, 'word/document.xml' AS part, coalesce(string_agg(w || ' ', '' ORDER BY k, i) FILTER (i % 10 NOT IN (1, 4, 7)), '') AS original,
+    coalesce(string_agg(w || ' ', '' ORDER BY k, i) FILTER (i % 10 NOT IN (3, 6)), '') AS final FROM wd GROUP BY doc_id
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 'word/footnotes.xml', '', 'note ' || doc_id FROM documents"""
 )
 def revision_views(spark: SparkSession, sf: str) -> DataFrame:
     """The text with everything rejected, and with everything accepted."""
-    return P.views(main_nodes(spark, sf)).select("path", "original", "final")
+    return P.views(all_nodes(spark, sf)).select("path", "part", "original", "final")
 
 
 @query(
@@ -123,25 +124,26 @@ def package_revisions(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {WORDS_SQL}, p AS (SELECT *, lead(i) OVER (PARTITION BY doc_id, k ORDER BY i) AS after FROM wd),
     c AS (SELECT doc_id, CASE WHEN i % 10 = 3 AND after IS NOT NULL THEN 'replacement' WHEN i % 10 = 3 THEN 'deletion' WHEN i % 10 = 1 THEN 'insertion' ELSE 'move' END AS kind,
-      CASE WHEN k % 4 = 3 THEN NULL ELSE 'u' || k END AS bookmark FROM p WHERE i % 10 IN (1, 3, 6, 7))
+      CASE WHEN k % 4 = 3 THEN NULL ELSE 'u' || k END AS bookmark FROM p WHERE i % 10 IN (1, 3, 6, 7) UNION ALL SELECT doc_id, 'insertion', NULL FROM documents)
     SELECT CAST(doc_id AS VARCHAR) AS path, kind, count(*) AS n, count(DISTINCT bookmark) AS bookmarks FROM c GROUP BY ALL"""
 )
 def package_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Changes of each kind, and under how many bookmarks."""
-    return P.changes(main_nodes(spark, sf)).groupBy("path", "kind").agg(F.count("*").alias("n"), F.count_distinct("bookmark").alias("bookmarks"))
+    return P.changes(all_nodes(spark, sf)).groupBy("path", "kind").agg(F.count("*").alias("n"), F.count_distinct("bookmark").alias("bookmarks"))
 
 
 @query(
-    f"""WITH {WORDS_SQL} SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN i % 10 IN (6, 7) THEN 'not_applicable' ELSE 'plain_text' END AS class, count(*) AS n FROM wd WHERE i % 10 IN (1, 3, 4, 6, 7) GROUP BY ALL"""
+    f"""WITH {WORDS_SQL} SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN i % 10 IN (6, 7) THEN 'not_applicable' ELSE 'plain_text' END AS class, count(*) AS n FROM wd WHERE i % 10 IN (1, 3, 4, 6, 7) GROUP BY ALL
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 'structured', 1 FROM documents"""
 )
 def structural_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """P2."""
-    return P.evidence_classes(main_nodes(spark, sf)).groupBy("path", "class").agg(F.count("*").alias("n"))
+    """The insertion of the footnotes stands in no paragraph."""
+    return P.evidence_classes(all_nodes(spark, sf)).groupBy("path", "class").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {WORDS_SQL} SELECT CAST(doc_id AS VARCHAR) AS path, count(*) AS runs, count(*) AS bold, CAST(0 AS BIGINT) AS italic, min('single') AS underline FROM wd WHERE i % 10 = 8 GROUP BY doc_id""")
 def run_styles(spark: SparkSession, sf: str) -> DataFrame:
     """A switch without a value is on, one with 0 is off."""
-    return P.run_properties(main_nodes(spark, sf)).groupBy("path").agg(
+    return P.run_properties(all_nodes(spark, sf)).groupBy("path").agg(
         F.count("*").alias("runs"), F.count_if("bold").alias("bold"), F.count_if("italic").alias("italic"), F.min("underline").alias("underline")
     )
