@@ -43,7 +43,7 @@ from .simhash_ring import components
 from .suffix_dedup import Bitmap
 
 WIDTH, SHARE = 4, 85
-SAMPLE, OFTEN, PIVOTS, ROUNDS, BUCKET, SLOT = 4, 2, 3, 3, 8, 256
+SAMPLE, OFTEN, PIVOTS, ROUNDS, BUCKET, SLOT = 8, 2, 3, 2, 8, 256
 WIDE = 4096
 
 
@@ -64,7 +64,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
             | {"wide": ([parity(s, WIDE).tobytes() for s in own], pa.binary()), "body": ([s.tobytes() for s in own], pa.binary())}
         )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text, F.monotonically_increasing_id()).alias("h"), F.col(text).alias("text"))
     return map_batches(rows, run, "doc_id long, h long, key binary, n long, " + ", ".join(f"{s} long" for s in BITS) + ", wide binary, body binary")
 
 
@@ -144,15 +144,16 @@ def _pairs(joined: DataFrame) -> DataFrame:
 def _compared(bodies: DataFrame, sets: DataFrame, pairs: DataFrame, column: str, test, schema: str, name: str) -> DataFrame:
     """What test leaves of the pairs (a, b) of keys, given the column of both sets. pairs is a written table that is read no more."""
     members = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    asked = materialize(sets.join(members, "key", "left_semi").select("h"), "asked")
+    asked = materialize(sets.join(members, "key", "left_semi").select("key", "h"), "asked")
     in_pairs = Bitmap(asked, "h")
 
     def picked(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hit = pa.array(in_pairs.has(batch.column(0).to_numpy()))
-        return batch.filter(hit).select([1, 2, 3])
+        return batch.filter(pa.array(in_pairs.has(batch.column(0).to_numpy())))
 
-    found = materialize(map_batches(bodies.select("h", "key", "n", column), picked, f"key binary, n long, {column} binary").dropDuplicates(["key"]), "picked")
-    met = pairs.join(found.toDF("a", "n", "x"), "a").join(found.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    # a set's one row has its key and its h; the bitmap lets few others through, and the joins none
+    found = materialize(map_batches(bodies.select("h", "key", "n", column), picked, f"h long, key binary, n long, {column} binary"), "picked")
+    known = pairs.join(asked.toDF("a", "ha"), "a").join(asked.toDF("b", "hb"), "b")
+    met = known.join(found.toDF("ha", "a", "n", "x"), ["a", "ha"]).join(found.toDF("hb", "b", "m", "y"), ["b", "hb"]).select("a", "b", "n", "m", "x", "y")
     out = materialize(map_batches(met, test, schema, rows=200), name)
     discard(pairs, asked, found)
     return out
@@ -182,12 +183,13 @@ def measured(bodies: DataFrame, sets: DataFrame, pairs: DataFrame, share: int) -
     return _compared(bodies, sets, near, "body", exact, "a binary, b binary, both long, all long", "distances")
 
 
-def _rooted(cells: DataFrame, links: DataFrame | None) -> DataFrame:
-    """cells with the root of each set, among the links found so far."""
-    if links is None:
-        return cells.withColumn("root", F.col("key"))
-    roots = components(links).withColumnRenamed("node", "key")
-    return cells.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+def _rooted(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """rows, one for each key, with the root of each set among the links found so far, as a written table."""
+    roots = components(links)
+    known = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    known = materialize(known, name)
+    discard(roots)
+    return known
 
 
 def _possible(pairs: DataFrame, marks: DataFrame, share: int) -> DataFrame:
@@ -231,14 +233,14 @@ def region_links(bodies: DataFrame, sets: DataFrame, share: int = SHARE, rounds:
 
     bodies: (h, key, n, wide, body) of all rows. sets: (key, h, n, parity bits), one row for each different set."""
     twice = 2 * share - 100  # a distance of 2e as a similarity
-    links, pending, marks = None, None, sets.select("key", "n", *BITS)
+    links, pending, known, marks = None, None, None, sets.select("key", "n", *BITS)
     cells = _cells(bodies.select("h", "key", "body"), sets, share)
     for turn in range(rounds + 1):
         # a cell is few bytes for each of its sets; sizes and parity bits join the pairs
-        rooted = _rooted(cells, links)
+        rooted = cells.withColumn("root", F.col("key")) if known is None else cells.join(known.select("key", "root"), "key")
         sizes = rooted.groupBy("shingle").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle", "m")
         sized = materialize(rooted.join(sizes, "shingle"), "regions")
-        discard(cells)
+        discard(cells, *([] if known is None else [known]))
         small, large = sized.filter(F.col("m") <= bucket), sized.filter(F.col("m") > bucket)
         one = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.key") < F.col("y.key"))
         pairs = _pairs(small.alias("x").join(small.alias("y"), one))
@@ -256,12 +258,12 @@ def region_links(bodies: DataFrame, sets: DataFrame, share: int = SHARE, rounds:
         d = 1 - F.col("both") / F.col("all")
         both_ways = found.select(F.col("a").alias("x"), F.col("b").alias("p"), d.alias("d")).union(found.select("b", "a", d))
         of_pivots = materialize(both_ways.join(pivots.select("p").distinct(), "p", "left_semi"), "pivot-distances")
-        known = materialize(_rooted(marks, links), "known")
+        known = _rooted(marks, links, "known")
         pending = materialize(_windows(of_pivots, known, share, slot).distinct(), "windows")
         near = of_pivots.filter(F.col("d") <= 1 - share / 100 + 1e-9).select(F.col("x").alias("key"), "p")
         at_home = near.join(large.join(pivots, "shingle"), ["key", "p"]).select("shingle", "key").union(pivots)
         cells = materialize(large.select("shingle", "key", "central").join(at_home.distinct(), ["shingle", "key"], "left_anti"), "homeless")
-        discard(sized, known, of_pivots, pivots)
+        discard(sized, of_pivots, pivots)
     return links
 
 
@@ -271,7 +273,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, share: int = SHARE, doc_id
     grouped = marked.filter("n > 0").groupBy("key", "n", *BITS).agg(F.min("h").alias("h"), F.min("doc_id").alias("least"))
     sets = materialize(grouped, "sets")
     links = region_links(marked.select("h", "key", "n", "wide", "body"), sets, share, rounds, bucket, slot)
-    of = materialize(_rooted(sets.select("key", "least"), links), "rooted-sets")
+    of = _rooted(sets.select("key", "least"), links, "rooted-sets")
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = of.join(named, "root").select("key", "component_id")
     found = marked.select("doc_id", "key", F.col("n").alias("n_shingles")).join(classes, "key", "left")
