@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import reconcile
+from ..functions.batches import bound_texts, put
 from ..sources import packages as P
 from .registry import query, table
 
@@ -43,32 +43,31 @@ def _document(text: str) -> str:
 def stand_in(spark: SparkSession, sf: str) -> DataFrame:
     """(path, content): a package for each document."""
 
+    def package(path: str, text: str) -> tuple[str, bytes]:
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(zipfile.ZipInfo("word/document.xml"), _document(text))
+            z.writestr(zipfile.ZipInfo("word/_rels/document.xml.rels"), RELS)
+            z.writestr(zipfile.ZipInfo("word/footnotes.xml"), f'<w:footnotes xmlns:w="{W}"><w:ins w:id="1" w:author="B"><w:r><w:t>note {path}</w:t></w:r></w:ins></w:footnotes>')
+            z.writestr(zipfile.ZipInfo("../outside"), "x")
+        return path, raw.getvalue()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, contents = [], []
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = io.BytesIO()
-                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr(zipfile.ZipInfo("word/document.xml"), _document(text or ""))
-                    z.writestr(zipfile.ZipInfo("word/_rels/document.xml.rels"), RELS)
-                    z.writestr(zipfile.ZipInfo("word/footnotes.xml"), f'<w:footnotes xmlns:w="{W}"><w:ins w:id="1" w:author="B"><w:r><w:t>note {path}</w:t></w:r></w:ins></w:footnotes>')
-                    z.writestr(zipfile.ZipInfo("../outside"), "x")
-                paths.append(path)
-                contents.append(raw.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+            yield from put((package(p.as_py(), t.as_py() or "") for p, t in zip(batch.column(0), batch.column(1), strict=True)), {"path": pa.string(), "content": pa.binary()}, 100)
 
+    bound_texts(spark)
     # a text grows tenfold as nodes, so that a small file's only partition would be one long task
     texts = table(spark, sf, "documents").select(F.col("doc_id").cast("string"), "text").repartition(4 * spark.sparkContext.defaultParallelism)
     return texts.mapInArrow(run, "path string, content binary")
 
 
-def all_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """The node table, written once: what is made of it reads it several times."""
-    return reconcile.checkpointed(P.nodes(stand_in(spark, sf)))
+def all_nodes(spark: SparkSession, sf: str, *columns: str, parts: tuple[str, ...] = (".xml", ".rels")) -> DataFrame:
+    """The node table, with the columns that are wanted. Every query reads it in one pass, so that it is written nowhere."""
+    return P.nodes(stand_in(spark, sf), columns=columns, parts=parts)
 
 
-def main_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return all_nodes(spark, sf).filter("part = 'word/document.xml'")
+_REVISED = ("path", "part", "ordinal", "parent", "grand", "sibling", "tag", "attrs", "text", "revision", "above")
 
 
 #: (doc_id, k, i, w): each word of each line, k and i from 0.
@@ -92,13 +91,13 @@ def package_members(spark: SparkSession, sf: str) -> DataFrame:
 )
 def package_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Elements of the main part, and its paragraphs."""
-    return main_nodes(spark, sf).groupBy("path").agg(F.count("*").alias("nodes"), F.count_if(F.col("tag") == "p").alias("paragraphs"))
+    return all_nodes(spark, sf, "path", "tag", parts=("word/document.xml",)).groupBy("path").agg(F.count("*").alias("nodes"), F.count_if(F.col("tag") == "p").alias("paragraphs"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS path, CAST(2 AS BIGINT) AS total, CAST(1 AS BIGINT) AS external, CAST(1 AS BIGINT) AS images FROM documents")
 def package_relationships(spark: SparkSession, sf: str) -> DataFrame:
     """S6."""
-    return P.relationships(all_nodes(spark, sf))
+    return P.relationships(all_nodes(spark, sf, "path", "tag", "attrs", parts=(".rels",)))
 
 
 @query(
@@ -108,7 +107,7 @@ def package_relationships(spark: SparkSession, sf: str) -> DataFrame:
 )
 def revision_views(spark: SparkSession, sf: str) -> DataFrame:
     """The text with everything rejected, and with everything accepted."""
-    return P.views(all_nodes(spark, sf)).select("path", "part", "original", "final")
+    return P.views(all_nodes(spark, sf, "path", "part", "ordinal", "tag", "text", "mark"), together=True).select("path", "part", "original", "final")
 
 
 @query(
@@ -118,7 +117,7 @@ def revision_views(spark: SparkSession, sf: str) -> DataFrame:
 )
 def package_revisions(spark: SparkSession, sf: str) -> DataFrame:
     """All revisions in the order of stories, the footnotes after the main text."""
-    return P.revision_events(all_nodes(spark, sf)).select("path", "sequence", "kind", "text")
+    return P.revision_events(all_nodes(spark, sf, *_REVISED), together=True).select("path", "sequence", "kind", "text")
 
 
 @query(
@@ -129,7 +128,7 @@ def package_revisions(spark: SparkSession, sf: str) -> DataFrame:
 )
 def package_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Changes of each kind, and under how many bookmarks."""
-    return P.changes(all_nodes(spark, sf)).groupBy("path", "kind").agg(F.count("*").alias("n"), F.count_distinct("bookmark").alias("bookmarks"))
+    return P.changes(all_nodes(spark, sf, *_REVISED), together=True).groupBy("path", "kind").agg(F.count("*").alias("n"), F.count_distinct("bookmark").alias("bookmarks"))
 
 
 @query(
@@ -138,12 +137,12 @@ def package_changes(spark: SparkSession, sf: str) -> DataFrame:
 )
 def structural_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """The insertion of the footnotes stands in no paragraph."""
-    return P.evidence_classes(all_nodes(spark, sf)).groupBy("path", "class").agg(F.count("*").alias("n"))
+    return P.evidence_classes(all_nodes(spark, sf, *_REVISED), together=True).groupBy("path", "class").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {WORDS_SQL} SELECT CAST(doc_id AS VARCHAR) AS path, count(*) AS runs, count(*) AS bold, CAST(0 AS BIGINT) AS italic, min('single') AS underline FROM wd WHERE i % 10 = 8 GROUP BY doc_id""")
 def run_styles(spark: SparkSession, sf: str) -> DataFrame:
     """A switch without a value is on, one with 0 is off."""
-    return P.run_properties(all_nodes(spark, sf)).groupBy("path").agg(
+    return P.run_properties(all_nodes(spark, sf, "path", "part", "parent", "grand", "tag", "attrs", "above")).groupBy("path").agg(
         F.count("*").alias("runs"), F.count_if("bold").alias("bold"), F.count_if("italic").alias("italic"), F.min("underline").alias("underline")
     )
