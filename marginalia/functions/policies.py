@@ -111,10 +111,14 @@ def rotated_bounds(width: Column, height: Column, millidegrees: Column) -> Colum
 
 
 def best_dpi(page_width: Column, page_height: Column, wanted: int, least: int, most_side: int, most_pixels: int) -> Column:
-    """The greatest whole resolution up to wanted at which the page keeps within both limits; null if none from least on does."""
+    """The greatest whole resolution up to wanted at which the page (of positive sides) keeps within both limits; null if none from least on does."""
 
     def fits(dpi: Column) -> Column:
         w, h = F.ceil(page_width * dpi / 72), F.ceil(page_height * dpi / 72)
         return (F.greatest(w, h) <= most_side) & (w * h <= most_pixels)
 
-    return F.array_max(F.filter(F.sequence(F.lit(min(wanted, least)), F.lit(wanted)), fits))
+    # a page only grows with its resolution, so that halving finds the last one that fits
+    below = min(wanted, least) - 1
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range((wanted - below).bit_length()))))
+    best = F.aggregate(steps, F.lit(below), lambda at, step: F.when((at + step <= wanted) & fits(at + step), at + step).otherwise(at))
+    return F.when(best > below, best)
