@@ -100,23 +100,24 @@ def expanded_sizes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """(node, total): the size of each node with all that it includes, as often as it does. edges: (source, target), repeated ones
     count; sizes: (node, size). A cycle is an error.
 
-    Nodes are settled from the leaves up, each once, so shared parts aren't expanded again and again."""
-    edges = checkpointed(edges.select("source", "target"))
+    Nodes are settled from the leaves up, each once, so shared parts aren't expanded again and again. Joins are by sorting, since a broadcast in
+    every round would go through the driver."""
+    edges = checkpointed(edges.select("source", "target")).hint("merge")
     open_ = checkpointed(sizes.select("node", "size"))
     settled = None
     while True:
         waiting = edges.join(open_.select(F.col("node").alias("target")), "target", "left_semi").select(F.col("source").alias("node")).distinct()
-        ready = open_.join(waiting, "node", "left_anti")
+        ready = open_.hint("merge").join(waiting, "node", "left_anti")
         if settled is None:
             done = ready.select("node", F.col("size").alias("total"))
         else:
             parts = edges.join(settled.select(F.col("node").alias("target"), "total"), "target").groupBy(F.col("source").alias("node")).agg(F.sum("total").alias("parts"))
-            done = ready.join(parts, "node", "left").select("node", (F.col("size") + F.coalesce("parts", F.lit(0))).alias("total"))
+            done = ready.hint("merge").join(parts, "node", "left").select("node", (F.col("size") + F.coalesce("parts", F.lit(0))).alias("total"))
         done = checkpointed(done)
         if done.isEmpty():
             raise ValueError("a cycle of includes")
         settled = done if settled is None else settled.unionByName(done)
-        open_ = checkpointed(open_.join(done.select("node"), "node", "left_anti"))
+        open_ = checkpointed(open_.hint("merge").join(done.select("node"), "node", "left_anti"))
         if open_.isEmpty():
             return settled
 

@@ -62,13 +62,14 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, depth): all that edges (source, target) reach from roots (node), breadth first.
 
     The frontier joins the edges on their source in every round; what was seen goes by an anti join. Both are written to the
-    shared folder, so plans stay short and lost executors repeat one round at most."""
+    shared folder, so plans stay short and lost executors repeat one round at most. Joins are by sorting, since a broadcast in every round would
+    go through the driver."""
     frontier = checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     seen, level = frontier, 0
     while not frontier.isEmpty():
         level += 1
-        after = edges.join(frontier, edges["source"] == frontier["node"]).select(F.col("target").alias("node")).distinct()
-        frontier = checkpointed(after.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
+        after = edges.hint("merge").join(frontier, edges["source"] == frontier["node"]).select(F.col("target").alias("node")).distinct()
+        frontier = checkpointed(after.hint("merge").join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -59,3 +59,38 @@ def test_a_revision_is_plain_if_its_runs_hold_text_alone(spark):
         }
         got = [x["class"] for x in packages.evidence_classes(nodes, together).orderBy("ordinal").collect()]
         assert got == ["plain_text", "structured", "structured", "structured", "structured", "structured", "plain_text"]
+
+
+def test_the_best_resolution_is_the_last_that_fits(spark):
+    import math
+
+    from marginalia.functions.policies import best_dpi
+
+    sizes = [(w, h) for w in (1, 50, 255, 700, 960, 2000, 5000) for h in (1, 33, 400, 1500, 4000)] + [(None, 5)]
+    got = spark.createDataFrame(sizes, "w int, h int")
+    for wanted, least in ((300, 72), (72, 72), (50, 72)):
+        fits = lambda w, h, d: max(a := math.ceil(w * d / 72), b := math.ceil(h * d / 72)) <= 4000 and a * b <= 6_000_000
+        want = [None if w is None else max((d for d in range(min(wanted, least), wanted + 1) if fits(w, h, d)), default=None) for w, h in sizes]
+        column = best_dpi(got["w"], got["h"], wanted, least, 4000, 6_000_000)
+        assert [r[0] for r in got.select(column).collect()] == want
+        assert "sequence(" not in plan(got.select(column))  # not every resolution is tried
+
+
+def test_rounds_broadcast_nothing(spark):
+    from marginalia.operators import evidence, reconcile
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "source long, target long")
+    assert {tuple(r) for r in reconcile.closure(edges, spark.createDataFrame([(1,)], "node long")).collect()} == {(1, 0), (2, 1), (3, 1)}
+    plans = []
+    for module in (reconcile, evidence):
+        kept = module.checkpointed
+        module.checkpointed = lambda df: plans.append(plan(df)) or kept(df)  # noqa: B023
+        try:
+            if module is reconcile:
+                module.closure(edges, spark.createDataFrame([(1,)], "node long"))
+            else:
+                sizes = spark.createDataFrame([(1, 1), (2, 10), (3, 100)], "node long, size long")
+                assert {tuple(r) for r in module.expanded_sizes(edges, sizes).collect()} == {(1, 211), (2, 110), (3, 100)}
+        finally:
+            module.checkpointed = kept
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
