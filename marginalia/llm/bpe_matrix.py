@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from .common import map_batches, record_batch
 
 NONE = np.int32(2**31 - 1)
+PIECES = 100_000  # pieces that are held as objects at once, besides the different ones of a batch and those of one text
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -93,7 +94,8 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], matrix_bytes: int = 128, matrix_cells: int = 400_000):
         self.ranks = ranks
         self.pairs = PairTable(ranks)
-        self.pair_rank = dict(zip(self.pairs.keys.tolist(), self.pairs.values.tolist(), strict=True))
+        used = self.pairs.keys != -1
+        self.pair_rank = dict(zip(self.pairs.keys[used].tolist(), self.pairs.values[used].tolist(), strict=True))
         self.byte_id = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -197,14 +199,31 @@ class Codec:
         return np.array([x for x in ids if x >= 0], np.int32)
 
     def encode_texts(self, split: Iterable[list[str]]) -> list[np.ndarray]:
-        """Ids of each text, given as its pieces. Each distinct piece is merged once."""
-        split = list(split)
-        code, distinct = pd.factorize(np.array([p for pieces in split for p in pieces], dtype=object))
-        pool, begin, sizes = self.encode_pieces([p.encode() for p in distinct])
-        out, at = [], 0
+        """Ids of each text, given as its pieces. Each distinct piece is merged once; of the others only the number is kept, since as
+        objects pieces take some twenty times their bytes."""
+        index: dict[str, int] = {}
+        codes: list[np.ndarray] = []
+        counts: list[int] = []
+        held: list[str] = []
+
+        def number() -> None:
+            code, distinct = pd.factorize(np.array(held, dtype=object))
+            codes.append(np.array([index.setdefault(p, len(index)) for p in distinct], np.int32)[code])
+            held.clear()
+
         for pieces in split:
-            own = code[at : at + len(pieces)]
-            at += len(pieces)
+            held += pieces
+            counts.append(len(pieces))
+            if len(held) >= PIECES:
+                number()
+        number()
+        code = np.concatenate(codes)
+        del codes
+        pool, begin, sizes = self.encode_pieces([p.encode() for p in index])
+        out, at = [], 0
+        for count in counts:
+            own = code[at : at + count]
+            at += count
             n = sizes[own]
             total = int(n.sum())
             shift = np.repeat(begin[own] - (np.cumsum(n) - n), n)
