@@ -117,11 +117,14 @@ def locate(points: DataFrame, segments: DataFrame) -> DataFrame:
 def source_place(text: Column, point: Column, segment: Column) -> Column:
     """The source byte of a point of text: the ends of a segment are always known, its inside only where it is copied as it is.
 
-    segment: review_start, review_end, source_start, source_end, identity."""
-    inside = F.octet_length(F.substring(text, segment["review_start"] + 1, point - segment["review_start"]))
+    segment: review_start, review_end, source_start, source_end, identity. Where characters are bytes the text isn't read."""
+    offset = point - segment["review_start"]
+    narrow = segment["review_end"] - segment["review_start"] == segment["source_end"] - segment["source_start"]
+    inside = F.octet_length(F.substring(text, segment["review_start"] + 1, offset))
     return (
         F.when(point == segment["review_start"], segment["source_start"])
         .when(point == segment["review_end"], segment["source_end"])
+        .when(segment["identity"] & narrow, segment["source_start"] + offset)
         .when(segment["identity"], segment["source_start"] + inside)
     )
 

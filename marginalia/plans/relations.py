@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import events as E
 from ..operators import evidence as V
 from ..operators import intervals, reconcile, validate
-from . import corpus, evidence
+from . import evidence
 from .registry import query, table
 
 
@@ -165,11 +166,23 @@ def field_nesting(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mapped_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """(path, ix, review_start, review_end, source_start, source_end, identity): a space stays a space, other white space becomes one."""
-    runs = corpus.segments(spark, sf)
-    size = F.col("end") - F.col("start")
-    kept = (F.col("kind") == "text") | F.coalesce(F.col("copied") == " ", F.lit(False))
-    return runs.select("path", "ix", F.col("first_char").alias("review_start"), (F.col("first_char") + F.col("chars_in")).alias("review_end"), F.col("start").alias("source_start"), (F.col("start") + size).alias("source_end"), kept.alias("identity"))
+    """(path, ix, review_start, review_end, source_start, source_end, identity): a space stays a space, other white space becomes one. Words
+    and the single spaces between them are one segment, as in the reference; only their sizes are moved."""
+    lossy = rf"{T.SPACE}{{2,}}|(?! ){T.SPACE}"
+    size = lambda x: F.struct(F.length(x).alias("chars"), F.octet_length(x).alias("bytes"))
+    pairs = F.zip_with(F.split("text", lossy, -1), F.regexp_extract_all("text", F.lit(lossy), F.lit(0)), lambda a, b: F.struct(size(a).alias("kept"), size(F.coalesce(b, F.lit(""))).alias("lost")))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.posexplode(pairs).alias("ix", "p")).select("path", "ix", "p.*")
+    w = Window.partitionBy("path").orderBy("ix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({c: F.sum(F.col("kept")[c] + F.col("lost")[c]).over(w) - F.col("lost")[c] for c in ("chars", "bytes")})
+
+    def segment(n: int, kind: str) -> Column:
+        first = [F.col(c) - (F.col("kept")[c] if kind == "kept" else F.lit(0)) for c in ("chars", "bytes")]
+        ends = [x + F.col(kind)[c] for x, c in zip(first, ("chars", "bytes"), strict=True)]
+        names = ("review_start", "review_end", "source_start", "source_end")
+        return F.struct((2 * F.col("ix") + n).alias("ix"), *(x.alias(k) for x, k in zip((first[0], ends[0], first[1], ends[1]), names, strict=True)), F.lit(kind == "kept").alias("identity"))
+
+    both = F.array(segment(0, "kept"), segment(1, "lost"))
+    return rows.select("path", F.inline(both)).filter("review_end > review_start")
 
 
 @query(
@@ -182,7 +195,7 @@ def offset_map(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text")
     points = d.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"), F.lit(37).cast("long"))).alias("point"))
     found = intervals.locate(points, mapped_segments(spark, sf)).join(d, "path")
-    place = F.when(F.length("text") == 0, F.lit(0)).otherwise(intervals.source_place(F.col("text"), F.col("point").cast("int"), F.col("segment")))
+    place = F.when(F.col("text") == "", F.lit(0)).otherwise(intervals.source_place(F.col("text"), F.col("point").cast("int"), F.col("segment")))
     return found.select("path", "point", place.cast("long").alias("source"), T.clamp(F.col("point"), F.lit(20), F.lit(90)).cast("long").alias("clamped"))
 
 
