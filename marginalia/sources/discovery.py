@@ -1,6 +1,6 @@
 """Which files a project is made of: those that its main file names, those that these name, and so on.
 
-Every round reads the files that the last one named for the first time, and no others; files that nothing names are never opened. A name
+Every round reads the files that the last one named for the first time, and no others; files that nothing names are never opened, unless all texts lie in one table. A name
 becomes candidates (as it is, or with the extensions of its kind), which meet the listing of the project's names as an equi join. The
 rounds end when nothing new is named, so cycles end too.
 
@@ -63,17 +63,28 @@ class Project:
         self.files, self.edges, self.external = files, edges, external
 
 
-def discover(mains: DataFrame, listing: DataFrame, read: Callable[[DataFrame], DataFrame]) -> Project:
-    """mains, listing: (project, file). read gives the texts (project, file, text) of the files it is asked for, and none of other files."""
+def discover(mains: DataFrame, listing: DataFrame, read: Callable[[DataFrame], DataFrame] | DataFrame) -> Project:
+    """mains, listing: (project, file). read gives the texts (project, file, text) of the files it is asked for, and none of other files.
+
+    Or it is a table of all texts. A round can't open a few rows of a table but scans it whole, so there all names are taken and resolved in
+    one scan, and the rounds only follow them; what isn't reached is left out in the end."""
+    text = reduce(lambda a, b: a | b, (F.lower("file").endswith(e) for e in TEXTS))
+    key, every = ["project", "file"], None
+    if isinstance(read, DataFrame):
+        every = checkpointed(resolved(checkpointed(named(read.filter(text))), listing))
     frontier = checkpointed(mains.join(listing, ["project", "file"], "left_semi").select("project", "file").distinct())
     seen, found, turn = frontier.withColumn("round", F.lit(0)), [], 0
     while not frontier.isEmpty():
-        text = reduce(lambda a, b: a | b, (F.lower("file").endswith(e) for e in TEXTS))
-        met = checkpointed(resolved(named(read(frontier.filter(text))), listing))
-        found.append(met)
+        if every is None:
+            met = checkpointed(resolved(named(read(frontier.filter(text))), listing))
+            found.append(met)
+        else:
+            met = every.join(frontier, key, "left_semi")
         turn += 1
         frontier = checkpointed(met.filter("target IS NOT NULL").select("project", F.col("target").alias("file")).distinct().join(seen, ["project", "file"], "left_anti"))
         seen = seen.union(frontier.withColumn("round", F.lit(turn)))
+    if every is not None:
+        found = [every.join(seen, key, "left_semi")]
     none = seen.limit(0).select("project", "file", F.lit("").alias("kind"), F.lit("").alias("name"), F.lit("").alias("target"), F.lit("").alias("reason"))
     rows = reduce(DataFrame.unionByName, found, none)
     return Project(seen, rows.filter("reason IS NULL").select("project", "file", "target", "kind").distinct(), rows.filter("reason IS NOT NULL").select("project", "file", "kind", "name", "reason").distinct())
