@@ -53,3 +53,11 @@ def test_nothing_outside_the_document_and_nothing_after_its_end(spark):
 def test_parts_of_a_project_have_no_document_of_their_own(spark):
     df = spark.createDataFrame([(1, "A part.\r\n\r\nWith $x$ math\r\n"), (2, None), (3, "")], "path long, text string")
     assert sorted(map(tuple, I.units(df, whole=False).collect())) == [(1, 0, 7, "paragraph"), (1, 11, 15, "island"), (1, 20, 24, "island")]
+
+
+def test_texts_are_read_once_and_only_places_are_moved(spark):
+    """Paragraphs and islands come of one pass: one scan in Python and one shuffle, which holds no text."""
+    texts = spark.createDataFrame([(1, "Plain.\n\nMixed $x$ line\n")], "path long, text string")
+    plan = I.units(texts, whole=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert plan.count("Exchange") == 1
