@@ -11,8 +11,9 @@ leaves less to the next:
    never the result. Only pairs of different groups are candidates; they must keep within 4/5 by size, and the 256 parity
    bits of their sets may differ in no more bits than the sets may in shingles; then 4096 such bits. What stays is compared as whole sets.
 3. Shingles that more than ``bucket`` sets have among their first are not joined with themselves. Their sets are compared with a few
-   leaders first. What that links needs no more comparing; the sets outside a shingle's largest group meet all sets of other
-   groups there, in slots of ``slot`` sets. So a family of near copies costs its size times the leaders, and no pair is lost.
+   leaders first: the most central one (the one with most of its first shingles in other sets too) and some by hash. What that links needs
+   no more comparing; the sets outside a shingle's largest group meet all sets of other groups there, in slots of ``slot`` sets, and two
+   sets at the least shingle they share. So a family of near copies costs its size times the leaders, and no pair is lost.
 
 Defined cases: texts without words (null and empty ones too) are equal. A text of fewer words than the width has one shingle; a long
 text is taken whole. Sets are known by 128 bits, shingles by 64, which can only make two texts that differ in one shingle look
@@ -32,7 +33,7 @@ from .simhash_ring import components, fingerprint, groups, keep_first, ring_link
 from .suffix_dedup import ODD, Bitmap, mix
 
 BITS = ("s0", "s1", "s2", "s3")
-SAMPLE, OFTEN, LEADERS = 8, 4, 3
+SAMPLE, OFTEN, LEADERS, SEEN = 8, 4, 3, 16
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -146,17 +147,19 @@ def jaccard_links(texts: DataFrame, sets: DataFrame, width: int = 5, budget: int
         keys, own, firsts = first(batch)
         hits = [f[shared.has(f)] for f in firsts]
         times = [len(h) for h in hits]
+        central = [100 * t // max(1, len(f)) for t, f in zip(times, firsts, strict=True)]
         bits = np.repeat(np.array([parity(s) for s in own], np.int64).reshape(-1, 4), times, axis=0)
         return record_batch(
             {
                 "shingle": (_flat(hits), pa.int64()),
                 "key": ([k for k, n in zip(keys, times, strict=True) for _ in range(n)], pa.binary()),
                 "n": (np.repeat(np.array([len(s) for s in own], np.int64), times), pa.int64()),
+                "central": (np.repeat(np.array(central, np.int64), times), pa.int64()),
             }
             | {s: (np.ascontiguousarray(bits[:, i]), pa.int64()) for i, s in enumerate(BITS)}
         )
 
-    schema = "shingle long, key binary, n long, " + ", ".join(f"{s} long" for s in BITS)
+    schema = "shingle long, key binary, n long, central long, " + ", ".join(f"{s} long" for s in BITS)
     rows = materialize(map_batches(texts, place, schema).distinct(), "first-shingles")
     sizes = rows.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1")
     sized = materialize(rows.join(sizes, "shingle").join(known, "key"), "shared-shingles")
@@ -169,7 +172,8 @@ def jaccard_links(texts: DataFrame, sets: DataFrame, width: int = 5, budget: int
         return ring.union(compare(pairs, "near-links"))
 
     whole = F.struct("key", "root", "n", *BITS)
-    lead = F.array(*(F.min_by(whole, F.xxhash64("key", F.lit(i))) for i in range(LEADERS)))
+    # in a family of near copies the most central set is nearest to all others: sets far from each other meet there
+    lead = F.array(F.max_by(whole, F.struct("central", F.xxhash64("key"))), *(F.min_by(whole, F.xxhash64("key", F.lit(i))) for i in range(1, LEADERS)))
     leaders = materialize(large.groupBy("shingle").agg(lead.alias("all")).select("shingle", F.explode(F.array_distinct("all")).alias("l")).select("shingle", "l.*"), "leaders")
     star = large.alias("x").join(leaders.alias("y"), one & _within("x", "y"))
     links = ring.union(compare(pairs.union(_pairs(star)), "near-links"))
@@ -187,11 +191,15 @@ def jaccard_links(texts: DataFrame, sets: DataFrame, width: int = 5, budget: int
         .select("shingle", "main")
     )
     mixed = grouped.join(main, "shingle").withColumn("parts", F.ceil(F.col("m") / slot))
-    mixed = materialize(mixed.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))), "mixed")
+    mixed = mixed.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    # two sets meet at the least shingle they share: not where both have a lesser one among their first few (which saves rows, never a pair)
+    few = mixed.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("shingle")), 1, SEEN).alias("few"))
+    mixed = materialize(mixed.join(few, "key").withColumn("before", F.filter("few", lambda s: s < F.col("shingle"))).drop("few"), "mixed")
     discard(sized, known, grouped)
     others = mixed.filter("root != main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     once = (F.col("y.root") == F.col("y.main")) | (x < y)
-    rest = _pairs(others.alias("x").join(mixed.alias("y"), one & (F.col("x.part") == F.col("y.part")) & once & _within("x", "y")))
+    least = ~F.arrays_overlap("x.before", "y.before")
+    rest = _pairs(others.alias("x").join(mixed.alias("y"), one & (F.col("x.part") == F.col("y.part")) & once & _within("x", "y") & least))
     last = compare(rest, "rest-links")
     discard(mixed)
     return links.union(last)

@@ -74,3 +74,21 @@ def test_defined_cases(spark):
     assert kept.columns == clashing(spark).columns
     assert [r["text"] for r in kept.collect() if r["doc_id"] == 7] == ["same id, other text"]  # the other is near document 6
     assert shingle_join.keep_one(empty(spark)).count() == 0
+
+
+def test_a_family_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """150 copies of one text, of which most are too far from each other to link; those with the fewest changes link the others."""
+    rng = random.Random(5)
+    rows = family(rng, 150, 146, 3, 0)
+    want = brute(rows)
+    made = []
+
+    def counted(joined, real=shingle_join._pairs):
+        found = real(joined)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(shingle_join, "_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in shingle_join.keep_one(docs, 5).collect()) == want
+    assert len(made) == 3 and made[2] < 10 * len(rows)
