@@ -22,16 +22,17 @@ import heapq
 import re
 import uuid
 from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_batches, record_batch
 
 NONE = np.int32(2**31 - 1)
-PIECES = 100_000  # pieces that are held as objects at once, besides the different ones of a batch and those of one text
+KNOWN, KNOWN_BYTES = 200_000, 4 << 20  # pieces that a worker keeps from batch to batch; beyond either it begins anew
+PIECES = 250_000  # pieces that are held as objects at once, besides the different ones of a batch and those of one text
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -71,11 +72,11 @@ class PairTable:
     def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the pairs, NONE where they don't merge."""
         keys = a.astype(np.int64) << 32 | b.astype(np.int64)
-        out = np.full(keys.shape, NONE, np.int32)
         slot = self.slot(keys)
-        hit = self.keys[slot] == keys
-        out[hit] = self.values[slot[hit]]
-        open_ = np.flatnonzero(~hit & (self.keys[slot] != -1))
+        there = self.keys.take(slot)
+        hit = there == keys
+        out = np.where(hit, self.values.take(slot), NONE)
+        open_ = np.flatnonzero(~hit & (there != -1))
         flat, at = keys.ravel(), slot.ravel()[open_]
         result = out.ravel()
         for _ in range(self.probes):
@@ -104,6 +105,7 @@ class Codec:
         self.token_begin = np.cumsum(self.token_size) - self.token_size
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.matrix_bytes, self.matrix_cells = matrix_bytes, matrix_cells
+        self.forget()
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pool, begin, size): the ids of piece k are pool[begin[k] : begin[k] + size[k]]."""
@@ -163,12 +165,11 @@ class Codec:
                 if not len(rows):
                     break
             ids[line, at] = best
-            # compaction: everything right of the merged pair moves one place to the left
-            source = columns[None, : ids.shape[1]] + (columns[None, : ids.shape[1]] > at[:, None])
-            source[:, -1] = np.minimum(source[:, -1], ids.shape[1] - 1)
-            ids = np.take_along_axis(ids, source, 1)
-            rank = np.take_along_axis(rank, source, 1)
-            ids[:, -1], rank[:, -1] = -1, NONE
+            # compaction: everything right of the merged pair moves one place to the left, and every row is one shorter
+            keep = columns[None, : ids.shape[1] - 1]
+            source = keep + (keep > at[:, None]) + (line * ids.shape[1])[:, None]
+            ids, rank = ids.ravel().take(source), rank.ravel().take(source)
+            rank[:, -1] = NONE
             length[rows] -= 1
             for where, ok in ((at, at + 1 < ids.shape[1]), (at - 1, at > 0)):
                 i = np.flatnonzero(ok)
@@ -199,16 +200,17 @@ class Codec:
         return np.array([x for x in ids if x >= 0], np.int32)
 
     def encode_texts(self, split: Iterable[list[str]]) -> list[np.ndarray]:
-        """Ids of each text, given as its pieces. Each distinct piece is merged once; of the others only the number is kept, since as
-        objects pieces take some twenty times their bytes."""
-        index: dict[str, int] = {}
+        """Ids of each text, given as its pieces. Each distinct piece is merged once, and not again in the batches that follow while it is
+        known; of the others only the number is kept, since as objects pieces take some twenty times their bytes."""
+        index, known = self.index, len(self.index)
         codes: list[np.ndarray] = []
         counts: list[int] = []
         held: list[str] = []
 
         def number() -> None:
-            code, distinct = pd.factorize(np.array(held, dtype=object))
-            codes.append(np.array([index.setdefault(p, len(index)) for p in distinct], np.int32)[code])
+            coded = pa.array(held, pa.string()).dictionary_encode()
+            own = [index.setdefault(p, len(index)) for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+            codes.append(np.array(own, np.int32)[coded.indices.to_numpy()])
             held.clear()
 
         for pieces in split:
@@ -219,7 +221,10 @@ class Codec:
         number()
         code = np.concatenate(codes)
         del codes
-        pool, begin, sizes = self.encode_pieces([p.encode() for p in index])
+        fresh = [p.encode() for p in islice(index, known, None)]
+        found = (self.pool, self.begin, self.sizes), self.encode_pieces(fresh)
+        pool, begin, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        begin[known:] += len(self.pool)
         out, at = [], 0
         for count in counts:
             own = code[at : at + count]
@@ -228,8 +233,19 @@ class Codec:
             total = int(n.sum())
             shift = np.repeat(begin[own] - (np.cumsum(n) - n), n)
             out.append(pool[shift + np.arange(total)])
+        self.known_bytes += sum(map(len, fresh))
+        if len(index) > KNOWN or self.known_bytes > KNOWN_BYTES:
+            self.forget()
+        else:
+            self.pool, self.begin, self.sizes = pool, begin, sizes
         return out
 
+    def forget(self) -> None:
+        """Begin anew with no piece known."""
+        self.index: dict[str, int] = {}
+        self.pool, self.begin, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.known_bytes = 0
+
     def decode(self, ids: np.ndarray) -> bytes:
         n = self.token_size[ids]
         shift = np.repeat(self.token_begin[ids] - (np.cumsum(n) - n), n)
