@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,8 +60,9 @@ class Words:
         np.cumsum(end - start, out=offsets[1:])
         packed = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[raw[inside[1:]]])])
         coded = packed.dictionary_encode()
-        self.code, self.vocabulary = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.vocabulary), np.uint64, len(self.vocabulary))
+        self.code, self.vocabulary = coded.indices.to_numpy(), coded.dictionary
+        words = self.vocabulary.to_numpy(zero_copy_only=False).tolist()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         self.hash = hashes[self.code]
         owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
         self.lang = tags.indices.to_numpy()[owner]
@@ -90,13 +92,10 @@ class Words:
         return at[one], n
 
     def batch(self, at: np.ndarray, n: np.ndarray, k: int) -> pa.RecordBatch:
-        vocabulary = self.vocabulary
-        if k == 1:
-            phrases = [vocabulary[c] for c in self.code[at].tolist()]
-        else:
-            phrases = [b" ".join([vocabulary[c] for c in row]) for row in np.column_stack([self.code[at + j] for j in range(k)]).tolist()]
+        words = [self.vocabulary.take(pa.array(self.code[at + j])) for j in range(k)]
+        phrases = words[0] if k == 1 else pc.binary_join_element_wise(*words, b" ")
         langs = pa.DictionaryArray.from_arrays(pa.array(self.lang[at], pa.int32()), pa.array(self.langs, pa.string())).cast(pa.string())
-        return record_batch({"lang": (langs, pa.string()), "phrase": (pa.array(phrases, pa.binary()).cast(pa.string()), pa.string()), "f": (n, pa.int64())})
+        return record_batch({"lang": (langs, pa.string()), "phrase": (phrases.cast(pa.string()), pa.string()), "f": (n, pa.int64())})
 
 
 def run_hash(lang: str, phrase: str) -> int:
