@@ -128,7 +128,7 @@ def package_revisions(spark: SparkSession, sf: str) -> DataFrame:
 )
 def package_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Changes of each kind, and under how many bookmarks."""
-    return P.changes(all_nodes(spark, sf, *_REVISED), together=True).groupBy("path", "kind").agg(F.count("*").alias("n"), F.count_distinct("bookmark").alias("bookmarks"))
+    return P.changes_in(stand_in(spark, sf), "path", "kind", "bookmark").groupBy("path", "kind").agg(F.count("*").alias("n"), F.count_distinct("bookmark").alias("bookmarks"))
 
 
 @query(
