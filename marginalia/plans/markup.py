@@ -117,7 +117,7 @@ def revision_views(spark: SparkSession, sf: str) -> DataFrame:
 )
 def package_revisions(spark: SparkSession, sf: str) -> DataFrame:
     """All revisions in the order of stories, the footnotes after the main text."""
-    return P.revision_events(all_nodes(spark, sf, *_REVISED), together=True).select("path", "sequence", "kind", "text")
+    return P.revision_events_in(stand_in(spark, sf), "path", "sequence", "kind", "text")
 
 
 @query(
