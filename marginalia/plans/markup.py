@@ -137,7 +137,7 @@ def package_changes(spark: SparkSession, sf: str) -> DataFrame:
 )
 def structural_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """The insertion of the footnotes stands in no paragraph."""
-    return P.evidence_classes(all_nodes(spark, sf, *_REVISED), together=True).groupBy("path", "class").agg(F.count("*").alias("n"))
+    return P.evidence_classes_in(stand_in(spark, sf)).groupBy("path", "class").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {WORDS_SQL} SELECT CAST(doc_id AS VARCHAR) AS path, count(*) AS runs, count(*) AS bold, CAST(0 AS BIGINT) AS italic, min('single') AS underline FROM wd WHERE i % 10 = 8 GROUP BY doc_id""")
