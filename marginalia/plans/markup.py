@@ -143,6 +143,6 @@ def structural_evidence(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {WORDS_SQL} SELECT CAST(doc_id AS VARCHAR) AS path, count(*) AS runs, count(*) AS bold, CAST(0 AS BIGINT) AS italic, min('single') AS underline FROM wd WHERE i % 10 = 8 GROUP BY doc_id""")
 def run_styles(spark: SparkSession, sf: str) -> DataFrame:
     """A switch without a value is on, one with 0 is off."""
-    return P.run_properties(all_nodes(spark, sf, "path", "part", "parent", "grand", "tag", "attrs", "above")).groupBy("path").agg(
+    return P.run_properties_in(stand_in(spark, sf)).groupBy("path").agg(
         F.count("*").alias("runs"), F.count_if("bold").alias("bold"), F.count_if("italic").alias("italic"), F.min("underline").alias("underline")
     )
