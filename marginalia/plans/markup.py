@@ -107,7 +107,7 @@ def package_relationships(spark: SparkSession, sf: str) -> DataFrame:
 )
 def revision_views(spark: SparkSession, sf: str) -> DataFrame:
     """The text with everything rejected, and with everything accepted."""
-    return P.views(all_nodes(spark, sf, "path", "part", "ordinal", "tag", "text", "mark"), together=True).select("path", "part", "original", "final")
+    return P.views_in(stand_in(spark, sf))
 
 
 @query(
