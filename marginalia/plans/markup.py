@@ -67,9 +67,6 @@ def all_nodes(spark: SparkSession, sf: str, *columns: str, parts: tuple[str, ...
     return P.nodes(stand_in(spark, sf), columns=columns, parts=parts)
 
 
-_REVISED = ("path", "part", "ordinal", "parent", "grand", "sibling", "tag", "attrs", "text", "revision", "above")
-
-
 #: (doc_id, k, i, w): each word of each line, k and i from 0.
 WORDS_SQL = r"""li AS (SELECT doc_id, CAST(unnest(range(len(l))) AS BIGINT) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
 wl AS (SELECT doc_id, k, list_filter(string_split(line, ' '), lambda x: x <> '') AS ws FROM li),
@@ -91,7 +88,8 @@ def package_members(spark: SparkSession, sf: str) -> DataFrame:
 )
 def package_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Elements of the main part, and its paragraphs."""
-    return all_nodes(spark, sf, "path", "tag", parts=("word/document.xml",)).groupBy("path").agg(F.count("*").alias("nodes"), F.count_if(F.col("tag") == "p").alias("paragraphs"))
+    n = F.col("n")
+    return P.tag_counts(stand_in(spark, sf), parts=("word/document.xml",)).groupBy("path").agg(F.sum(n).alias("nodes"), F.sum(F.when(F.col("tag") == "p", n).otherwise(0)).alias("paragraphs"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS path, CAST(2 AS BIGINT) AS total, CAST(1 AS BIGINT) AS external, CAST(1 AS BIGINT) AS images FROM documents")
